@@ -17,8 +17,8 @@ class Chart:
     """Exponentially weighted level and scale of log readings; suspects are clipped before they count.
 
     A reading more than ``limit`` scales off the level opens an excursion. If a reading
-    within the next ``most_off`` moments is back at the level, the excursion was a spike;
-    else the level has changed for good and the chart starts anew there.
+    within the next ``most_off`` moments jumps back to the level, the excursion was a spike;
+    else, also if it drifts back, the level has changed and the chart starts anew there.
     """
 
     def __init__(self, scale: float, *, limit: float, most_off: int, weight: float = 0.02, level_weight: float = 0.7, clip: float = 4.0) -> None:
@@ -35,7 +35,7 @@ class Chart:
         bound = self.clip * self.scale
         if off and at != self.since:
             moved = self.scale + self.weight * (min(abs(off), bound) - self.scale)
-            self.scale = min(max(moved, self.usual / 3), self.usual * 3)
+            self.scale = min(max(moved, self.usual), self.usual * 3)
         self.level += self.level_weight * min(max(off, -bound), bound)
         self.since = at
 
@@ -60,7 +60,7 @@ class Chart:
                 j += 1
                 if moments[j] != last:
                     spent, last = spent + 1, moments[j]
-                if abs(ys[j] - self.level) <= min(limit, abs(off) / 2):
+                if abs(ys[j] - self.level) <= min(limit, abs(off) / 2) and abs(ys[j] - ys[j - 1]) >= abs(off) / 2:
                     back = j
                     break
                 if spent > self.most_off:
@@ -151,7 +151,7 @@ def _chart(**how):
     return run
 
 
-def implausible(readings: DataFrame, *, limit: float = 13.0, most_off: int = 5, least_run: int = 7, run_factor: float = 5.0, hardly_moves: float = 2.5, shard_rows: int = 20_000, context: float = 0.05) -> DataFrame:
+def implausible(readings: DataFrame, *, limit: float = 11.0, most_off: int = 4, least_run: int = 7, run_factor: float = 5.0, hardly_moves: float = 2.5, shard_rows: int = 20_000, context: float = 0.05) -> DataFrame:
     """Flag impossible readings, spikes and stuck runs, each by what is normal for its source.
 
     ``readings``: dataset, source, moment (whole number, orders the readings; readings of
