@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import data_problems, data_problems_sql
+from tidemark.plans import data_problems, data_problems_sql, relational, views, windows  # noqa: F401
 
-QUERIES = {**data_problems.QUERIES}
-SQL = {**data_problems_sql.SQL}
+QUERIES = {**data_problems.QUERIES, **views.QUERIES}
+SQL = {**data_problems_sql.SQL, **views.SQL}
