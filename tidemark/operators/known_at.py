@@ -130,12 +130,14 @@ def known_at(events: DataFrame, versions: DataFrame, *, wide: DataFrame | None =
 
     Defined cases: events or versions with a null entity or tick are left out; versions
     with a null hi never end; empty periods (hi <= lo) never live; events without a live
-    version give no row; repeated events give one row each, repeated versions count once.
+    version give no row; repeated events give one row each, repeated versions count once; an
+    attribute named entity, number or id gets ``_attribute`` behind its name.
     """
     v = versions.where("entity IS NOT NULL AND lo IS NOT NULL AND version IS NOT NULL").withColumn("hi", F.coalesce(F.col("hi"), F.lit(NEVER))).where("hi > lo")
     changes = best_version_changes(v, width=width)
     numbered, asked = number_events(changes, events.where("entity IS NOT NULL AND tick IS NOT NULL"), width=width)
     attributes = numbered.where("version IS NOT NULL")
     if wide is not None:
-        attributes = attributes.join(wide.dropDuplicates(["version"]), "version")
+        clear = {c: f"{c}_attribute" for c in wide.columns if c in ("entity", "number", "id")}
+        attributes = attributes.join(wide.withColumnsRenamed(clear).dropDuplicates(["version"]), "version")
     return asked.join(attributes, ["entity", "number"])

@@ -23,7 +23,7 @@ SLACK_US = 10 * DAY_US
 def _differences(spark: SparkSession, folder: str) -> DataFrame:
     quotes = diff.diff_copies(
         table(spark, folder, "yahoo_crosscheck"), table(spark, folder, "yahoo_mirror"),
-        keys={"symbol": F.upper(F.trim("symbol")), "us": instant_us(F.col("observation_time"))},
+        keys={"symbol": F.upper(F.trim("symbol")), "us": instant_us(F.col("observation_time")), "unread": F.when(instant_us(F.col("observation_time")).isNull(), F.col("observation_time"))},
         fields={"close": ("close", diff.within(0.00005))},
     )
     observed = diff.diff_copies(
@@ -32,7 +32,7 @@ def _differences(spark: SparkSession, folder: str) -> DataFrame:
         fields={"actual": (decimal_key(F.col("actual")), diff.SAME), "source": (folded(F.col("source")), diff.SAME), "reference": (decimal_key(F.col("reference")), diff.SAME)},
     )
     values = ("finding", "main_value", "copy_value")
-    return quotes.select(F.lit("yahoo_crosscheck").alias("dataset"), F.col("symbol").alias("key_1"), utc_text(F.col("us")).alias("key_2"), *values).unionByName(
+    return quotes.select(F.lit("yahoo_crosscheck").alias("dataset"), F.col("symbol").alias("key_1"), F.coalesce(utc_text(F.col("us")), "unread").alias("key_2"), *values).unionByName(
         observed.select(F.lit("source_observation").alias("dataset"), "key_1", "key_2", *values)
     )
 
@@ -109,7 +109,7 @@ def p3_attributes(spark: SparkSession, folder: str) -> DataFrame:
 
 def _nearest(spark: SparkSession, folder: str) -> DataFrame:
     named = table(spark, folder, "series_map")
-    quotes = table(spark, folder, "yahoo_crosscheck").where("close IS NOT NULL").join(named, "symbol").select("series_id", instant_us(F.col("observation_time")).alias("us"), "yahoo_id")
+    quotes = table(spark, folder, "yahoo_crosscheck").where("close IS NOT NULL").select("symbol", instant_us(F.col("observation_time")).alias("us"), "yahoo_id").join(named.select("symbol", "series_id"), "symbol")
     readings = table(spark, folder, "nyfed_markets").where("value IS NOT NULL").select("series_id", instant_us(F.col("observation_time")).alias("us"), "nyfed_id")
     return nearest_in_time(quotes, readings, key="series_id", time="us", left_id="yahoo_id", right_id="nyfed_id", tolerance_us=90_000_000)
 
@@ -177,7 +177,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _grid(spark: SparkSession, folder: str) -> DataFrame:
-    known = table(spark, folder, "alfred").where("value IS NOT NULL").join(table(spark, folder, "series_catalog").select("series_id", "frequency"), "series_id")
+    known = table(spark, folder, "alfred").where("value IS NOT NULL").select("series_id", "alfred_id", "observation_time", "realtime_start", "value").join(table(spark, folder, "series_catalog").select("series_id", "frequency"), "series_id")
     observed = day_number(F.col("observation_time"))
     readings = known.select(F.col("series_id").alias("entity"), "frequency", period_number(observed, F.col("frequency")).alias("period"), F.struct(observed.alias("observed"), day_number(F.col("realtime_start")).alias("since"), "alfred_id").alias("rank"), "value")
     return regrid(readings)

@@ -244,10 +244,10 @@ def _eras(spark: SparkSession) -> DataFrame:
     return spark.sql("SELECT * FROM VALUES ('early', DATE '1995-01-01', DATE '1997-12-31'), ('middle', DATE '1997-01-01', DATE '1999-12-31'), ('late', DATE '1999-06-01', NULL) AS e(era, a, b)")
 
 
-@query(f"SELECT era, series, count(*) AS n, round(avg(close), 7) AS mean FROM v_price JOIN {_ERAS} ON date BETWEEN e.a AND coalesce(e.b, DATE '9999-12-31') GROUP BY ALL")
+@query(f"SELECT era, series, count(*) AS n, round(sum(close), 2) AS total FROM v_price JOIN {_ERAS} ON date BETWEEN e.a AND coalesce(e.b, DATE '9999-12-31') GROUP BY ALL")
 def jn19_range_join(spark: SparkSession, d: str) -> DataFrame:
     p = V.prices(spark, d).join(F.broadcast(_eras(spark)), F.col("date").between(F.col("a"), F.coalesce("b", F.lit("9999-12-31").cast("date"))))
-    return p.groupBy("era", "series").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("close"), 7).alias("mean"))
+    return p.groupBy("era", "series").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("close"), 2).alias("total"))
 
 
 @query("SELECT a.date, coalesce(b.close, a.close) AS close, (b.close IS NULL)::int AS bridged FROM v_price a LEFT JOIN v_price b ON a.date = b.date AND b.series = '2-HIGH' WHERE a.series = '1-URGENT'")
@@ -307,9 +307,9 @@ def ag08_week_end(spark: SparkSession, d: str) -> DataFrame:
     return V.prices(spark, d).groupBy("series", F.expr("cast(extract(yearofweek FROM date) AS int)").alias("y"), F.weekofyear("date").alias("w")).agg(F.max_by("close", "date").alias("close"))
 
 
-@query("SELECT series, year(date)::int AS y, quarter(date)::int AS q, round(avg(close), 7) AS mean, arg_max(close, date) AS last FROM v_price GROUP BY ALL")
+@query("SELECT series, year(date)::int AS y, quarter(date)::int AS q, round(sum(close), 2) AS total, arg_max(close, date) AS last FROM v_price GROUP BY ALL")
 def ag09_mean_or_last(spark: SparkSession, d: str) -> DataFrame:
-    return V.prices(spark, d).groupBy("series", F.year("date").alias("y"), F.quarter("date").alias("q")).agg(F.round(F.avg("close"), 7).alias("mean"), F.max_by("close", "date").alias("last"))
+    return V.prices(spark, d).groupBy("series", F.year("date").alias("y"), F.quarter("date").alias("q")).agg(F.round(F.sum("close"), 2).alias("total"), F.max_by("close", "date").alias("last"))
 
 
 @query("SELECT provider, model, strftime(ts, '%Y-%m') AS month, sum(tokens)::double AS tokens, round(sum(cost), 2) AS cost FROM v_costs GROUP BY ALL")

@@ -82,10 +82,10 @@ def wn09_rebase(spark: SparkSession, d: str) -> DataFrame:
     return _in_eras(spark, d).select("era", "series", "date", r6(100 * C / F.first("close").over(Window.partitionBy("era", "series").orderBy("date"))).alias("idx"))
 
 
-@query("SELECT domain, forecast_id, round(avg(brier) OVER w, 4) AS rolling, count(*) OVER w AS n FROM v_res WINDOW w AS (PARTITION BY domain ORDER BY resolved_date, forecast_id ROWS 9 PRECEDING)")
+@query("SELECT domain, forecast_id, round(avg(brier) OVER w, 8) AS rolling, count(*) OVER w AS n FROM v_res WINDOW w AS (PARTITION BY domain ORDER BY resolved_date, forecast_id ROWS 9 PRECEDING)")
 def wn10_rolling_brier(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("domain").orderBy("resolved_date", "forecast_id").rowsBetween(-9, 0)
-    return V.resolutions(spark, d).select("domain", "forecast_id", F.round(F.avg("brier").over(w), 4).alias("rolling"), F.count(F.lit(1)).over(w).alias("n"))
+    return V.resolutions(spark, d).select("domain", "forecast_id", F.round(F.avg("brier").over(w), 8).alias("rolling"), F.count(F.lit(1)).over(w).alias("n"))
 
 
 @query("SELECT series_id, date, CASE WHEN count(*) OVER f = 12 THEN round((value - avg(value) OVER f) / nullif(stddev_samp(value) OVER f, 0), 6) END AS z FROM v_macro WINDOW f AS (PARTITION BY series_id ORDER BY date ROWS 11 PRECEDING)")
@@ -158,10 +158,9 @@ def wn20_downside_semivariance(spark: SparkSession, d: str) -> DataFrame:
         'g': CASE WHEN a[len(a)].n + 1 < 14 THEN a[len(a)].g + greatest(b[1].i - a[len(a)].i, 0) / 14 ELSE (a[len(a)].g * 13 + greatest(b[1].i - a[len(a)].i, 0)) / 14 END,
         'l': CASE WHEN a[len(a)].n + 1 < 14 THEN a[len(a)].l + greatest(a[len(a)].i - b[1].i, 0) / 14 ELSE (a[len(a)].l * 13 + greatest(a[len(a)].i - b[1].i, 0)) / 14 END,
         'v': CASE WHEN a[len(a)].n + 1 >= 14 THEN CASE WHEN a[len(a)].l * 13 + greatest(a[len(a)].i - b[1].i, 0) = 0 THEN 100 ELSE 100 - 100 / (1 + (a[len(a)].g * 13 + greatest(b[1].i - a[len(a)].i, 0)) / (a[len(a)].l * 13 + greatest(a[len(a)].i - b[1].i, 0))) END END}])).v AS v
-    FROM (SELECT series, list(date ORDER BY date) AS ts, list(close ORDER BY date) AS xs FROM v_price WHERE date < DATE '1995-07-01' GROUP BY series))""")
+    FROM (SELECT series, list(date ORDER BY date) AS ts, list(close ORDER BY date) AS xs FROM v_price GROUP BY series))""")
 def wn21_rsi(spark: SparkSession, d: str) -> DataFrame:
-    p = V.prices(spark, d).where("date < '1995-07-01'")
-    return rsi(p, ["series"], "date", "close").select("series", "date", F.round("rsi", 4).alias("rsi"))
+    return rsi(V.prices(spark, d), ["series"], "date", "close").select("series", "date", F.round("rsi", 4).alias("rsi"))
 
 
 @query(f"""SELECT a.series, a.date, round(sum(CASE WHEN b.k = 1 THEN power(0.94, a.k - b.k) ELSE 0.06 * power(0.94, a.k - b.k) END * b.r * b.r), 8) AS variance FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date) AS k FROM {_R} WHERE r IS NOT NULL) a
@@ -332,7 +331,7 @@ def fm01_robust_scale(spark: SparkSession, d: str) -> DataFrame:
     return m.join(q, "series_id").groupBy("series_id", "n", F.col("q")[1].alias("m"), (F.col("q")[2] - F.col("q")[0]).alias("i")).agg(r6(F.expr("percentile(abs(value - q[1]), 0.5)")).alias("mad")).select("series_id", "n", r6(F.col("m")).alias("med"), r6(F.col("i")).alias("iqr"), "mad")
 
 
-@query("SELECT series_id, date, value, lag(value, 1) OVER w AS l1, lag(value, 2) OVER w AS l2, lag(value, 5) OVER w AS l5 FROM v_macro QUALIFY l5 IS NOT NULL WINDOW w AS (PARTITION BY series_id ORDER BY date)")
+@query("SELECT * FROM (SELECT series_id, date, value, lag(value, 1) OVER w AS l1, lag(value, 2) OVER w AS l2, lag(value, 5) OVER w AS l5 FROM v_macro WINDOW w AS (PARTITION BY series_id ORDER BY date)) WHERE l5 IS NOT NULL")
 def fm02_lag_design(spark: SparkSession, d: str) -> DataFrame:
     s = Series(["series_id"], "date")
     return V.macro(spark, d).select("series_id", "date", "value", *(s.lag(F.col("value"), k).alias(f"l{k}") for k in (1, 2, 5))).where("l5 IS NOT NULL")
