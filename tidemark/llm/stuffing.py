@@ -28,6 +28,8 @@ _END = re.compile(r"(?<=[.!?。])[\"'”’)]*(?=\s|$)")
 _LAST = re.compile(r"[.!?。][\s\"'”’)]*$")
 _WORD = re.compile(r"[A-Za-z']+|[가-힣]+")
 _LINK = re.compile(r"(?:h(?:tt|xx)ps?://|www[.\[])\S+", re.IGNORECASE)
+_HANGUL = re.compile(r"[가-힣]+")
+_STOPS = re.compile(r"(?<=[.!?。])\s+")
 _INVISIBLE = re.compile("[\u200b-\u200f\u2060\ufeff]")
 # a line of data: dates, JSON, key=value or key: value pairs, table rows, rules, headings, log levels
 _RECORD = re.compile(r"\d{4}-\d{2}-\d{2}|^\s*[{\[]?\"\w+\":|^\s*\{|^[a-z_][a-z_0-9]{1,20}: \S|^\|.*\|\s*$|^-{3,}$|^#{1,6} |^[^<]*\b\w+=\S+ \w+=|^(?:WARN|INFO|ERROR|DEBUG)\b")
@@ -103,18 +105,20 @@ def measure(text: str) -> list[dict]:
     found = []
     for kind, block in blocks(text):
         raw = block.encode("utf-8", "replace")
-        hangul = sum("가" <= c <= "힣" for c in block) > 0.3 * len(block)
         size = max(1, len(raw))
-        sentences = re.split(r"(?<=[.!?。])\s+", block)
+        hangul = sum(map(len, _HANGUL.findall(block))) > 0.3 * len(block)
+        # only the rest has its skeleton measured, only sentences how they repeat
+        skeleton = len(zlib.compress(_skeleton(block).encode("utf-8", "replace"), 6)) / size if kind == REST else 1.0
+        sentences = _STOPS.split(block) if kind == SENTENCES else [block]
         found.append({
-            "kind": kind, "chars": len(block), "script": int(hangul), "bin": int(math.log2(size)), "raw": len(zlib.compress(raw, 6)) / size,
-            "skeleton": len(zlib.compress(_skeleton(block).encode("utf-8", "replace"), 6)) / size, "distinct": len(set(sentences)) / len(sentences),
+            "kind": kind, "chars": len(block), "script": int(hangul), "bin": int(math.log2(size)), "raw": len(zlib.compress(raw, 6)) / size if kind != RECORDS else 1.0,
+            "skeleton": skeleton, "distinct": len(set(sentences)) / len(sentences), "words": len(block.split()) / len(sentences),
         })
     return found
 
 
-_BLOCKS = "array<struct<kind:int,chars:int,script:int,bin:int,raw:double,skeleton:double,distinct:double>>"
-_ARROW = pa.list_(pa.struct([("kind", pa.int32()), ("chars", pa.int32()), ("script", pa.int32()), ("bin", pa.int32()), ("raw", pa.float64()), ("skeleton", pa.float64()), ("distinct", pa.float64())]))
+_BLOCKS = "array<struct<kind:int,chars:int,script:int,bin:int,raw:double,skeleton:double,distinct:double,words:double>>"
+_ARROW = pa.list_(pa.struct([("kind", pa.int32()), ("chars", pa.int32()), ("script", pa.int32()), ("bin", pa.int32()), ("raw", pa.float64()), ("skeleton", pa.float64()), ("distinct", pa.float64()), ("words", pa.float64())]))
 
 
 def measured(documents: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: A002
@@ -159,8 +163,8 @@ def stuffed_pages(documents: DataFrame, *, id: str = "doc_id", text: str = "text
       usual, or that of its skeleton (each link, ticker, tag, word and number one sign;
       lists of distinct links or tags repeat only that) at most ``shapeless`` of it; blocks
       under 2**``least_bin`` bytes are too short to measure and go by their form;
-    - or it is extremely redundant (at most ``extreme``) whatever its punctuation, and few
-      of its sentences are different ones.
+    - or it is extremely redundant (at most ``extreme``) whatever its punctuation, and
+      its sentences are fragments (six words at most on average), few of them different.
 
     Lines of data (logs, tables, calendars) are never stuffed. A page counts with a
     stuffed share of its characters of at least ``share`` and at least ``least_chars``
@@ -177,7 +181,7 @@ def stuffed_pages(documents: DataFrame, *, id: str = "doc_id", text: str = "text
 
     def stuffed(b: Column, usual: Column) -> Column:
         listed = (b["kind"] == REST) & ((b["bin"] < least_bin) | (b["raw"] <= redundant * usual) | (b["skeleton"] <= shapeless * usual))
-        return listed | ((b["kind"] != RECORDS) & (b["bin"] >= least_bin) & (b["raw"] <= extreme * usual) & (b["distinct"] <= 0.5))
+        return listed | ((b["kind"] != RECORDS) & (b["bin"] >= least_bin) & (b["raw"] <= extreme * usual) & (b["distinct"] <= 0.5) & (b["words"] <= 6))
 
     judged = F.transform("blocks", lambda b: F.struct(b["chars"].alias("chars"), stuffed(b, F.element_at(table, b["script"] * 100 + b["bin"])).alias("stuffed")))
     total = lambda xs, f: F.aggregate(xs, F.lit(0), lambda s, b: s + b[f])
