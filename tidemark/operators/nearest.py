@@ -24,17 +24,18 @@ def nearest_in_time(left: DataFrame, right: DataFrame, *, key: str, time: str, l
     if bucket_us < tolerance_us:
         raise ValueError("bucket_us must be at least tolerance_us")
     here = F.floor(F.col("t") / bucket_us)
-    l = left.select(F.col(key).alias("k"), F.col(time).alias("t"), F.lit(1).alias("side"), F.col(left_id).alias("id")).where("k IS NOT NULL AND t IS NOT NULL AND id IS NOT NULL").withColumn("bucket", here)  # noqa: E741
+    usable = "k IS NOT NULL AND t IS NOT NULL AND id IS NOT NULL"
+    l = left.select(F.col(key).alias("k"), F.col(time).alias("t"), F.lit(1).alias("side"), F.col(left_id).alias("id")).where(usable).withColumnRenamed("id", "l").withColumn("bucket", here)  # noqa: E741
     edges = F.array_distinct(F.array(here, F.floor((F.col("t") - tolerance_us) / bucket_us), F.floor((F.col("t") + tolerance_us) / bucket_us)))
-    r = right.select(F.col(key).alias("k"), F.col(time).alias("t"), F.lit(0).alias("side"), F.col(right_id).alias("id")).where("k IS NOT NULL AND t IS NOT NULL AND id IS NOT NULL").withColumn("bucket", F.explode(edges))
-    both = l.unionByName(r)
-    own = F.when(F.col("side") == 0, F.struct("t", "id"))
-    forth = Window.partitionBy("k", "bucket").orderBy("t", "side", F.col("id").desc())
-    back = Window.partitionBy("k", "bucket").orderBy(F.col("t").desc(), F.col("side").desc(), F.col("id").desc())
+    r = right.select(F.col(key).alias("k"), F.col(time).alias("t"), F.lit(0).alias("side"), F.col(right_id).alias("id")).where(usable).withColumnRenamed("id", "r").withColumn("bucket", F.explode(edges))
+    both = l.unionByName(r, allowMissingColumns=True)
+    own = F.when(F.col("side") == 0, F.struct("t", F.col("r").alias("id")))
+    forth = Window.partitionBy("k", "bucket").orderBy("t", "side", F.col("r").desc(), "l")
+    back = Window.partitionBy("k", "bucket").orderBy(F.col("t").desc(), F.col("side").desc(), F.col("r").desc(), "l")
     so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = (
         both.withColumn("before", F.last(own, ignorenulls=True).over(so_far(forth)))
-        .withColumn("again", F.coalesce((F.lag("id").over(forth) == F.col("id")) & (F.lag("side").over(forth) == F.col("side")) & (F.lag("t").over(forth) == F.col("t")), F.lit(False)))
+        .withColumn("again", F.coalesce((F.lag("l").over(forth) == F.col("l")) & (F.lag("t").over(forth) == F.col("t")), F.lit(False)))
         .withColumn("after", F.last(own, ignorenulls=True).over(so_far(back)))
         .where("side = 1 AND NOT again")
     )
@@ -42,6 +43,6 @@ def nearest_in_time(left: DataFrame, right: DataFrame, *, key: str, time: str, l
     first = gap_b.isNotNull() & (gap_a.isNull() | (gap_b <= gap_a))
     pick = F.when(first, F.col("before")).otherwise(F.col("after"))
     return (
-        carried.select(F.col("id").alias(left_id), pick["id"].alias(right_id), (pick["t"] - F.col("t")).alias("gap_us"))
+        carried.select(F.col("l").alias(left_id), pick["id"].alias(right_id), (pick["t"] - F.col("t")).alias("gap_us"))
         .where(F.abs("gap_us") <= tolerance_us)
     )
