@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import data_problems, data_problems_sql, ledgers, relational, views, windows  # noqa: F401
+from tidemark.plans import data_problems, data_problems_sql, ledgers, modelled, more, relational, views, windows  # noqa: F401
 
 QUERIES = {**data_problems.QUERIES, **views.QUERIES}
 SQL = {**data_problems_sql.SQL, **views.SQL}

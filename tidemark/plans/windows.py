@@ -388,12 +388,12 @@ def ev11_conditional_tables(spark: SparkSession, d: str) -> DataFrame:
     return long.groupBy("label_type", "label").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("brier")).alias("brier"))
 
 
-@query("SELECT least(floor(u * 10)::int, 9)::bigint AS bin, count(*) AS n FROM (SELECT (SELECT 0) + avg((b.value <= a.value)::int) AS u FROM v_macro a JOIN v_macro b ON a.series_id = b.series_id AND b.date < a.date GROUP BY a.series_id, a.date) GROUP BY 1")
+@query("SELECT least(floor(u * 10)::int, 9)::bigint AS bin, count(*) AS n FROM (SELECT avg((p.level <= a.v)::int) AS u FROM v_paths p JOIN (SELECT row_number() OVER (ORDER BY date) - 1 AS step, round(100 * value / first_value(value) OVER (ORDER BY date), 6) AS v FROM v_macro WHERE series_id = 'AF') a ON p.step = a.step GROUP BY p.engine, p.step) GROUP BY 1")
 def ev12_pit_histogram(spark: SparkSession, d: str) -> DataFrame:
-    """Where each value lies among the earlier values of its series; the last bin is closed on the right."""
-    m = V.macro(spark, d)
-    past = m.select("series_id", F.col("date").alias("d0"), F.col("value").alias("v0"))
-    u = m.join(past, "series_id").where("d0 < date").groupBy("series_id", "date").agg(F.avg((F.col("v0") <= F.col("value")).cast("int")).alias("u"))
+    """Where each actual value lies among the paths of its engine and step; the last bin is closed on the right."""
+    s = Series(["series_id"], "date")
+    a = V.macro(spark, d).where("series_id = 'AF'").select((s.number() - 1).alias("step"), r6(100 * F.col("value") / F.first("value").over(s.w)).alias("v"))
+    u = V.paths(spark, d).join(a, "step").groupBy("engine", "step").agg(F.avg((F.col("level") <= F.col("v")).cast("int")).alias("u"))
     return u.groupBy(F.least(F.floor(F.col("u") * 10), F.lit(9)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
