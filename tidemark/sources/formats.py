@@ -29,7 +29,7 @@ def manifest_jsonl(spark: SparkSession, root: str, manifest: DataFrame, schema:
     paths = [f"{root}/{r['path']}" for r in manifest.select("path").collect()]
     files = spark.read.format("binaryFile").load(paths).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("found"))
     named = manifest.select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256", "rows")
-    rows = jsonl(spark, paths, schema).withColumn("_name", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    rows = jsonl(spark, paths, schema).withColumn("_name", F.col("_metadata.file_name"))
     counts = rows.groupBy(F.col("_name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
     bad = named.join(files, "name", "left").join(counts, "name", "left").where("NOT (sha256 <=> found) OR rows != coalesce(n, 0)").select("name").limit(20).collect()
     if bad:
@@ -44,7 +44,7 @@ def ledger_csv(spark: SparkSession, path: str, columns: str) -> DataFrame:
     """
     names = [c.split()[0] for c in columns.split(", ")]
     head = spark.read.option("wholetext", False).text(path).limit(1).first()
-    if head is None or head[0].strip().lstrip("﻿") != ",".join(names):
+    if head is None or head[0].strip().lstrip("\ufeff") != ",".join(names):
         raise ValueError(f"unexpected header: {head and head[0]}")
     lines = spark.read.text(path).where(F.trim("value") != ",".join(names)).where("trim(value) != ''")
     parsed = F.from_csv(F.col("value"), f"{columns}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
@@ -148,7 +148,7 @@ def vintages(wide: DataFrame, series: str) -> DataFrame:
 
 def front_matter(text: str) -> tuple[dict[str, str], str]:
     """The ``key: value`` block between two ``---`` lines at the top, and the rest."""
-    lines = text.lstrip("﻿").splitlines()
+    lines = text.lstrip("\ufeff").splitlines()
     if not lines or lines[0].strip() != "---":
         return {}, text
     end = next((i for i, line in enumerate(lines[1:], 1) if line.strip() == "---"), None)
@@ -166,5 +166,5 @@ def records(spark: SparkSession, path: str) -> DataFrame:
             found = [front_matter(t) for t in batch["value"]]
             yield pd.DataFrame({"path": batch["path"], "fields": [json.dumps(f, ensure_ascii=False) for f, _ in found], "body": [b for _, b in found]})
 
-    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
     return raw.mapInPandas(parse, "path string, fields string, body string").withColumn("fields", F.from_json("fields", "map<string,string>"))
