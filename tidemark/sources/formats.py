@@ -43,7 +43,7 @@ def ledger_csv(spark: SparkSession, path: str, columns: str) -> DataFrame:
     ``bad`` marks lines that don't parse; empty fields are null. Raises if the header isn't as given.
     """
     names = [c.split()[0] for c in columns.split(", ")]
-    head = spark.read.option("wholetext", False).text(path).limit(1).first()
+    head = spark.read.text(path).limit(1).first()
     if head is None or head[0].strip().lstrip("\ufeff") != ",".join(names):
         raise ValueError(f"unexpected header: {head and head[0]}")
     lines = spark.read.text(path).where(F.trim("value") != ",".join(names)).where("trim(value) != ''")
@@ -166,5 +166,5 @@ def records(spark: SparkSession, path: str) -> DataFrame:
             found = [front_matter(t) for t in batch["value"]]
             yield pd.DataFrame({"path": batch["path"], "fields": [json.dumps(f, ensure_ascii=False) for f, _ in found], "body": [b for _, b in found]})
 
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return raw.mapInPandas(parse, "path string, fields string, body string").withColumn("fields", F.from_json("fields", "map<string,string>"))
