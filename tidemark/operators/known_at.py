@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 #: The tick at which open versions end: past any date.
 NEVER = 1 << 22
 
@@ -134,7 +136,8 @@ def known_at(events: DataFrame, versions: DataFrame, *, wide: DataFrame | None =
     attribute named entity, number or id gets ``_attribute`` behind its name.
     """
     v = versions.where("entity IS NOT NULL AND lo IS NOT NULL AND version IS NOT NULL").withColumn("hi", F.coalesce(F.col("hi"), F.lit(NEVER))).where("hi > lo")
-    changes = best_version_changes(v, width=width)
+    # read three times below: checkpointed, so that the sweep runs once and a lost executor costs no second one
+    changes = cut_lineage(best_version_changes(v, width=width))
     numbered, asked = number_events(changes, events.where("entity IS NOT NULL AND tick IS NOT NULL"), width=width)
     attributes = numbered.where("version IS NOT NULL")
     if wide is not None:
