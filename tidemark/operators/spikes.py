@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import compress
 from statistics import median
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,6 +109,22 @@ def judge(ids: list[int], moments: list[int], values: list[float], *, limit: flo
     return out
 
 
+def stretches(batch: pa.RecordBatch, keys: int) -> Iterator[tuple[tuple, int, int]]:
+    """The runs of rows with equal leading columns: (key, begin, end)."""
+    n = batch.num_rows
+    if not n:
+        return
+    changed = None
+    for i in range(keys):
+        c = batch.column(i)
+        a, b = c.slice(1), c.slice(0, n - 1)
+        other = pc.fill_null(pc.not_equal(a, b), pc.not_equal(pc.is_null(a), pc.is_null(b)))
+        changed = other if changed is None else pc.or_(changed, other)
+    edges = [0, *(i + 1 for i in pc.indices_nonzero(changed).to_pylist()), n]
+    for begin, end in zip(edges, edges[1:], strict=False):
+        yield tuple(batch.column(i)[begin].as_py() for i in range(keys)), begin, end
+
+
 def _chart(**how):
     """Over batches sorted by (dataset, source, shard, moment, rank, id)."""
 
@@ -130,19 +148,20 @@ def _chart(**how):
                 rows.clear()
 
         for batch in batches:
-            for dataset, source, shard, moment, id_, value, own in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if key != (dataset, source, shard):
+            for found, begin, end in stretches(batch, 3):
+                if key != found:
                     if key:
                         close()
-                    key = (dataset, source, shard)
+                    key = found
                     for x in (ids, moments, values, core):
                         x.clear()
-                if ids and ids[-1] == id_:
-                    continue
-                ids.append(id_)
-                moments.append(moment)
-                values.append(value)
-                core.append(own)
+                part = batch.slice(begin, end - begin)
+                new_moments, new_ids, new_values, new_core = (part.column(i).to_pylist() for i in range(3, 7))
+                fresh = [a != b for a, b in zip(new_ids, [ids[-1] if ids else None, *new_ids], strict=False)]
+                ids += compress(new_ids, fresh)
+                moments += compress(new_moments, fresh)
+                values += compress(new_values, fresh)
+                core += compress(new_core, fresh)
             yield from flush()
         if key:
             close()
