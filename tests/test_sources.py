@@ -110,3 +110,23 @@ def test_publish_and_write_once(spark, tmp_path):
     store.write_once(spark.range(1), f"{root}/once")
     with pytest.raises(Exception, match="already exists"):
         store.write_once(spark.range(1), f"{root}/once")
+
+
+def test_workbook_cells(spark, tmp_path):
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} {rel}><sheets><sheet name="one" r:id="r1"/><sheet name="two" r:id="r2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/s1.xml"/><Relationship Id="r2" Target="worksheets/s2.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>year</t></si><si><r><t>a</t></r><r><t>b</t></r></si></sst>")
+        z.writestr("xl/worksheets/s1.xml", f'<worksheet {main}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row r="2"><c r="B2"><v>3.5</v></c><c r="AA2" t="inlineStr"><is><t>x</t></is></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/s2.xml", f"<worksheet {main}><sheetData/></worksheet>")
+    got = [r["cells"] for r in formats.workbook(spark, str(tmp_path / "w.xlsx")).orderBy("row").collect()]
+    assert got == [["year", None, "ab"], [None, "3.5", *[None] * 24, "x"]]
+    assert formats.workbook(spark, str(tmp_path / "w.xlsx"), "two").count() == 0
+
+
+def test_registry(spark, tmp_path):
+    pytest.importorskip("yaml")
+    path = put(tmp_path / "q.yaml", "questions:\n  - id: a\n    deadline: 2099-01-01\n  - id: b\n    deadline: null\n")
+    assert rows(formats.registry(spark, path, "id string, deadline string")) == [("a", "2099-01-01"), ("b", None)]

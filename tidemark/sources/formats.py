@@ -7,6 +7,7 @@ import json
 import re
 import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -158,13 +159,74 @@ def front_matter(text: str) -> tuple[dict[str, str], str]:
     return {k.strip(): v.strip().strip("\"'") for k, v in pairs}, "\n".join(lines[end + 1 :]).strip()
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """(path, fields, body) of text files with front matter; unknown keys are kept."""
+def parse_records(df: DataFrame, path: str, text: str) -> DataFrame:
+    """(path, fields, body) of a column of texts with front matter; a null text has no fields and a null body."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [front_matter(t) for t in batch["value"]]
+            found = [front_matter(t) if t is not None else ({}, None) for t in batch["value"]]
             yield pd.DataFrame({"path": batch["path"], "fields": [json.dumps(f, ensure_ascii=False) for f, _ in found], "body": [b for _, b in found]})
 
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = df.select(F.col(path).cast("string").alias("path"), F.col(text).alias("value"))
     return raw.mapInPandas(parse, "path string, fields string, body string").withColumn("fields", F.from_json("fields", "map<string,string>"))
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """(path, fields, body) of text files with front matter; unknown keys are kept."""
+    return parse_records(spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path")), "path", "value")
+
+
+# ---- workbooks and registries ------------------------------------------------------------------
+
+
+def sheet_rows(content: bytes, sheet: str | None = None) -> list[list[str | None]]:
+    """The cells of a worksheet (the first, or by name) as text; gaps are null."""
+    main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    link = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        shared = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            shared = ["".join(t.text or "" for t in item.iter(f"{main}t")) for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{main}si")]
+        sheets = {s.get("name"): s.get(link) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{main}sheet")}
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        wanted = sheets[sheet] if sheet is not None else next(iter(sheets.values()))
+        body = ElementTree.fromstring(z.read("xl/" + targets[wanted].lstrip("/").removeprefix("xl/")))
+    out = []
+    for row in body.iter(f"{main}row"):
+        cells: list[str | None] = []
+        for c in row.iter(f"{main}c"):
+            at = 0
+            for letter in re.match(r"[A-Z]+", c.get("r", "A"))[0]:
+                at = at * 26 + ord(letter) - 64
+            value = c.find(f"{main}v")
+            text = value.text if value is not None else "".join(t.text or "" for t in c.iter(f"{main}t")) or None
+            if c.get("t") == "s" and text is not None:
+                text = shared[int(text)]
+            cells += [None] * (at - 1 - len(cells)) + [text]
+        out.append(cells)
+    return out
+
+
+def workbook(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """(path, row, cells) of the worksheets of .xlsx files."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                cells = sheet_rows(content, sheet)
+                if cells:
+                    yield pd.DataFrame({"path": name, "row": range(len(cells)), "cells": cells})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "path string, row int, cells array<string>")
+
+
+def registry(spark: SparkSession, path: str, schema: str, root: str = "questions") -> DataFrame:
+    """The list under ``root`` of a YAML file, one row per entry; a small file, read on the driver."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise ImportError("YAML registries need the yaml package") from e
+    with open(path, encoding="utf-8") as file:
+        entries = (yaml.safe_load(file) or {}).get(root) or []
+    text = spark.createDataFrame([(json.dumps(e, default=str, ensure_ascii=False),) for e in entries], "j string")
+    return text.select(F.from_json("j", f"struct<{', '.join(c.replace(' ', ':', 1) for c in schema.split(', '))}>").alias("r")).select("r.*")
