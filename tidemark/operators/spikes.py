@@ -23,9 +23,9 @@ class Chart:
     else, also if it drifts back, the level has changed and the chart starts anew there.
     """
 
-    def __init__(self, scale: float, *, limit: float, most_off: int, weight: float = 0.02, level_weight: float = 0.7, clip: float = 4.0) -> None:
+    def __init__(self, scale: float, *, limit: float, most_off: int, weight: float = 0.02, level_weight: float = 0.7, clip: float = 2.5, nearness: float = 0.3) -> None:
         self.usual, self.scale, self.limit, self.most_off = scale, scale, limit, most_off
-        self.weight, self.level_weight, self.clip = weight, level_weight, clip
+        self.weight, self.level_weight, self.clip, self.nearness = weight, level_weight, clip, nearness
         self.level: float | None = None
         self.since = None
 
@@ -48,21 +48,23 @@ class Chart:
         while i < n:
             limit = self.limit * self.scale
             if self.level is None:
-                # the first readings may be off themselves: the level is what most of the first agree on
-                self.level, self.since = median(ys[: 2 * self.most_off + 3]), moments[i]
-                limit = self.limit * self.scale
+                # the first reading may be off itself: after a jump, the level is what most of the first agree on
+                jump = n > 1 and abs(ys[1] - ys[0]) > limit
+                self.level, self.since = median(ys[: 2 * self.most_off + 3]) if jump else ys[0], moments[i]
             off = ys[i] - self.level
             if abs(off) <= limit:
                 self.accept(ys[i], moments[i])
                 i += 1
                 continue
+            # back is within the usual movement; the level itself may wander during a large excursion
+            near = max(min(limit, self.nearness * abs(off)), self.nearness / 6 * abs(off))
             j, spent, last = i, 1, moments[i]
             back = -1
             while j + 1 < n:
                 j += 1
                 if moments[j] != last:
                     spent, last = spent + 1, moments[j]
-                if abs(ys[j] - self.level) <= min(limit, abs(off) / 2) and abs(ys[j] - ys[j - 1]) >= abs(off) / 2:
+                if abs(ys[j] - self.level) <= near and abs(ys[j] - ys[j - 1]) >= abs(off) / 2:
                     back = j
                     break
                 if spent > self.most_off:
@@ -170,7 +172,7 @@ def _chart(**how):
     return run
 
 
-def implausible(readings: DataFrame, *, limit: float = 11.0, most_off: int = 4, least_run: int = 7, run_factor: float = 5.0, hardly_moves: float = 2.5, shard_rows: int = 20_000, context: float = 0.05) -> DataFrame:
+def implausible(readings: DataFrame, *, limit: float = 9.0, most_off: int = 4, least_run: int = 7, run_factor: float = 5.0, hardly_moves: float = 2.5, shard_rows: int = 20_000, context: float = 0.05) -> DataFrame:
     """Flag impossible readings, spikes and stuck runs, each by what is normal for its source.
 
     ``readings``: dataset, source, moment (whole number, orders the readings; readings of

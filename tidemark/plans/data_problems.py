@@ -59,13 +59,13 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_periods(spark: SparkSession, folder: str) -> DataFrame:
     final = late_events.periods(_replayed(spark, folder))
-    return final.select(F.col("category").alias("event_type"), F.date_from_unix_date("day").cast("string").alias("day"), "n", F.col("n_value").alias("n_actual"), F.round("mean", 6).alias("mean_actual"))
+    return final.select(F.col("category").alias("event_type"), F.date_from_unix_date("day").cast("string").alias("day"), "n", F.col("n_value").alias("n_actual"), F.round("mean", 10).alias("mean_actual"))
 
 
 def p2_provisional(spark: SparkSession, folder: str) -> DataFrame:
     """The values published while a period's buffer was still open, with the moment of publishing."""
     shown = late_events.provisional(_replayed(spark, folder))
-    return shown.select(F.col("category").alias("event_type"), F.date_from_unix_date("day").cast("string").alias("day"), utc_text(F.col("at_us")).alias("published_at"), "n", F.col("n_value").alias("n_actual"), F.round("mean", 6).alias("mean_actual"))
+    return shown.select(F.col("category").alias("event_type"), F.date_from_unix_date("day").cast("string").alias("day"), utc_text(F.col("at_us")).alias("published_at"), "n", F.col("n_value").alias("n_actual"), F.round("mean", 10).alias("mean_actual"))
 
 
 # ---- 3: attributes as known at event time ----------------------------------------------

@@ -79,12 +79,12 @@ SQL = {
     "p1_found": f"WITH {_QUOTES} SELECT dataset, key_1, key_2, finding FROM found WHERE finding IS NOT NULL",
     "p1_summary": f"WITH {_QUOTES} SELECT dataset, finding, count(*) AS n FROM found WHERE finding IS NOT NULL GROUP BY ALL",
     "p2_found": f"WITH {_ARRIVALS} SELECT event_id, CASE WHEN late_us < 864000000000 THEN 'corrects' ELSE 'too_late' END AS fate FROM placed WHERE late_us >= 0",
-    "p2_periods": f"WITH {_ARRIVALS} SELECT event_type, strftime(d, '%Y-%m-%d') AS day, count(*) AS n, count(actual) AS n_actual, round(avg(actual), 6) AS mean_actual FROM placed WHERE late_us < 864000000000 GROUP BY event_type, d",
+    "p2_periods": f"WITH {_ARRIVALS} SELECT event_type, strftime(d, '%Y-%m-%d') AS day, count(*) AS n, count(actual) AS n_actual, round(avg(actual), 10) AS mean_actual FROM placed WHERE late_us < 864000000000 GROUP BY event_type, d",
     "p2_provisional": f"""WITH {_ARRIVALS},
         slots AS (SELECT event_type, d, actual, CASE WHEN late_us < 0 THEN 0 ELSE late_us // 86400000000 + 1 END AS k FROM placed WHERE late_us < 864000000000),
         per AS (SELECT event_type, d, k, count(*) n, count(actual) na, coalesce(sum(actual), 0) s FROM slots GROUP BY ALL),
         cum AS (SELECT event_type, d, k, sum(n) OVER w AS n, sum(na) OVER w AS na, sum(s) OVER w AS s FROM per WINDOW w AS (PARTITION BY event_type, d ORDER BY k))
-        SELECT event_type, strftime(d, '%Y-%m-%d') AS day, strftime(d + to_days((k + 1)::int), '%Y-%m-%d %H:%M:%S') AS published_at, n::bigint AS n, na::bigint AS n_actual, round(s / nullif(na, 0), 6) AS mean_actual FROM cum""",
+        SELECT event_type, strftime(d, '%Y-%m-%d') AS day, strftime(d + to_days((k + 1)::int), '%Y-%m-%d %H:%M:%S') AS published_at, n::bigint AS n, na::bigint AS n_actual, round(s / nullif(na, 0), 10) AS mean_actual FROM cum""",
     "p3_found": f"WITH {_KNOWN} SELECT event_id, alfred_id FROM ranked WHERE k = 1",
     "p3_attributes": f"WITH {_KNOWN} SELECT event_id, series_id, alfred_id, strftime(o, '%Y-%m-%d') AS observation_date, value FROM ranked WHERE k = 1",
     "p4_found": f"WITH {_NEAREST} SELECT yahoo_id, nyfed_id FROM pairs WHERE k = 1",
