@@ -146,3 +146,12 @@ def test_times_and_calendar(spark):
     y = F.lit(2024)
     one = spark.range(1).select(cal.easter(y), cal.nth_weekday(y, F.lit(11), 3, 4), cal.nth_weekday(y, F.lit(5), 0, -1), cal.observed(F.lit("2021-07-04").cast("date")), cal.observed(F.lit("2022-01-01").cast("date"))).first()
     assert [str(x) for x in one] == ["2024-03-31", "2024-11-28", "2024-05-27", "2021-07-05", "2021-12-31"]
+
+
+def test_average_ranks_over_ranges(spark):
+    rng = random.Random(8)
+    v = [float(rng.randrange(300)) for _ in range(1000)] + [None]
+    want = {x: sum(y < x for y in v[:-1]) + (sum(y == x for y in v[:-1]) + 1) / 2 for x in set(v[:-1])}
+    got = scoring.average_ranks(spark.createDataFrame([(x,) for x in v], "v double"), "v", "r", cells=17)
+    assert {r["v"]: r["r"] for r in got.collect()} == want and got.count() == 1000
+    assert scoring.average_ranks(spark.createDataFrame([], "v double"), "v", "r").count() == 0

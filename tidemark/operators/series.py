@@ -93,11 +93,11 @@ def correction_episodes(month_ends: DataFrame, keys: list[str], order: str, clos
 def greedy_gap(candidates: DataFrame, keys: list[str], day: str, distance: str, k: int, gap_days: int) -> DataFrame:
     """The ``k`` nearest candidates per key, each at least ``gap_days`` from those taken before.
 
-    Candidates are thinned first: within a span of ``gap_days`` only the nearest of each
-    cell can be among the picks of a greedy walk that starts there, so at most
-    k * (2 * cells + 1) of the nearest cells' bests are needed - the walk itself runs over
-    a bounded array per key.
+    The walk over the candidates by distance runs inside the engine, over one array per
+    key: for candidates of at most one per day (the best of each day is taken first).
     """
+    daily = candidates.groupBy(*keys, day).agg(F.min(distance).alias(distance))
+    candidates = daily.where(F.col(distance).isNotNull() & F.col(day).isNotNull())
     ordered = candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(distance).alias("d"), F.col(day).alias("t")))).alias("xs"))
     step = f"CASE WHEN size(s) >= {k} OR exists(s, y -> abs(datediff(y.t, x.t)) < {gap_days}) THEN s ELSE array_append(s, x) END"
     kind = candidates.select(F.struct(F.col(distance).alias("d"), F.col(day).alias("t")).alias("x")).schema["x"].dataType.simpleString()
