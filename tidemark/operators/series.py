@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -12,8 +12,15 @@ class Series:
     """Column makers for one ordered series per key."""
 
     def __init__(self, keys: list[str], order: str) -> None:
-        self.w = Window.partitionBy(*keys).orderBy(order)
-        self.so_far = self.w.rowsBetween(Window.unboundedPreceding, 0)
+        self.keys, self.order = keys, order
+
+    @property
+    def w(self) -> WindowSpec:
+        return Window.partitionBy(*self.keys).orderBy(self.order)
+
+    @property
+    def so_far(self) -> WindowSpec:
+        return self.w.rowsBetween(Window.unboundedPreceding, 0)
 
     def lag(self, c: Column, k: int = 1) -> Column:
         return F.lag(c, k).over(self.w)

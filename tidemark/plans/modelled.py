@@ -10,17 +10,16 @@ from tidemark.functions import kernels as K
 from tidemark.operators import models as M
 from tidemark.operators.series import Series
 from tidemark.plans import views as V
-from tidemark.plans.views import query
+from tidemark.plans.views import close, query
 
 S = Series(["series"], "date")
 MS = Series(["series"], "month")
-C = F.col("close")
 r6 = lambda c: F.round(c, 6)
 
 
 def _returns(spark: SparkSession, d: str, series: str = "1-URGENT") -> np.ndarray:
     """The log returns of one series: one number per day of the calendar."""
-    r = V.prices(spark, d).where(F.col("series") == series).select("series", "date", S.log_change(C).alias("r")).where("r IS NOT NULL").orderBy("date")
+    r = V.prices(spark, d).where(F.col("series") == series).select("series", "date", S.log_change(close()).alias("r")).where("r IS NOT NULL").orderBy("date")
     return np.array([x["r"] for x in r.select("r").collect()])
 
 
@@ -100,8 +99,8 @@ def fm12_baselines(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def fm13_direct_horizon(spark: SparkSession, d: str) -> DataFrame:
     """Ridge of the sum of the next 21 returns on return, volatility and drawdown today, per series."""
-    p = V.prices(spark, d).withColumn("r", S.log_change(C))
-    x = p.select("series", "r", S.rolling(F.stddev_samp, F.col("r"), 20).alias("vol"), S.drawdown(C).alias("dd"), (F.log(F.lead("close", 21).over(S.w)) - F.log(C)).alias("y")).dropna()
+    p = V.prices(spark, d).withColumn("r", S.log_change(close()))
+    x = p.select("series", "r", S.rolling(F.stddev_samp, F.col("r"), 20).alias("vol"), S.drawdown(close()).alias("dd"), (F.log(F.lead("close", 21).over(S.w)) - F.log(close())).alias("y")).dropna()
     out = [(k, t, round(float(b), 6)) for k, (xx, xy, _, _) in M.gram(x, ["r", "vol", "dd"], "y", "series").items() for t, b in zip(("r", "vol", "dd", "const"), M.solve(xx, xy, 1.0), strict=True)]
     return spark.createDataFrame(out, "series string, term string, coefficient double")
 
@@ -130,7 +129,7 @@ def fm16_event_overlay(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fm17_garch(spark: SparkSession, d: str) -> DataFrame:
-    p = V.prices(spark, d).select("series", "date", S.log_change(C).alias("r"))
+    p = V.prices(spark, d).select("series", "date", S.log_change(close()).alias("r"))
     names = ["omega", "alpha", "beta"]
     return M.fit_each(p, "series", "date", "r", lambda _, v: dict(zip(names, K.garch11(v), strict=True)), names).select("series", *(r6(F.col(c)).alias(c) for c in names))
 
@@ -165,7 +164,7 @@ def fm26_bootstrap_beta(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ev10_bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
-    p = V.prices(spark, d).select("series", "date", S.log_change(C).alias("r"))
+    p = V.prices(spark, d).select("series", "date", S.log_change(close()).alias("r"))
     return M.bootstrap_mean(p, "series", "date", "r", replicates=300, seed="ev10").select("series", "n", *(r6(F.col(c)).alias(c) for c in ("mean", "lo", "hi")))
 
 
@@ -175,7 +174,7 @@ def ev07_walk_forward(spark: SparkSession, d: str) -> DataFrame:
 
     Origins run in parallel: the history that an origin may use comes from a window that ends at it.
     """
-    p = V.prices(spark, d).withColumn("past", F.log(C) - S.lag(F.log(C), 21)).withColumn("y", F.log(F.lead("close", 21).over(S.w)) - F.log(C))
+    p = V.prices(spark, d).withColumn("past", F.log(close()) - S.lag(F.log(close()), 21)).withColumn("y", F.log(F.lead("close", 21).over(S.w)) - F.log(close()))
     known = S.w.rowsBetween(-520, 0)
     o = p.withColumn("last", F.max("date").over(Window.partitionBy("series", F.trunc("date", "week")))).withColumn("hist", F.collect_list("past").over(known)).where("date = last AND size(hist) >= 100 AND y IS NOT NULL")
     at = lambda q: F.expr(f"element_at(array_sort(hist), cast(floor(size(hist) * {q}) AS int) + 1)")
@@ -210,7 +209,7 @@ def al09_critical_times(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def al19_clusters(spark: SparkSession, d: str) -> DataFrame:
-    f = _months(spark, d).select("series", "month", MS.change(C, 1).alias("f0"), MS.change(C, 3).alias("f1"), MS.drawdown(C).alias("f2")).dropna()
+    f = _months(spark, d).select("series", "month", MS.change(close(), 1).alias("f0"), MS.change(close(), 3).alias("f1"), MS.drawdown(close()).alias("f2")).dropna()
     return M.cluster_each(f, "series", "month", ["f0", "f1", "f2"], 4)
 
 

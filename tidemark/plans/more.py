@@ -11,10 +11,9 @@ from tidemark.operators.ledger import first_of, row_hash
 from tidemark.operators.series import Series, correction_episodes, runs
 from tidemark.plans import views as V
 from tidemark.plans.tables import table
-from tidemark.plans.views import query
+from tidemark.plans.views import close, query
 
 S = Series(["series"], "date")
-C = F.col("close")
 r6 = lambda c: F.round(c, 6)
 ntz = lambda t: F.lit(t).cast("timestamp_ntz")
 _MONTHS = "(SELECT series, date_trunc('month', date)::date AS month, arg_max(close, date) AS close FROM v_price GROUP BY ALL)"
@@ -44,17 +43,17 @@ def pf11_zones(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT series, date, CASE WHEN date BETWEEN DATE '1998-07-01' AND DATE '1998-10-31' THEN 'stress' WHEN close > m THEN 'bull' WHEN close < m THEN 'bear' ELSE 'range' END AS regime FROM (SELECT *, avg(close) OVER (PARTITION BY series ORDER BY date ROWS 19 PRECEDING) AS m FROM v_price)")
 def pf12_regimes(spark: SparkSession, d: str) -> DataFrame:
-    m = S.rolling(F.avg, C, 20, full=False)
+    m = S.rolling(F.avg, close(), 20, full=False)
     in_stress = F.col("date").between("1998-07-01", "1998-10-31")
-    return V.prices(spark, d).select("series", "date", F.when(in_stress, "stress").when(C > m, "bull").when(C < m, "bear").otherwise("range").alias("regime"))
+    return V.prices(spark, d).select("series", "date", F.when(in_stress, "stress").when(close() > m, "bull").when(close() < m, "bear").otherwise("range").alias("regime"))
 
 
 @query("SELECT count(*) AS n, sum((close > 0 AND isfinite(close))::int)::bigint AS positive FROM v_price")
 def pf13_positive_guard(spark: SparkSession, d: str) -> DataFrame:
     """``raise_error`` where a close isn't positive and finite; counts what passed."""
-    ok = (C > 0) & ~F.isnan("close") & (C < float("inf"))
-    guarded = V.prices(spark, d).withColumn("close", F.when(ok, C).otherwise(F.raise_error(F.lit("close not positive")).cast("double")))
-    return guarded.agg(F.count(F.lit(1)).alias("n"), F.sum((C > 0).cast("int")).alias("positive"))
+    ok = (close() > 0) & ~F.isnan("close") & (close() < float("inf"))
+    guarded = V.prices(spark, d).withColumn("close", F.when(ok, close()).otherwise(F.raise_error(F.lit("close not positive")).cast("double")))
+    return guarded.agg(F.count(F.lit(1)).alias("n"), F.sum((close() > 0).cast("int")).alias("positive"))
 
 
 # ---- joins ----------------------------------------------------------------------------------
@@ -129,7 +128,7 @@ def tk05_greedy_gap(spark: SparkSession, d: str) -> DataFrame:
 
     m = _months(spark, d)
     last = m.groupBy("series").agg(F.max_by("close", "month").alias("here"), F.max("month").alias("origin"))
-    near = m.join(last, "series").where("month < origin").withColumn("distance", F.round(F.abs(C - F.col("here")), 6))
+    near = m.join(last, "series").where("month < origin").withColumn("distance", F.round(F.abs(close() - F.col("here")), 6))
     return greedy_gap(near, ["series"], "month", "distance", 5, 90)
 
 
@@ -178,15 +177,15 @@ def mu02_rebuild(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT series, date, round(ret, 6) AS ret, CASE WHEN n20 = 20 THEN round(vol * sqrt(252), 6) END AS vol20, CASE WHEN k >= 200 THEN round(close / m200 - 1, 6) END AS dist200, round(close / peak - 1, 6) AS drawdown, round(100 * close / base, 6) AS idx FROM (SELECT *, stddev_samp(lr) OVER f20 AS vol, count(lr) OVER f20 AS n20 FROM (SELECT *, close / lag(close) OVER w - 1 AS ret, ln(close) - lag(ln(close)) OVER w AS lr, avg(close) OVER (PARTITION BY series ORDER BY date ROWS 199 PRECEDING) AS m200, max(close) OVER w AS peak, first_value(close) OVER w AS base, row_number() OVER w AS k FROM v_price WINDOW w AS (PARTITION BY series ORDER BY date)) WINDOW f20 AS (PARTITION BY series ORDER BY date ROWS 19 PRECEDING))")
 def al01_derived_daily(spark: SparkSession, d: str) -> DataFrame:
     """All daily indicators over one partitioning and one sort."""
-    p = V.prices(spark, d).withColumn("lr", S.log_change(C))
-    return p.select("series", "date", r6(S.change(C)).alias("ret"), r6(S.rolling(F.stddev_samp, F.col("lr"), 20) * F.sqrt(F.lit(252.0))).alias("vol20"), r6(C / S.rolling(F.avg, C, 200) - 1).alias("dist200"), r6(S.drawdown(C)).alias("drawdown"), r6(100 * C / F.first("close").over(S.w)).alias("idx"))
+    p = V.prices(spark, d).withColumn("lr", S.log_change(close()))
+    return p.select("series", "date", r6(S.change(close())).alias("ret"), r6(S.rolling(F.stddev_samp, F.col("lr"), 20) * F.sqrt(F.lit(252.0))).alias("vol20"), r6(close() / S.rolling(F.avg, close(), 200) - 1).alias("dist200"), r6(S.drawdown(close())).alias("drawdown"), r6(100 * close() / F.first("close").over(S.w)).alias("idx"))
 
 
 @query("SELECT k::int AS shift, n, rmse FROM (SELECT k, count(*) AS n, round(sqrt(avg((a.z - b.z) * (a.z - b.z))), 6) AS rmse FROM (SELECT unnest(range(-12, 13)) AS k), (SELECT year(month) * 12 + month(month) AS m, (close - avg(close) OVER ()) / stddev_pop(close) OVER () AS z FROM " + _MONTHS + " WHERE series = '1-URGENT') a, (SELECT year(month) * 12 + month(month) AS m, (close - avg(close) OVER ()) / stddev_pop(close) OVER () AS z FROM " + _MONTHS + " WHERE series = '2-HIGH') b WHERE b.m = a.m + k GROUP BY k) WHERE n >= 24 ORDER BY rmse, k LIMIT 1")
 def al07_best_shift(spark: SparkSession, d: str) -> DataFrame:
     m = _months(spark, d).where("series IN ('1-URGENT', '2-HIGH')").withColumn("m", F.year("month") * 12 + F.month("month"))
     w = Window.partitionBy("series")
-    z = m.select("series", "m", ((C - F.avg("close").over(w)) / F.stddev_pop("close").over(w)).alias("z"))
+    z = m.select("series", "m", ((close() - F.avg("close").over(w)) / F.stddev_pop("close").over(w)).alias("z"))
     a = z.where("series = '1-URGENT'").select("m", F.col("z").alias("x"), F.explode(F.sequence(F.lit(-12), F.lit(12))).alias("shift"))
     b = z.where("series = '2-HIGH'").select(F.col("m").alias("mb"), F.col("z").alias("y"))
     diff = F.col("x") - F.col("y")
@@ -196,8 +195,8 @@ def al07_best_shift(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT p.series, round(l.close / o.close - 1, 6) AS one_year, round(100 * avg((p.close <= l.close)::int), 6) AS pctile FROM v_price p JOIN (SELECT series, close FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date DESC) AS k FROM v_price) WHERE k = 1) l ON p.series = l.series JOIN (SELECT series, close FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date DESC) AS k FROM v_price) WHERE k = 253) o ON p.series = o.series GROUP BY p.series, l.close, o.close")
 def al10_digest(spark: SparkSession, d: str) -> DataFrame:
     p = V.prices(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("series").orderBy(F.col("date").desc())))
-    ends = p.where("k IN (1, 253)").groupBy("series").agg(F.max(F.when(F.col("k") == 1, C)).alias("now"), F.max(F.when(F.col("k") == 253, C)).alias("then")).where("then IS NOT NULL")
-    return p.join(ends, "series").groupBy("series", "now", "then").agg(r6(100 * F.avg((C <= F.col("now")).cast("int"))).alias("pctile")).select("series", r6(F.col("now") / F.col("then") - 1).alias("one_year"), "pctile")
+    ends = p.where("k IN (1, 253)").groupBy("series").agg(F.max(F.when(F.col("k") == 1, close())).alias("now"), F.max(F.when(F.col("k") == 253, close())).alias("then")).where("then IS NOT NULL")
+    return p.join(ends, "series").groupBy("series", "now", "then").agg(r6(100 * F.avg((close() <= F.col("now")).cast("int"))).alias("pctile")).select("series", r6(F.col("now") / F.col("then") - 1).alias("one_year"), "pctile")
 
 
 @query("SELECT series, month, k FROM (SELECT a.series, a.month, row_number() OVER (PARTITION BY a.series ORDER BY abs(date_diff('month', a.month, DATE '1998-06-01')), a.month) AS k FROM " + _MONTHS + " a WHERE abs(date_diff('month', a.month, DATE '1998-06-01')) <= 6) WHERE k <= 4")
@@ -273,7 +272,7 @@ def fm24_dependency_cap(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT series, estimate, CASE WHEN n < 20 THEN 'insufficient' WHEN lo > 0 OR hi < 0 THEN 'significant' ELSE 'inconclusive' END AS state FROM (SELECT series, n, round(m, 6) AS estimate, m - 1.645 * s / sqrt(n) AS lo, m + 1.645 * s / sqrt(n) AS hi FROM (SELECT series, count(r) AS n, avg(r) AS m, stddev_samp(r) AS s FROM (SELECT series, ln(close) - lag(ln(close)) OVER (PARTITION BY series ORDER BY month) AS r FROM " + _MONTHS + ") GROUP BY series))")
 def fm27_significance(spark: SparkSession, d: str) -> DataFrame:
     s = Series(["series"], "month")
-    r = _months(spark, d).select("series", s.log_change(C).alias("r")).groupBy("series").agg(F.count("r").alias("n"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s"))
+    r = _months(spark, d).select("series", s.log_change(close()).alias("r")).groupBy("series").agg(F.count("r").alias("n"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s"))
     half = 1.645 * F.col("s") / F.sqrt("n")
     return r.select("series", r6(F.col("m")).alias("estimate"), F.when(F.col("n") < 20, "insufficient").when((F.col("m") - half > 0) | (F.col("m") + half < 0), "significant").otherwise("inconclusive").alias("state"))
 
@@ -292,7 +291,7 @@ def ev04_tail_weighted(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT h, count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)) / avg(abs(b)), 6) AS mase FROM (SELECT h, lead_r - mean_r AS e, lead_r AS b FROM (SELECT 5::int AS h, ln(lead(close, 5) OVER w / close) AS lead_r, avg(0.001) OVER w AS mean_r FROM v_price WINDOW w AS (PARTITION BY series ORDER BY date) UNION ALL SELECT 21, ln(lead(close, 21) OVER w / close), avg(0.002) OVER w FROM v_price WINDOW w AS (PARTITION BY series ORDER BY date)) WHERE lead_r IS NOT NULL) GROUP BY h")
 def ev08_backtest_summary(spark: SparkSession, d: str) -> DataFrame:
-    ahead = V.prices(spark, d).select(*(F.log(F.lead("close", h).over(S.w) / C).alias(f"b{h}") for h in (5, 21)))
+    ahead = V.prices(spark, d).select(*(F.log(F.lead("close", h).over(S.w) / close()).alias(f"b{h}") for h in (5, 21)))
     p = ahead.select(F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.lit(m).alias("m"), F.col(f"b{h}").alias("b")) for h, m in ((5, 0.001), (21, 0.002))))).alias("x")).select("x.*").where("b IS NOT NULL").withColumn("e", F.col("b") - F.col("m"))
     return p.groupBy("h").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.abs("e"))).alias("mae"), r6(F.sqrt(F.avg(F.col("e") * F.col("e")))).alias("rmse"), r6(F.avg(F.abs("e")) / F.avg(F.abs("b"))).alias("mase"))
 
@@ -368,13 +367,13 @@ def so09_fallback_tag(spark: SparkSession, d: str) -> DataFrame:
 def so11_tracking(spark: SparkSession, d: str) -> DataFrame:
     p = V.prices(spark, d)
     origin = p.where("date >= '1999-01-01'").groupBy("series").agg(F.min(F.struct("date", "close")).alias("o"))
-    return p.join(origin, "series").where("date >= o.date").select("series", "date", r6(C / F.col("o.close") - 1).alias("since"))
+    return p.join(origin, "series").where("date >= o.date").select("series", "date", r6(close() / F.col("o.close") - 1).alias("since"))
 
 
 @query("SELECT k, round(quantile_cont(ratio, 0.5), 6) AS shape, count(*) AS n FROM (SELECT series, row_number() OVER (PARTITION BY series ORDER BY month) - 1 AS k, close / first_value(close) OVER (PARTITION BY series ORDER BY month) AS ratio FROM " + _MONTHS + ") GROUP BY k")
 def so12_analog_shape(spark: SparkSession, d: str) -> DataFrame:
     s = Series(["series"], "month")
-    x = _months(spark, d).select((s.number() - 1).cast("long").alias("k"), (C / F.first("close").over(s.w)).alias("ratio"))
+    x = _months(spark, d).select((s.number() - 1).cast("long").alias("k"), (close() / F.first("close").over(s.w)).alias("ratio"))
     return x.groupBy("k").agg(r6(F.expr("percentile(ratio, 0.5)")).alias("shape"), F.count(F.lit(1)).alias("n"))
 
 
@@ -382,7 +381,7 @@ def so12_analog_shape(spark: SparkSession, d: str) -> DataFrame:
 def so13_strength_by_bisection(spark: SparkSession, d: str) -> DataFrame:
     """How much the residuals of each series must be damped for a worst fall of 30 %, by 40 halvings at once for all."""
     s = Series(["series"], "month")
-    x = _months(spark, d).withColumn("r", F.coalesce(s.log_change(C), F.lit(0.0)))
+    x = _months(spark, d).withColumn("r", F.coalesce(s.log_change(close()), F.lit(0.0)))
     arrays = x.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("month", "r"))).alias("a"))
     depth = "aggregate(a, named_struct('l', 0D, 'p', 0D, 'd', 0D), (s, e) -> named_struct('l', s.l + {k} * e.r, 'p', greatest(s.p, s.l + {k} * e.r), 'd', least(s.d, s.l + {k} * e.r - greatest(s.p, s.l + {k} * e.r))), s -> exp(s.d) - 1)"
     mid = "((b.lo + b.hi) / 2)"
@@ -437,14 +436,14 @@ def so23_cluster_audit(spark: SparkSession, d: str) -> DataFrame:
 def so24_conditional_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of 21 returns whose sum lies in a slice of its series' distribution."""
     ahead = S.w.rowsBetween(0, 20)
-    x = V.prices(spark, d).withColumn("r", S.log_change(C)).select("series", "date", F.sum("r").over(ahead).alias("s"), F.count("r").over(ahead).alias("n")).where("n = 21")
+    x = V.prices(spark, d).withColumn("r", S.log_change(close())).select("series", "date", F.sum("r").over(ahead).alias("s"), F.count("r").over(ahead).alias("n")).where("n = 21")
     q = x.groupBy("series").agg(F.expr("percentile(s, array(0.2, 0.4))").alias("q"))
     return x.join(q, "series").where(F.col("s").between(F.col("q")[0], F.col("q")[1])).select("series", "date", r6(F.col("s")).alias("total"))
 
 
 @query("SELECT series, date, CASE WHEN s <= a THEN 'down' WHEN s >= b THEN 'up' ELSE 'flat' END AS phase FROM (SELECT series, date, s, quantile_cont(s, 0.3) OVER (PARTITION BY series) AS a, quantile_cont(s, 0.7) OVER (PARTITION BY series) AS b FROM (SELECT series, date, sum(r) OVER (PARTITION BY series ORDER BY date ROWS 9 PRECEDING) AS s FROM (SELECT series, date, ln(close) - lag(ln(close)) OVER (PARTITION BY series ORDER BY date) AS r FROM v_price)))")
 def so26_phase_labels(spark: SparkSession, d: str) -> DataFrame:
-    x = V.prices(spark, d).withColumn("r", S.log_change(C)).select("series", "date", S.rolling(F.sum, F.col("r"), 10, full=False).alias("s"))
+    x = V.prices(spark, d).withColumn("r", S.log_change(close())).select("series", "date", S.rolling(F.sum, F.col("r"), 10, full=False).alias("s"))
     q = x.groupBy("series").agg(F.expr("percentile(s, array(0.3, 0.7))").alias("q"))
     return x.join(q, "series").select("series", "date", F.when(F.col("s") <= F.col("q")[0], "down").when(F.col("s") >= F.col("q")[1], "up").otherwise("flat").alias("phase"))
 

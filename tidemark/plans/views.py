@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.tables import table
@@ -25,6 +25,11 @@ def query(sql: str | None = None):
     return register
 
 
+def close() -> Column:
+    """The close of a daily price."""
+    return F.col("close")
+
+
 def prices(spark: SparkSession, d: str) -> DataFrame:
     """Daily closes: (series, date, close, volume), one row per series and day."""
     o = table(spark, d, "orders")

@@ -9,11 +9,10 @@ from tidemark.operators import pit, scoring
 from tidemark.operators.series import Series, correction_episodes, ewma_variance, greedy_gap, rsi, runs
 from tidemark.plans import views as V
 from tidemark.plans.tables import table
-from tidemark.plans.views import query
+from tidemark.plans.views import close, query
 
 S = Series(["series"], "date")
 W = "WINDOW w AS (PARTITION BY series ORDER BY date)"
-C = F.col("close")
 r6 = lambda c: F.round(c, 6)
 
 
@@ -39,7 +38,7 @@ def wn03_close_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT series, date, round(close / lag(close) OVER w - 1, 6) AS ret, round(ln(close) - lag(ln(close)) OVER w, 6) AS log_ret, round(close - lag(close) OVER w, 4) AS diff FROM v_price {W}")
 def wn04_returns(spark: SparkSession, d: str) -> DataFrame:
-    return V.prices(spark, d).select("series", "date", r6(S.change(C)).alias("ret"), r6(S.log_change(C)).alias("log_ret"), F.round(C - S.lag(C), 4).alias("diff"))
+    return V.prices(spark, d).select("series", "date", r6(S.change(close())).alias("ret"), r6(S.log_change(close())).alias("log_ret"), F.round(close() - S.lag(close()), 4).alias("diff"))
 
 
 _R = "(SELECT *, ln(close) - lag(ln(close)) OVER (PARTITION BY series ORDER BY date) AS r FROM v_price)"
@@ -47,14 +46,14 @@ _R = "(SELECT *, ln(close) - lag(ln(close)) OVER (PARTITION BY series ORDER BY d
 
 @query(f"SELECT series, date, CASE WHEN count(r) OVER f20 = 20 THEN round(stddev_samp(r) OVER f20 * sqrt(252), 6) END AS vol20, CASE WHEN count(r) OVER f60 = 60 THEN round(stddev_samp(r) OVER f60 * sqrt(252), 6) END AS vol60 FROM {_R} WINDOW f20 AS (PARTITION BY series ORDER BY date ROWS 19 PRECEDING), f60 AS (PARTITION BY series ORDER BY date ROWS 59 PRECEDING)")
 def wn05_rolling_volatility(spark: SparkSession, d: str) -> DataFrame:
-    r = V.prices(spark, d).withColumn("r", S.log_change(C))
+    r = V.prices(spark, d).withColumn("r", S.log_change(close()))
     vol = lambda n: r6(S.rolling(F.stddev_samp, F.col("r"), n) * F.sqrt(F.lit(252.0)))
     return r.select("series", "date", vol(20).alias("vol20"), vol(60).alias("vol60"))
 
 
 @query("SELECT series, date, CASE WHEN count(close) OVER f = 200 THEN round(close / avg(close) OVER f - 1, 6) END AS distance FROM v_price WINDOW f AS (PARTITION BY series ORDER BY date ROWS 199 PRECEDING)")
 def wn06_mean_distance(spark: SparkSession, d: str) -> DataFrame:
-    return V.prices(spark, d).select("series", "date", r6(C / S.rolling(F.avg, C, 200) - 1).alias("distance"))
+    return V.prices(spark, d).select("series", "date", r6(close() / S.rolling(F.avg, close(), 200) - 1).alias("distance"))
 
 
 _ERA = "(VALUES ('early', DATE '1995-01-01', DATE '1997-12-31'), ('late', DATE '1997-07-01', DATE '2001-12-31')) e(era, a, b)"
@@ -67,7 +66,7 @@ def _in_eras(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT era, series, date, round(close / max(close) OVER (PARTITION BY era, series ORDER BY date) - 1, 6) AS drawdown FROM v_price JOIN {_ERA} ON date BETWEEN e.a AND e.b")
 def wn07_drawdown_in_era(spark: SparkSession, d: str) -> DataFrame:
-    return _in_eras(spark, d).select("era", "series", "date", r6(Series(["era", "series"], "date").drawdown(C)).alias("drawdown"))
+    return _in_eras(spark, d).select("era", "series", "date", r6(Series(["era", "series"], "date").drawdown(close())).alias("drawdown"))
 
 
 @query("SELECT series, date, row_number() OVER w - min(CASE WHEN date >= DATE '1998-01-01' THEN k END) OVER (PARTITION BY series) AS cycle_day FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date) AS k FROM v_price) WINDOW w AS (PARTITION BY series ORDER BY date)")
@@ -79,7 +78,7 @@ def wn08_offset_from_anchor(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT era, series, date, round(100 * close / first_value(close) OVER (PARTITION BY era, series ORDER BY date), 6) AS idx FROM v_price JOIN {_ERA} ON date BETWEEN e.a AND e.b")
 def wn09_rebase(spark: SparkSession, d: str) -> DataFrame:
-    return _in_eras(spark, d).select("era", "series", "date", r6(100 * C / F.first("close").over(Window.partitionBy("era", "series").orderBy("date"))).alias("idx"))
+    return _in_eras(spark, d).select("era", "series", "date", r6(100 * close() / F.first("close").over(Window.partitionBy("era", "series").orderBy("date"))).alias("idx"))
 
 
 @query("SELECT domain, forecast_id, round(avg(brier) OVER w, 8) AS rolling, count(*) OVER w AS n FROM v_res WINDOW w AS (PARTITION BY domain ORDER BY resolved_date, forecast_id ROWS 9 PRECEDING)")
@@ -104,7 +103,7 @@ def wn12_z_of_rolling_mean(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT series, date, CASE WHEN count(r) OVER f = 21 THEN round(sum(r) OVER f, 6) END AS r21 FROM {_R} WINDOW f AS (PARTITION BY series ORDER BY date ROWS 20 PRECEDING)")
 def wn13_rolling_sum(spark: SparkSession, d: str) -> DataFrame:
-    r = V.prices(spark, d).withColumn("r", S.log_change(C))
+    r = V.prices(spark, d).withColumn("r", S.log_change(close()))
     return r.select("series", "date", r6(S.rolling(F.sum, F.col("r"), 21)).alias("r21"))
 
 
@@ -116,7 +115,7 @@ def wn14_change_over_k(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT series, date, round(close - max(close) OVER (PARTITION BY series ORDER BY date ROWS 12 PRECEDING), 4) AS off_peak FROM v_price")
 def wn15_off_rolling_peak(spark: SparkSession, d: str) -> DataFrame:
-    return V.prices(spark, d).select("series", "date", F.round(C - S.rolling(F.max, C, 13, full=False), 4).alias("off_peak"))
+    return V.prices(spark, d).select("series", "date", F.round(close() - S.rolling(F.max, close(), 13, full=False), 4).alias("off_peak"))
 
 
 @query("SELECT series_id, date, sum((value > p)::int) OVER f::bigint AS rises, sum((value < p)::int) OVER f::bigint AS falls FROM (SELECT *, lag(value) OVER (PARTITION BY series_id ORDER BY date) AS p FROM v_macro) WINDOW f AS (PARTITION BY series_id ORDER BY date ROWS 3 PRECEDING)")
@@ -138,18 +137,18 @@ def wn17_year_on_year(spark: SparkSession, d: str) -> DataFrame:
 def wn18_adjacent_months(spark: SparkSession, d: str) -> DataFrame:
     s = Series(["series"], "month")
     m = V.prices(spark, d).groupBy("series", F.trunc("date", "month").alias("month")).agg(F.max_by("close", "date").alias("close"))
-    return m.withColumn("r", r6(s.log_change(C))).withColumn("pm", s.lag(F.col("month"))).where("pm = add_months(month, -1)").select("series", "month", "r")
+    return m.withColumn("r", r6(s.log_change(close()))).withColumn("pm", s.lag(F.col("month"))).where("pm = add_months(month, -1)").select("series", "month", "r")
 
 
 @query(f"SELECT era, series, date, round(lead(close, 21) OVER w / close - 1, 6) AS f21 FROM v_price JOIN {_ERA} ON date BETWEEN e.a AND e.b WINDOW w AS (PARTITION BY era, series ORDER BY date)")
 def wn19_forward_return(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("era", "series").orderBy("date")
-    return _in_eras(spark, d).select("era", "series", "date", r6(F.lead("close", 21).over(w) / C - 1).alias("f21"))
+    return _in_eras(spark, d).select("era", "series", "date", r6(F.lead("close", 21).over(w) / close() - 1).alias("f21"))
 
 
 @query(f"SELECT series, date, CASE WHEN count(r) OVER f = 21 THEN round(avg(least(r, 0) * least(r, 0)) OVER f, 8) END AS semivariance FROM {_R} WINDOW f AS (PARTITION BY series ORDER BY date ROWS 20 PRECEDING)")
 def wn20_downside_semivariance(spark: SparkSession, d: str) -> DataFrame:
-    r = V.prices(spark, d).withColumn("r", S.log_change(C)).withColumn("q", F.when(F.col("r").isNotNull(), F.pow(F.least("r", F.lit(0.0)), F.lit(2))))
+    r = V.prices(spark, d).withColumn("r", S.log_change(close())).withColumn("q", F.when(F.col("r").isNotNull(), F.pow(F.least("r", F.lit(0.0)), F.lit(2))))
     return r.select("series", "date", F.round(S.rolling(F.avg, F.col("q"), 21), 8).alias("semivariance"))
 
 
@@ -166,7 +165,7 @@ def wn21_rsi(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT a.series, a.date, round(sum(CASE WHEN b.k = 1 THEN power(0.94, a.k - b.k) ELSE 0.06 * power(0.94, a.k - b.k) END * b.r * b.r), 8) AS variance FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date) AS k FROM {_R} WHERE r IS NOT NULL) a
     JOIN (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date) AS k FROM {_R} WHERE r IS NOT NULL) b ON a.series = b.series AND b.k <= a.k GROUP BY a.series, a.date""")
 def wn22_ewma_variance(spark: SparkSession, d: str) -> DataFrame:
-    r = V.prices(spark, d).withColumn("r", S.log_change(C)).where("r IS NOT NULL")
+    r = V.prices(spark, d).withColumn("r", S.log_change(close())).where("r IS NOT NULL")
     return ewma_variance(r, ["series"], "date", "r").select("series", "date", F.round("variance", 8).alias("variance"))
 
 
@@ -180,7 +179,7 @@ def wn23_carry_forward(spark: SparkSession, d: str) -> DataFrame:
 def wn24_quartile_labels(spark: SparkSession, d: str) -> DataFrame:
     p = V.prices(spark, d)
     q = p.groupBy("series").agg(F.expr("percentile(close, array(0.25, 0.5, 0.75))").alias("q"))
-    above = sum(((C > F.col("q")[i]).cast("int") for i in range(3)), F.lit(1))
+    above = sum(((close() > F.col("q")[i]).cast("int") for i in range(3)), F.lit(1))
     return p.join(q, "series").select("series", "date", above.alias("quartile"))
 
 
@@ -194,7 +193,7 @@ def wn25_cap_per_group(spark: SparkSession, d: str) -> DataFrame:
 def wn26_latched_signal(spark: SparkSession, d: str) -> DataFrame:
     from tidemark.operators.ledger import running_latch
 
-    return V.prices(spark, d).select("series", "date", running_latch(None, ["series"], "date", C > 450000, C < 50000).cast("int").alias("state"))
+    return V.prices(spark, d).select("series", "date", running_latch(None, ["series"], "date", close() > 450000, close() < 50000).cast("int").alias("state"))
 
 
 # ---- alignment and analogs -------------------------------------------------------------------
@@ -216,7 +215,7 @@ def al02_correction_episodes(spark: SparkSession, d: str) -> DataFrame:
 def al03_overlay(spark: SparkSession, d: str) -> DataFrame:
     m = _month_ends(spark, d).where("(series = '1-URGENT' AND month >= '1995-01-01') OR (series = '2-HIGH' AND month >= '1996-01-01')")
     w = Window.partitionBy("series").orderBy("month")
-    x = m.select("series", F.row_number().over(w).alias("k"), (100 * C / F.first("close").over(w)).alias("x")).where("k <= 43")
+    x = m.select("series", F.row_number().over(w).alias("k"), (100 * close() / F.first("close").over(w)).alias("x")).where("k <= 43")
     pair = x.groupBy("k").agg(F.max(F.when(F.col("series") == "1-URGENT", F.col("x"))).alias("a"), F.max(F.when(F.col("series") == "2-HIGH", F.col("x"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     return pair.agg(r6(F.corr("a", "b")).alias("r"), F.count(F.lit(1)).alias("n"))
 
@@ -226,8 +225,8 @@ def al04_analogs(spark: SparkSession, d: str) -> DataFrame:
     """Months most like each series' last one by five standardised features, at least 90 days apart, with what followed."""
     s = Series(["series"], "month")
     f = _month_ends(spark, d).select(
-        "series", "month", "close", s.change(C, 1).alias("f0"), s.change(C, 3).alias("f1"), s.change(C, 12).alias("f2"), s.drawdown(C).alias("f3"), s.rolling(F.stddev_samp, C, 6).alias("f4"),
-        (F.lead("close", 3).over(s.w) / C - 1).alias("f3m"),
+        "series", "month", "close", s.change(close(), 1).alias("f0"), s.change(close(), 3).alias("f1"), s.change(close(), 12).alias("f2"), s.drawdown(close()).alias("f3"), s.rolling(F.stddev_samp, close(), 6).alias("f4"),
+        (F.lead("close", 3).over(s.w) / close() - 1).alias("f3m"),
     ).dropna(subset=["f0", "f1", "f2", "f3", "f4"])
     last = f.groupBy("series").agg(F.max("month").alias("origin"))
     pool = f.join(last, "series").where("month < origin")
@@ -240,7 +239,7 @@ def al04_analogs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT w, series, round(last / first - 1, 6) AS total, round(mdd, 6) AS mdd, n FROM (SELECT era AS w, series, arg_max(close, date) AS last, arg_min(close, date) AS first, min(dd) AS mdd, count(*) AS n FROM (SELECT era, series, date, close, close / max(close) OVER (PARTITION BY era, series ORDER BY date) - 1 AS dd FROM v_price JOIN {_ERA} ON date BETWEEN e.a AND e.b) GROUP BY ALL)")
 def al08_window_metrics(spark: SparkSession, d: str) -> DataFrame:
-    x = _in_eras(spark, d).withColumn("dd", Series(["era", "series"], "date").drawdown(C))
+    x = _in_eras(spark, d).withColumn("dd", Series(["era", "series"], "date").drawdown(close()))
     return x.groupBy(F.col("era").alias("w"), "series").agg(r6(F.max_by("close", "date") / F.min_by("close", "date") - 1).alias("total"), r6(F.min("dd")).alias("mdd"), F.count(F.lit(1)).alias("n"))
 
 
@@ -264,7 +263,7 @@ def al15_lead_lag(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT series, up, min(date) AS begin, max(date) AS end, count(*) AS length FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date) - row_number() OVER (PARTITION BY series, up ORDER BY date) AS g FROM (SELECT series, date, coalesce(close > lag(close) OVER (PARTITION BY series ORDER BY date), false)::int AS up FROM v_price)) GROUP BY series, up, g HAVING count(*) >= 5")
 def al20_phase_runs(spark: SparkSession, d: str) -> DataFrame:
-    up = V.prices(spark, d).select("series", "date", F.coalesce((C > S.lag(C)).cast("int"), F.lit(0)).alias("up"))
+    up = V.prices(spark, d).select("series", "date", F.coalesce((close() > S.lag(close())).cast("int"), F.lit(0)).alias("up"))
     return runs(up, ["series"], "date", "up").where("length >= 5")
 
 
@@ -350,7 +349,7 @@ def ev01_brier_log(spark: SparkSession, d: str) -> DataFrame:
 def ev02_pinball(spark: SparkSession, d: str) -> DataFrame:
     p = V.prices(spark, d)
     q = p.groupBy("series").agg(F.expr("percentile(close, 0.1)").alias("q"))
-    return p.join(q, "series").groupBy("series").agg(F.round(F.avg(scoring.pinball(F.lit(0.1), F.col("q"), C)), 4).alias("loss"))
+    return p.join(q, "series").groupBy("series").agg(F.round(F.avg(scoring.pinball(F.lit(0.1), F.col("q"), close())), 4).alias("loss"))
 
 
 @query("SELECT engine, step, round(avg(abs(level - 100)) - sum((2 * k - n - 1) * level) / max(n * n), 6) AS crps FROM (SELECT engine, step, level, row_number() OVER (PARTITION BY engine, step ORDER BY level) AS k, count(*) OVER (PARTITION BY engine, step) AS n FROM v_paths) GROUP BY engine, step")
@@ -377,7 +376,7 @@ def ev06_walk_forward(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT series, n, round(m, 6) AS mean, round(m / sqrt((s0 + 2 * (2.0 / 3) * s1 + 2 * (1.0 / 3) * s2) / n), 4) AS dm FROM (SELECT series, count(*) AS n, max(m) AS m, sum(d * d) / count(*) AS s0, sum(d * l1) / count(*) AS s1, sum(d * l2) / count(*) AS s2 FROM
     (SELECT series, m, d, lag(d) OVER w AS l1, lag(d, 2) OVER w AS l2 FROM (SELECT series, date, r, avg(r) OVER (PARTITION BY series) AS m, r - avg(r) OVER (PARTITION BY series) AS d FROM """ + _R + """ WHERE r IS NOT NULL) WINDOW w AS (PARTITION BY series ORDER BY date)) GROUP BY series) WHERE s0 + 2 * (2.0 / 3) * s1 + 2 * (1.0 / 3) * s2 > 0""")
 def ev09_diebold_mariano(spark: SparkSession, d: str) -> DataFrame:
-    r = V.prices(spark, d).withColumn("r", S.log_change(C)).where("r IS NOT NULL")
+    r = V.prices(spark, d).withColumn("r", S.log_change(close())).where("r IS NOT NULL")
     return scoring.diebold_mariano(r, ["series"], "date", "r", 2).where("dm IS NOT NULL").select("series", "n", r6(F.col("mean")).alias("mean"), F.round("dm", 4).alias("dm"))
 
 
