@@ -257,11 +257,11 @@ def fm05_ensemble_weights(spark: SparkSession, d: str) -> DataFrame:
     return w.select("engine", r6(F.col("w") / F.sum("w").over(every)).alias("weight"))
 
 
-@query("SELECT engine, round(CASE WHEN engine = 0 THEN 0.35 + 0.65 * s ELSE 0.65 * s END, 6) AS weight FROM (SELECT engine, CASE WHEN m > a THEN 0 ELSE exp(-m) END / sum(CASE WHEN m > a THEN 0 ELSE exp(-m) END) OVER () AS s FROM (SELECT engine, avg(abs(fin - 100)) AS m FROM (SELECT path_id, engine, arg_max(level, step) AS fin FROM v_paths GROUP BY ALL) GROUP BY 1), (SELECT avg(abs(fin - 100)) AS a FROM (SELECT path_id, engine, arg_max(level, step) AS fin FROM v_paths GROUP BY ALL) WHERE engine = 0))")
+@query("SELECT engine, round(CASE WHEN engine = 0 THEN 0.35 + 0.65 * s ELSE 0.65 * s END, 6) AS weight FROM (SELECT engine, CASE WHEN m > a THEN 0 ELSE exp(-m) END / sum(CASE WHEN m > a THEN 0 ELSE exp(-m) END) OVER () AS s FROM (SELECT engine, round(avg(abs(fin - 100)), 9) AS m FROM (SELECT path_id, engine, arg_max(level, step) AS fin FROM v_paths GROUP BY ALL) GROUP BY 1), (SELECT round(avg(abs(fin - 100)), 9) AS a FROM (SELECT path_id, engine, arg_max(level, step) AS fin FROM v_paths GROUP BY ALL) WHERE engine = 0))")
 def fm14_constrained_stacking(spark: SparkSession, d: str) -> DataFrame:
     """Softmax of the losses; none for components worse than the anchor (engine 0), which keeps its floor."""
-    m = V.paths(spark, d).groupBy("path_id", "engine").agg(F.max_by("level", "step").alias("fin")).groupBy("engine").agg(F.avg(F.abs(F.col("fin") - 100)).alias("m"))
-    every = Window.partitionBy(F.lit(1))
+    m = V.paths(spark, d).groupBy("path_id", "engine").agg(F.max_by("level", "step").alias("fin")).groupBy("engine").agg(F.round(F.avg(F.abs(F.col("fin") - 100)), 9).alias("m"))
+    every = Window.partitionBy(F.lit(1))  # a row per engine
     anchor = F.max(F.when(F.col("engine") == 0, F.col("m"))).over(every)
     raw = m.withColumn("e", F.when(F.col("m") > anchor, 0.0).otherwise(F.exp(-F.col("m"))))
     share = raw.withColumn("s", F.col("e") / F.sum("e").over(every))
