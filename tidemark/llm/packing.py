@@ -100,6 +100,11 @@ def _ranked(pieces: DataFrame, order: Sequence[str], slices: int) -> DataFrame:
     return local.join(offsets, ["length", "slice"]).withColumn("rank", F.col("begin") + F.col("at")).drop("slice", "at", "begin")
 
 
+def _slices(histogram: dict[int, int], least: int, slice_rows: int = 500_000) -> int:
+    """Slices of a length, so many that the most frequent one has about ``slice_rows`` pieces in each."""
+    return max(least, -(-max(histogram.values(), default=0) // slice_rows))
+
+
 def histogram_of(pieces: DataFrame) -> dict[int, int]:
     """How many pieces of each length there are; at most ``capacity`` + 1 rows come to the driver."""
     return {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -118,10 +123,11 @@ def pack(sizes: DataFrame, *, id: str, size: str, capacity: int = 2048, slices:
     null size is left out; repeated and null ids are items of their own; no items, no rows.
     """
     pieces = items(sizes, id=id, size=size, capacity=capacity)
-    plan = fill_plan(histogram_of(pieces), capacity)
+    histogram = histogram_of(pieces)
+    plan = fill_plan(histogram, capacity)
     spark = sizes.sparkSession
     rules = spark.createDataFrame([tuple(map(int, r)) for r in plan], "length long, from_rank long, to_rank long, container long, times long, offset long")
-    ranked = _ranked(pieces.where("length > 0"), [id, "part"], slices)
+    ranked = _ranked(pieces.where("length > 0"), [id, "part"], _slices(histogram, slices))
     # the plan has a few rows per length, whatever the number of items
     placed = ranked.join(F.broadcast(rules), "length").where("rank >= from_rank AND rank < to_rank")
     done = placed.select(id, "part", F.expr("container + (rank - from_rank) div times").alias("container"), F.expr("offset + ((rank - from_rank) % times) * length").alias("place"), "length")
@@ -148,6 +154,6 @@ def bucket_batches(sizes: DataFrame, *, id: str, size: str, capacity: int = 2048
         base += -(-seen // (capacity // bound))
         low = bound
     rules = spark.createDataFrame([tuple(map(int, r)) for r in rows], "length long, bound long, begin long, base long, per long")
-    ranked = _ranked(pieces.where("length > 0"), [id, "part"], slices)
+    ranked = _ranked(pieces.where("length > 0"), [id, "part"], _slices(histogram, slices))
     placed = ranked.join(F.broadcast(rules), "length").withColumn("rank", F.col("rank") + F.col("begin"))
     return placed.select(id, "part", F.expr("base + rank div per").alias("container"), F.expr("(rank % per) * bound").alias("place"), "length", "bound")
