@@ -2,7 +2,7 @@ import random
 
 from conftest import rows
 
-from tidemark.operators.known_at import NEVER, known_at
+from tidemark.operators.known_at import NEVER, known_at, shard_width
 
 V = "entity string, lo long, hi long, rank_1 long, rank_2 long, version long, number int"
 E = "entity string, tick long, id string, version int"
@@ -50,3 +50,9 @@ def test_wide_attributes_and_clashing_names(spark):
 def test_empty(spark):
     assert run(spark, [], [("A", 1, None, 1, 1, 1, 0)], 8) == []
     assert run(spark, [("A", 1, "e", 0)], [], 8) == []
+
+
+def test_dense_entities_get_narrow_shards(spark):
+    versions = spark.createDataFrame([("A", n % 100, None, 1, 1, n, 0) for n in range(1000)] + [("B", 5, None, 1, 1, 1, 0)], V)
+    assert shard_width(versions, 100_000) == 512 and shard_width(versions, 100) == 8 and shard_width(versions.limit(0), 100) == 512
+    assert run(spark, [("A", 50, "e", 0)], [("A", n % 100, None, 1, n % 100, n, 0) for n in range(1000)], None) == [("e", 950)]

@@ -122,13 +122,28 @@ def number_events(changes: DataFrame, events: DataFrame, *, width: int = 512) ->
     return counted.where("change = 1").select("entity", "number", "version"), counted.where("change = 0").select("entity", "number", "id")
 
 
-def known_at(events: DataFrame, versions: DataFrame, *, wide: DataFrame | None = None, width: int = 512) -> DataFrame:
+def shard_width(versions: DataFrame, shard_rows: int, most: int = 512) -> int:
+    """Ticks per shard so that the densest entity has about ``shard_rows`` versions in one; at most ``most``.
+
+    One aggregation with a small state per entity; one number comes to the driver.
+    """
+    per = versions.groupBy("entity").agg((F.count(F.lit(1)) / (F.max("lo") - F.min("lo") + 1)).alias("density"))
+    density = per.agg(F.max("density")).first()[0] or 0.0
+    width = most
+    while width > 1 and density * width > shard_rows:
+        width //= 2
+    return width
+
+
+def known_at(events: DataFrame, versions: DataFrame, *, wide: DataFrame | None = None, width: int | None = None, shard_rows: int = 100_000) -> DataFrame:
     """Each event with the version of its entity that was known, and best, at its time.
 
     ``events``: entity, tick, id; ``versions``: see :func:`best_version_changes`; ``wide``:
     further attributes keyed by ``version``, joined to the numbered versions first and so
     carried once per version. Events get their version's number and are equi-joined on
     entity and number. Nothing that began later than an event or had ended is ever seen.
+    Without ``width`` the shards of time are cut so that none holds much more than
+    ``shard_rows`` versions of an entity (:func:`shard_width`).
 
     Defined cases: events or versions with a null entity or tick are left out; versions
     with a null hi never end; empty periods (hi <= lo) never live; events without a live
@@ -136,6 +151,7 @@ def known_at(events: DataFrame, versions: DataFrame, *, wide: DataFrame | None =
     attribute named entity, number or id gets ``_attribute`` behind its name.
     """
     v = versions.where("entity IS NOT NULL AND lo IS NOT NULL AND version IS NOT NULL").withColumn("hi", F.coalesce(F.col("hi"), F.lit(NEVER))).where("hi > lo")
+    width = width or shard_width(v, shard_rows)
     # read three times below: checkpointed, so that the sweep runs once and a lost executor costs no second one
     changes = cut_lineage(best_version_changes(v, width=width))
     numbered, asked = number_events(changes, events.where("entity IS NOT NULL AND tick IS NOT NULL"), width=width)

@@ -26,8 +26,9 @@ def pinball(level: Column, prediction: Column, actual: Column) -> Column:
 def murphy(scored: DataFrame, bins: int = 10, p: str = "p", y: str = "outcome", digits: int = 8) -> DataFrame:
     """Reliability, resolution and uncertainty over equal bins of the probability."""
     per = scored.groupBy(F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("p"), F.sum(y).alias("s"))
-    o, base = F.col("s") / F.col("n"), F.col("all_s") / F.col("all_n")
-    both = per.crossJoin(F.broadcast(per.agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))))  # one row
+    every = Window.partitionBy(F.lit(1))  # a row per bin
+    both = per.withColumn("base", F.sum("s").over(every) / F.sum("n").over(every))
+    o, base = F.col("s") / F.col("n"), F.col("base")
     r = lambda c: F.round(c, digits)
     return both.agg(
         r(F.sum(F.col("n") * (F.col("p") - o) * (F.col("p") - o)) / F.sum("n")).alias("reliability"),
