@@ -25,21 +25,24 @@ FUNCTION_WORDS = frozenset(
 KOREAN_ENDINGS = ("다", "요", "음", "함", "됨", "임")
 
 _END = re.compile(r"(?<=[.!?。])[\"'”’)]*(?=\s|$)")
-_LAST = re.compile(r"[.!?。][\s\"'”’)]*$")
+_STOP_SIGNS = (".", "!", "?", "。")
+_AFTER_STOP = " \t\"'”’)"
 _WORD = re.compile(r"[A-Za-z']+|[가-힣]+")
 _LINK = re.compile(r"(?:h(?:tt|xx)ps?://|www[.\[])\S+", re.IGNORECASE)
 _HANGUL = re.compile(r"[가-힣]+")
 _STOPS = re.compile(r"(?<=[.!?。])\s+")
 _INVISIBLE = re.compile("[\u200b-\u200f\u2060\ufeff]")
 # a line of data: dates, JSON, key=value or key: value pairs, table rows, rules, headings, log levels
-_RECORD = re.compile(r"\d{4}-\d{2}-\d{2}|^\s*[{\[]?\"\w+\":|^\s*\{|^[a-z_][a-z_0-9]{1,20}: \S|^\|.*\|\s*$|^-{3,}$|^#{1,6} |^[^<]*\b\w+=\S+ \w+=|^(?:WARN|INFO|ERROR|DEBUG)\b")
+_DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
+_FORM = re.compile(r"\s*[{\[]?\"\w+\":|\s*\{|[a-z_][a-z_0-9]{1,20}: \S|\|.*\|\s*$|-{3,}$|#{1,6} |(?:WARN|INFO|ERROR|DEBUG)\b")
+_PAIRS = re.compile(r"[^<]*\b\w+=\S+ \w+=")
 _TOKEN = re.compile(r"((?:h(?:tt|xx)ps?://|www[.\[])\S+)|(\$[A-Z]{2,6}\b)|(#[^\s#]+)|([^\W\d_]+)|(\d+)|(\s+)", re.IGNORECASE)
 
 
 def is_sentence(piece: str) -> bool:
     """Ends like a sentence and is built like one: enough different words, held together by function words or a Korean ending."""
-    bare = _LINK.sub(" ", piece)
-    if not _LAST.search(bare):
+    bare = _LINK.sub(" ", piece) if "/" in piece or "www" in piece.lower() else piece
+    if bare.rstrip(_AFTER_STOP)[-1:] not in _STOP_SIGNS:
         return False
     words = [w.lower() for w in _WORD.findall(bare)]
     if len(words) < 3 or len(set(words)) < 0.55 * len(words):
@@ -49,12 +52,17 @@ def is_sentence(piece: str) -> bool:
     return len(words) >= 5 and sum(w in FUNCTION_WORDS for w in words) >= max(1, len(words) // 8)
 
 
+def is_record(line: str) -> bool:
+    """A line of data rather than of words."""
+    return bool(_FORM.match(line) or _DATE.search(line) or ("=" in line and _PAIRS.match(line)))
+
+
 def _segments(text: str) -> Iterator[tuple[int, str]]:
     """The text's lines, cut into records, sentences and the rest."""
     for line in _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).splitlines():
         if not line.strip():
             continue
-        if _RECORD.search(line):
+        if is_record(line):
             yield RECORDS, line
             continue
         pieces: list[tuple[int, str]] = []
