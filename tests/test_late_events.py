@@ -25,6 +25,11 @@ def test_fates_at_the_edges(spark):
     assert got == {"x1": "on_time", "x2": "on_time", "x3": "corrects", "x4": "corrects", "x5": "too_late", "x6": "on_time", "y1": "on_time"}
 
 
+def test_only_late_fates(spark):
+    late = replay(spark, DATA, all_fates=False)
+    assert {r["id"] for r in fates(late, "id").collect()} == {"x3", "x4", "x5"} and rows(periods(late)) == rows(periods(replay(spark, DATA)))
+
+
 def test_final_totals_are_released_in_event_order(spark):
     got = {r["category"]: r for r in periods(replay(spark, DATA)).collect()}
     a = got["A"]

@@ -65,7 +65,7 @@ class OrderedTotals:
             self.last = (event_us, value)
 
 
-def _replay(slack_us: int, publish_us: int):
+def _replay(slack_us: int, publish_us: int, all_fates: bool):
     """Over batches sorted by (category, day, slice, arrival): fates, provisional values, final parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +111,8 @@ def _replay(slack_us: int, publish_us: int):
                     due, publish.last = buffer.end_us, (0, 0, 0.0)
                 publish(arrival)
                 fate = buffer.offer(event_us, arrival, id_, value)
-                rows.append((KINDS["fate"], id_, category, day, fate, arrival, None, None, None, None, None, None, None))
+                if all_fates or fate != ON_TIME:
+                    rows.append((KINDS["fate"], id_, category, day, fate, arrival, None, None, None, None, None, None, None))
             yield from flush()
         close()
         yield from flush()
@@ -119,7 +120,7 @@ def _replay(slack_us: int, publish_us: int):
     return run
 
 
-def kslack_replay(events: DataFrame, *, id: str, category: str, event_us: str, arrival_us: str, value: str, slack_us: int, publish_us: int = DAY_US, slice_rows: int = 200_000) -> DataFrame:  # noqa: A002
+def kslack_replay(events: DataFrame, *, id: str, category: str, event_us: str, arrival_us: str, value: str, slack_us: int, publish_us: int = DAY_US, slice_rows: int = 200_000, all_fates: bool = True) -> DataFrame:  # noqa: A002
     """Replay deliveries in arrival order through one slack buffer per category and UTC day of event time.
 
     Each id arrives once, at its earliest delivery. The buffer of a period takes arrivals
@@ -131,7 +132,7 @@ def kslack_replay(events: DataFrame, *, id: str, category: str, event_us: str, a
     slices as needed, each with its own buffer; :func:`periods` puts the parts together.
     So a buffer holds about ``slice_rows`` events at most, whatever a period's share.
 
-    Result (see ``OUT``): ``kind`` 0 one row per id with its fate; 1 what a buffer gained by
+    Result (see ``OUT``): ``kind`` 0 one row per id with its fate (without ``all_fates`` only ids that came late); 1 what a buffer gained by
     a publishing moment; 2 final parts. Defined cases: rows whose id, event time or arrival is null belong to no
     period and are left out; a null category is one like any other; a null value counts in
     ``n`` only; of repeated ids the earliest delivery counts (of equal ones the least by
@@ -146,7 +147,7 @@ def kslack_replay(events: DataFrame, *, id: str, category: str, event_us: str, a
     hot = once.groupBy("category", "day").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > slice_rows).select(F.col("category").alias("hot_category"), F.col("day").alias("hot_day"), F.ceil(F.col("rows") / slice_rows).cast("int").alias("slices"))
     placed = once.join(hot, F.col("category").eqNullSafe(F.col("hot_category")) & (F.col("day") == F.col("hot_day")), "left").withColumn("slice", F.when(F.col("slices").isNotNull(), F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")).otherwise(0))
     ordered = placed.select("category", "day", "slice", "arrival_us", "event_us", "id", "value").repartition("category", "day", "slice").sortWithinPartitions("category", "day", "slice", "arrival_us", "event_us", "id")
-    return ordered.mapInArrow(_replay(slack_us, publish_us), OUT)
+    return ordered.mapInArrow(_replay(slack_us, publish_us, all_fates), OUT)
 
 
 def fates(replayed: DataFrame, id_name: str) -> DataFrame:

@@ -50,7 +50,7 @@ def p1_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 def _replayed(spark: SparkSession, folder: str) -> DataFrame:
     facts = table(spark, folder, "event_fact").select("event_id", "event_type", instant_us(F.col("scheduled_at")).alias("event_us"), instant_us(F.col("retrieved_at")).alias("arrival_us"), "actual")
-    return late_events.kslack_replay(facts, id="event_id", category="event_type", event_us="event_us", arrival_us="arrival_us", value="actual", slack_us=SLACK_US)
+    return late_events.kslack_replay(facts, id="event_id", category="event_type", event_us="event_us", arrival_us="arrival_us", value="actual", slack_us=SLACK_US, all_fates=False)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
