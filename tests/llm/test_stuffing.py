@@ -36,6 +36,27 @@ def test_no_cases(spark):
     assert found(spark, texts) == []
 
 
+def test_the_form_of_data_does_not_hide_links_tags_and_keywords(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abdegiklmnorstu") for _ in range(rng.randrange(4, 9)))
+    texts = [
+        "\n".join(f"https://www.site{rng.randrange(99)}.example/2024-05-{rng.randrange(10, 30)}/{word()}-{word()}" for _ in range(20)),
+        "\n".join(f"2024-05-{rng.randrange(10, 30)} https://www.site{rng.randrange(99)}.example/{word()}/{word()}-{word()}" for _ in range(20)),
+        "cheap gold / best gold / gold price today / " * 15 + "updated 2024-05-01 " + "cheap gold / best gold / gold price today / " * 15,
+        "\n".join(f"tags: {word()}, {word()}, {word()}" for _ in range(20)), "\n".join(f"| {word()} | {word()} | {word()} |" for _ in range(20)),
+        "\n".join(f"keywords: {rng.choice(['cheap', 'best'])} gold {rng.choice(['price', 'coin', 'bar'])}" for _ in range(30)), "\n".join(f"# {rng.choice(['cheap', 'best'])} gold {rng.choice(['price', 'coin', 'bar'])} today" for _ in range(30)),
+        "tags: " + ", ".join(word() for _ in range(60)),
+    ]
+    assert found(spark, texts) == list(range(len(texts)))
+    records = [
+        "\n".join(f"2024-05-{k} 10:0{k % 10}:00 GET https://site.example/{k} 200 in {k * 7} ms from worker {k % 3}" for k in range(10, 30)),
+        "| country | status | owner |\n|---|---|---|\n" + "\n".join(f"| {word()} | open | {word()} |" for _ in range(20)),
+        "\n".join(f"2024-05-{k} payrolls release, first print" for k in range(10, 30)), "\n".join(f"status: open\nowner: {word()}\nreceipts: rcp-{k}1, rcp-{k}2, rcp-{k}3" for k in range(20)),
+        "\n".join('{"url": "https://site.example/%d", "status": 200, "bytes": %d}' % (k, k * 977) for k in range(30)), "2024-05-01 " + PROSE * 2,
+    ]
+    assert found(spark, records) == []
+
+
 def test_very_long_repeated_and_null_ids(spark):
     long_prose = "".join(f"{PROSE}Round {k} of the review was {k * 7} days late, and so it was left out. " for k in range(300))
     df = spark.createDataFrame([(None, "gold price, " * 20000), (1, "gold price, " * 50), (1, "gold price, " * 50), (2, long_prose)], "doc_id long, text string")

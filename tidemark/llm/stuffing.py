@@ -36,6 +36,12 @@ _INVISIBLE = re.compile("[\u200b-\u200f\u2060\ufeff]")
 _DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
 _FORM = re.compile(r"\s*[{\[]?\"\w+\":|\s*\{|[a-z_][a-z_0-9]{1,20}: \S|\|.*\|\s*$|-{3,}$|#{1,6} |(?:WARN|INFO|ERROR|DEBUG)\b")
 _PAIRS = re.compile(r"[^<]*\b\w+=\S+ \w+=")
+_TAGGED = re.compile(r"(?:h(?:tt|xx)ps?://|www[.\[])\S+|\$[A-Z]{2,6}\b|#[^\s#]+", re.IGNORECASE)
+_KEY = re.compile(r"\s*(?:([a-z_][a-z_0-9]{1,20}): (?=\S)|(#{1,6}) |(\|)(?=.*\|\s*$))")
+_MACHINE = re.compile(r"\s*[{\[]?\"\w+\":|\s*\{|(?:WARN|INFO|ERROR|DEBUG)\b|.*\d\d:\d\d")
+_MARK = re.compile(r"\d{4}-\d{2}-\d{2}|\b\w+=|\"\w+\":")
+_RULE = re.compile(r"^\s*\|[\s:|-]*-{3}[\s:|-]*\|\s*$", re.MULTILINE)
+_ITEM = re.compile(r"[,;|/#·、]")
 _TOKEN = re.compile(r"((?:h(?:tt|xx)ps?://|www[.\[])\S+)|(\$[A-Z]{2,6}\b)|(#[^\s#]+)|([^\W\d_]+)|(\d+)|(\s+)", re.IGNORECASE)
 
 
@@ -57,12 +63,57 @@ def is_record(line: str) -> bool:
     return bool(_FORM.match(line) or _DATE.search(line) or ("=" in line and _PAIRS.match(line)))
 
 
+def _worded(item: str) -> bool:
+    """A tag or keyword: one to three words, hardly any digits."""
+    return 1 <= len(item.split()) <= 3 and sum(map(str.isalpha, item)) > 2 * sum(map(str.isdigit, item))
+
+
+def is_listed(line: str, before: str = "", ruled: bool = False) -> bool:
+    """A line in the form of data that links, tags or repeated keywords fill all the same.
+
+    ``before`` is the line above it; in a text with a table's rule (``ruled``) framed lines
+    are rows. The form raises the bar: machine-written lines (JSON, pairs, log levels, times
+    of day) need three quarters of links or tags, and words count only with many of them
+    to a date or pair, or repeated within the line: a log repeats from line to line.
+    """
+    filled = sum(len(m) for m in _TAGGED.findall(line))
+    bare = _TAGGED.sub(" ", line) if filled else line
+    machine = bool(_MACHINE.match(bare) or _PAIRS.match(bare))
+    if filled > (0.75 if machine else 0.5) * len("".join(line.split())):
+        return True
+    # words repeated within the line
+    words = [w.lower() for w in _WORD.findall(bare)]
+    marks = len(_MARK.findall(bare))
+    if len(words) >= 6 and len(words) >= 3 * marks:
+        raw = line.encode("utf-8", "replace")
+        if len(raw) < 128:
+            repeated = len(set(words)) <= 0.5 * len(words)
+        else:
+            repeated = len(words) >= 16 * marks and len(zlib.compress(raw, 6)) <= 0.6 * len(raw) * _usual(int(math.log2(len(raw))))
+        if repeated:
+            return True
+    # tags behind a key or in a frame; a key that only repeats the key above it
+    form = None if machine or marks else _KEY.match(line)
+    if not form or (form[3] and ruled):
+        return False
+    items = [x.strip() for x in _ITEM.split(line[form.end() :]) if x.strip()]
+    worded = sum(map(_worded, items))
+    if len(items) >= 3 and worded >= 0.75 * len(items):
+        return True
+    above = None if form[3] else _KEY.match(before)
+    return bool(above and above[0].strip() == form[0].strip() and 1 <= len(words) <= 8 and _worded(" ".join(words[:3])) and not is_sentence(line[form.end() :]))
+
+
 def _segments(text: str) -> Iterator[tuple[int, str]]:
     """The text's lines, cut into records, sentences and the rest."""
-    for line in _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).splitlines():
+    text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
+    ruled = "|" in text and _RULE.search(text) is not None
+    before = above = ""
+    for line in text.splitlines():
         if not line.strip():
             continue
-        if is_record(line):
+        before, above = line, before
+        if is_record(line) and not is_listed(line, above, ruled):
             yield RECORDS, line
             continue
         pieces: list[tuple[int, str]] = []
@@ -174,7 +225,9 @@ def stuffed_pages(documents: DataFrame, *, id: str = "doc_id", text: str = "text
     - or it is extremely redundant (at most ``extreme``) whatever its punctuation, and
       its sentences are fragments (six words at most on average), few of them different.
 
-    Lines of data (logs, tables, calendars) are never stuffed. A page counts with a
+    Lines of data (logs, tables, calendars) are never stuffed; a line that only has their form (a
+    date, a key, a frame) and is filled with links, tags or repeated keywords is none
+    (:func:`is_listed`). A page counts with a
     stuffed share of its characters of at least ``share`` and at least ``least_chars``
     stuffed characters (less is a short note). One pass over the texts; its measures (some numbers per block) are
     checkpointed, and a table of a few dozen means goes to the driver.
