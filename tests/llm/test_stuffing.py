@@ -57,6 +57,22 @@ def test_the_form_of_data_does_not_hide_links_tags_and_keywords(spark):
     assert found(spark, records) == []
 
 
+def test_lines_of_keywords_and_sentences_in_turn(spark):
+    rng = random.Random(4)
+    some = ["cheap", "best", "gold", "price", "coin", "bar", "today", "online", "buy", "sell"]
+    keywords = lambda n: " ".join(rng.choice(some) for _ in range(n))
+    variant = lambda: f"{rng.choice(['cheap', 'best', 'buy', 'sell'])} gold {rng.choice(['price', 'coin', 'bar', 'ring', 'watch'])} {rng.choice(['today', 'online', 'here', 'now'])}."
+    short = ["The shop is open for you.", "It is all that we have.", "This is the one to get."]
+    texts = [
+        ". ".join([keywords(100), "We have been here for a long time and so will you be", keywords(100), short[0][:-1], keywords(20)]),
+        " ".join(f"{keywords(40)}. {short[k % 3]}" for k in range(6)),
+        " ".join(" ".join(variant() for _ in range(4)) + " " + short[k % 3] for k in range(8)),
+    ]
+    assert found(spark, texts) == list(range(len(texts)))
+    notes = " ".join(f"{a} {b}." for a, b in zip(PROSE.split(". "), ["No change", "Agreed", "Base rate 27", "Late receipt"], strict=False))
+    assert found(spark, [notes * 2, PROSE + " ".join(f"{PROSE[:71]} {keywords(8)}." for _ in range(4))]) == []
+
+
 def test_very_long_repeated_and_null_ids(spark):
     long_prose = "".join(f"{PROSE}Round {k} of the review was {k * 7} days late, and so it was left out. " for k in range(300))
     df = spark.createDataFrame([(None, "gold price, " * 20000), (1, "gold price, " * 50), (1, "gold price, " * 50), (2, long_prose)], "doc_id long, text string")

@@ -16,7 +16,10 @@ from tidemark.session import cut_lineage
 
 #: Longest block, in characters; a longer stretch of one kind is cut.
 BLOCK = 2048
-SENTENCES, RECORDS, REST = 0, 1, 2
+SENTENCES, RECORDS, REST, FRAGMENTS = 0, 1, 2, 3
+
+#: Most words of a fragment.
+FRAGMENT = 6
 
 # Words that hold English sentences together, and endings of Korean ones.
 FUNCTION_WORDS = frozenset(
@@ -104,6 +107,21 @@ def is_listed(line: str, before: str = "", ruled: bool = False) -> bool:
     return bool(above and above[0].strip() == form[0].strip() and 1 <= len(words) <= 8 and _worded(" ".join(words[:3])) and not is_sentence(line[form.end() :]))
 
 
+def _mixed(pieces: list[tuple[int, str]]) -> Iterator[tuple[int, str]]:
+    """A line of sentences and others in turn: the long others by themselves, what is left as one."""
+    parts: list[list[str]] = [[], []]
+    loose = 0
+    for kind, piece in pieces:
+        long = kind == REST and len(piece.split()) > FRAGMENT * max(1, len(_END.findall(piece)))
+        parts[long].append(piece.strip())
+        loose += len(piece) if kind == REST and not long else 0
+    left, rest = (" ".join(p) for p in parts)
+    if rest:
+        yield REST, rest
+    if left:
+        yield FRAGMENTS if loose > 0.5 * len(left) else SENTENCES, left
+
+
 def _segments(text: str) -> Iterator[tuple[int, str]]:
     """The text's lines, cut into records, sentences and the rest."""
     text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
@@ -126,10 +144,12 @@ def _segments(text: str) -> Iterator[tuple[int, str]]:
             else:
                 pieces.append((kind, piece))
         if line[at:].strip():
-            pieces.append((REST, line[at:]))
+            if pieces and pieces[-1][0] == REST:
+                pieces[-1] = (REST, pieces[-1][1] + line[at:])
+            else:
+                pieces.append((REST, line[at:]))
         if sum(kind == REST for kind, _ in pieces) > 2:
-            # fragments all through: judged as one
-            yield SENTENCES, line
+            yield from _mixed(pieces)
         else:
             yield from pieces
 
@@ -145,7 +165,7 @@ def blocks(text: str) -> list[tuple[int, str]]:
                 out[-1] = (kind, out[-1][1], out[-1][2] + len(part) + 1)
             else:
                 out.append((kind, [part], len(part)))
-    return [(kind, ("\n" if kind != SENTENCES else " ").join(parts)) for kind, parts, _ in out]
+    return [(kind, ("\n" if kind in (RECORDS, REST) else " ").join(parts)) for kind, parts, _ in out]
 
 
 def _skeleton(text: str) -> str:
@@ -168,7 +188,7 @@ def measure(text: str) -> list[dict]:
         hangul = sum(map(len, _HANGUL.findall(block))) > 0.3 * len(block)
         # only the rest has its skeleton measured, only sentences how they repeat
         skeleton = len(zlib.compress(_skeleton(block).encode("utf-8", "replace"), 6)) / size if kind == REST else 1.0
-        sentences = _STOPS.split(block) if kind == SENTENCES else [block]
+        sentences = _STOPS.split(block) if kind in (SENTENCES, FRAGMENTS) else [block]
         found.append({
             "kind": kind, "chars": len(block), "script": int(hangul), "bin": int(math.log2(size)), "raw": len(zlib.compress(raw, 6)) / size if kind != RECORDS else 1.0,
             "skeleton": skeleton, "distinct": len(set(sentences)) / len(sentences), "words": len(block.split()) / len(sentences),
@@ -222,6 +242,7 @@ def stuffed_pages(documents: DataFrame, *, id: str = "doc_id", text: str = "text
       usual, or that of its skeleton (each link, ticker, tag, word and number one sign;
       lists of distinct links or tags repeat only that) at most ``shapeless`` of it; blocks
       under 2**``least_bin`` bytes are too short to measure and go by their form;
+    - or it is redundant (at most ``redundant``) and fragments that are no sentences fill most of it;
     - or it is extremely redundant (at most ``extreme``) whatever its punctuation, and
       its sentences are fragments (six words at most on average), few of them different.
 
@@ -242,7 +263,8 @@ def stuffed_pages(documents: DataFrame, *, id: str = "doc_id", text: str = "text
 
     def stuffed(b: Column, usual: Column) -> Column:
         listed = (b["kind"] == REST) & ((b["bin"] < least_bin) | (b["raw"] <= redundant * usual) | (b["skeleton"] <= shapeless * usual))
-        return listed | ((b["kind"] != RECORDS) & (b["bin"] >= least_bin) & (b["raw"] <= extreme * usual) & (b["distinct"] <= 0.5) & (b["words"] <= 6))
+        loose = (b["kind"] == FRAGMENTS) & (b["bin"] >= least_bin) & (b["raw"] <= redundant * usual)
+        return listed | loose | ((b["kind"] != RECORDS) & (b["bin"] >= least_bin) & (b["raw"] <= extreme * usual) & (b["distinct"] <= 0.5) & (b["words"] <= FRAGMENT))
 
     judged = F.transform("blocks", lambda b: F.struct(b["chars"].alias("chars"), stuffed(b, F.element_at(table, b["script"] * 100 + b["bin"])).alias("stuffed")))
     total = lambda xs, f: F.aggregate(xs, F.lit(0), lambda s, b: s + b[f])
