@@ -7,11 +7,16 @@ from collections.abc import Iterator
 from itertools import compress
 from statistics import median
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
+#: Buckets of movements for each doubling of their size; a median from them is off by at most 0.04 %.
+FINE = 1024
 IMPOSSIBLE, SPIKE, STUCK = "impossible", "spike", "stuck"
 
 
@@ -88,21 +93,24 @@ def _runs(values: list[float]) -> list[tuple[int, int]]:
     return out
 
 
-def judge(ids: list[int], moments: list[int], values: list[float], *, limit: float, most_off: int, least_run: int, run_factor: float, hardly_moves: float) -> list[tuple[int, str]]:
-    """The readings of one source (or a stretch of it), in order, that are faulty."""
+def judge(ids: list[int], moments: list[int], values: list[float], *, limit: float, most_off: int, least_run: int, run_factor: float, hardly_moves: float, whole: tuple[float | None, float] | None = None) -> list[tuple[int, str]]:
+    """The readings of one source, in order, that are faulty.
+
+    A stretch of a source comes with the median movement (None if there are too few) and the mean run of the ``whole``.
+    """
     out: list[tuple[int, str]] = []
     good = [i for i, v in enumerate(values) if v > 0 and math.isfinite(v)]
     out += [(ids[i], IMPOSSIBLE) for i in set(range(len(values))) - set(good)]
     ys = [math.log(values[i]) for i in good]
     when = [moments[i] for i in good]
     steps = [abs(b - a) for a, b, s, t in zip(ys, ys[1:], when, when[1:], strict=False) if s != t and a != b]
-    if len(steps) >= 3:
-        usual = median(steps)
+    usual = whole[0] if whole else median(steps) if len(steps) >= 3 else None
+    if usual is not None:
         out += [(ids[good[i]], SPIKE) for i in Chart(usual, limit=limit, most_off=most_off).flag(when, ys)]
     # run-length counter: an exponentially weighted usual length, long runs clipped before they count
     runs = _runs(values)
     cap = least_run + 1
-    usual_run = sum(min(n, cap) for _, n in runs) / max(1, len(runs))
+    usual_run = whole[1] if whole else sum(min(n, cap) for _, n in runs) / max(1, len(runs))
     if usual_run < hardly_moves:
         for begin, n in runs:
             if n >= least_run and n >= run_factor * usual_run and values[begin] > 0:
@@ -127,6 +135,110 @@ def stretches(batch: pa.RecordBatch, keys: int) -> Iterator[tuple[tuple, int, in
         yield tuple(batch.column(i)[begin].as_py() for i in range(keys)), begin, end
 
 
+_SEEN = pa.schema([("dataset", pa.string()), ("source", pa.string()), ("shard", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("edge", pa.list_(pa.float64()))])
+_SEEN_DDL = "dataset string, source string, shard long, bucket long, n long, edge array<double>"
+
+
+def _seen(cap: int):
+    """Over batches sorted as those of :func:`_chart`: the movements of each stretch by bucket (shard null), and what its two ends need to be put together (bucket null)."""
+
+    def told(key: tuple, parts: list[pa.RecordBatch]) -> Iterator[tuple]:
+        moments, ids, values = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in (3, 4, 5))
+        fresh = np.r_[True, ids[1:] != ids[:-1]]
+        moments, values = moments[fresh], values[fresh]
+        good = (values > 0) & np.isfinite(values)
+        ys, when = np.log(values[good]), moments[good]
+        steps = np.abs(np.diff(ys))[np.diff(when) != 0]
+        for bucket, n in zip(*(a.tolist() for a in np.unique(np.floor(np.log2(steps[steps > 0]) * FINE).astype("int64"), return_counts=True)), strict=True):
+            yield (*key[:2], None, bucket, n, None)
+        begins = np.r_[0, np.flatnonzero(values[1:] != values[:-1]) + 1]
+        runs = np.diff(np.r_[begins, len(values)])
+        ends = [float(ys[0]), float(ys[-1])] if len(ys) else [math.nan, math.nan]
+        yield (*key[:2], key[2], None, len(runs), [float(values[0]), float(values[-1]), float(runs[0]), float(runs[-1]), float(np.minimum(runs[1:-1], cap).sum()), *ends])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        parts: list[pa.RecordBatch] = []
+        rows: list[tuple] = []
+        for batch in batches:
+            for found, begin, end in stretches(batch, 3):
+                if key != found:
+                    if parts:
+                        rows += told(key, parts)
+                    key, parts = found, []
+                parts.append(batch.slice(begin, end - begin))
+            if rows:
+                yield pa.RecordBatch.from_pylist([dict(zip(_SEEN.names, r, strict=True)) for r in rows], _SEEN)
+                rows.clear()
+        if parts:
+            yield pa.RecordBatch.from_pylist([dict(zip(_SEEN.names, r, strict=True)) for r in told(key, parts)], _SEEN)
+
+    return run
+
+
+def _put_together(cap: int):
+    """Over batches sorted by (dataset, source, shard nulls last, bucket): (dataset, source, usual, usual_run) of each source."""
+
+    class Source:
+        def __init__(self) -> None:
+            self.counts: dict[int, int] = {}
+            self.runs = self.capped = self.open = 0
+            self.value = self.y = math.nan
+
+        def stretch(self, n: int, edge: list[float]) -> None:
+            first, last, first_run, last_run, inner, y0, y1 = edge
+            # stretches share no moment
+            step = abs(y0 - self.y)
+            if step > 0:
+                self.add(math.floor(math.log2(step) * FINE), 1)
+            if not math.isnan(y1):
+                self.y = y1
+            if first == self.value:
+                self.open += first_run
+            else:
+                self.close()
+                self.open = first_run
+            if n > 1:
+                self.close()
+                self.runs, self.capped, self.open = self.runs + n - 2, self.capped + inner, last_run
+            self.value = last
+
+        def close(self) -> None:
+            if self.open:
+                self.runs, self.capped, self.open = self.runs + 1, self.capped + min(self.open, cap), 0
+
+        def add(self, bucket: int, n: int) -> None:
+            self.counts[bucket] = self.counts.get(bucket, 0) + n
+
+        def told(self) -> tuple[float | None, float]:
+            self.close()
+            total, seen, middle = sum(self.counts.values()), 0, []
+            for bucket in sorted(self.counts):
+                before, seen = seen, seen + self.counts[bucket]
+                middle += [2 ** ((bucket + 0.5) / FINE) for k in ((total - 1) // 2, total // 2) if before <= k < seen]
+            return sum(middle) / 2 if total >= 3 else None, self.capped / max(1, self.runs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        one = Source()
+        rows: list[tuple] = []
+        for batch in batches:
+            for found, begin, end in stretches(batch, 2):
+                if key != found:
+                    if key:
+                        rows.append((*key, *one.told()))
+                    key, one = found, Source()
+                part = batch.slice(begin, end - begin)
+                for bucket, n, edge in zip(*(part.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
+                    one.stretch(n, edge) if bucket is None else one.add(bucket, n)
+        if key:
+            rows.append((*key, *one.told()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], ["hd", "hs", "usual", "usual_run"])
+
+    return run
+
+
 def _chart(**how):
     """Over batches sorted by (dataset, source, shard, moment, rank, id)."""
 
@@ -137,10 +249,11 @@ def _chart(**how):
         values: list[float] = []
         core: list[bool] = []
         rows: list[tuple] = []
+        whole: tuple | None = None
 
         def close() -> None:
             inside = {i for i, c in zip(ids, core, strict=True) if c}
-            for id_, what in judge(ids, moments, values, **how):
+            for id_, what in judge(ids, moments, values, **how, whole=whole):
                 if id_ in inside:
                     rows.append((key[0], key[1], id_, what))
 
@@ -157,6 +270,8 @@ def _chart(**how):
                     key = found
                     for x in (ids, moments, values, core):
                         x.clear()
+                    usual, usual_run = (batch.column(i)[begin].as_py() for i in (7, 8))
+                    whole = None if usual_run is None else (usual, usual_run)
                 part = batch.slice(begin, end - begin)
                 new_moments, new_ids, new_values, new_core = (part.column(i).to_pylist() for i in range(3, 7))
                 fresh = [a != b for a, b in zip(new_ids, [ids[-1] if ids else None, *new_ids], strict=False)]
@@ -182,8 +297,10 @@ def implausible(readings: DataFrame, *, limit: float = 9.0, most_off: int = 4, l
 
     A source with more than ``shard_rows`` rows is cut into stretches of equal time of
     about that many; each also reads ``context`` of a stretch's time on both sides, which
-    warms up its chart, and reports its own readings only. The weights forget within some
-    hundred readings, so a stretch judges as the whole source would.
+    warms up its chart, and reports its own readings only. The median movement and the mean
+    run are taken over the whole source first (movements counted in fine buckets, runs put
+    together across stretches); only the running level, scale and run length, whose weights
+    forget within some hundred readings, start anew with the context.
 
     Result: dataset, source, row_id, fault; one row per faulty reading and kind of fault.
     Defined cases: readings with a null source, moment, id or value are none; a row
@@ -194,15 +311,31 @@ def implausible(readings: DataFrame, *, limit: float = 9.0, most_off: int = 4, l
     r = readings.select("dataset", "source", F.col("moment").cast("long").alias("moment"), F.col("rank").cast("long").alias("rank"), F.col("row_id").cast("long").alias("row_id"), F.col("value").cast("double").alias("value")).where("source IS NOT NULL AND moment IS NOT NULL AND row_id IS NOT NULL AND value IS NOT NULL")
     span = r.groupBy("dataset", "source").agg(F.count(F.lit(1)).alias("n"), F.min("moment").alias("t0"), F.max("moment").alias("t1")).where(F.col("n") > shard_rows)
     hot = span.select(F.col("dataset").alias("hd"), F.col("source").alias("hs"), "t0", F.greatest(F.lit(1), F.ceil((F.col("t1") - F.col("t0") + 1) / F.ceil(F.col("n") / shard_rows))).cast("long").alias("width"))
-    placed = r.join(hot, F.col("dataset").eqNullSafe(F.col("hd")) & (F.col("source") == F.col("hs")), "left")
     own = F.expr("floor((moment - t0) / width)")
     aside = lambda sign: F.expr(f"floor((moment - t0 {sign} ceil(width * {context})) / width)")
+    order = ("dataset", "source", "shard", "moment", "rank", "row_id")
+    same = F.col("dataset").eqNullSafe(F.col("hd")) & (F.col("source") == F.col("hs"))
+    # what is usual for a source with stretches
+    hot = cut_lineage(hot)
+    cap = least_run + 1
+    seen = (
+        r.join(hot, same).select("dataset", "source", own.alias("shard"), "moment", "rank", "row_id", "value")
+        .repartition("dataset", "source", "shard").sortWithinPartitions(*order)
+        .select("dataset", "source", "shard", "moment", "row_id", "value").mapInArrow(_seen(cap), _SEEN_DDL)
+    )
+    usual = cut_lineage(
+        seen.groupBy("dataset", "source", "shard", "bucket").agg(F.sum("n").alias("n"), F.first("edge").alias("edge"))
+        .repartition("dataset", "source").sortWithinPartitions("dataset", "source", F.col("shard").asc_nulls_last(), "bucket")
+        .mapInArrow(_put_together(cap), "hd string, hs string, usual double, usual_run double")
+    )
+    hot = hot.join(usual.withColumnsRenamed({"hd": "ud", "hs": "us"}), F.col("hd").eqNullSafe(F.col("ud")) & (F.col("hs") == F.col("us"))).drop("ud", "us")
+    placed = r.join(hot, same, "left")
     shards = F.when(F.col("width").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.array(own, aside("-"), aside("+"))))
     spread = placed.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("shard", F.explode(shards))
     ordered = (
-        spread.select("dataset", "source", "shard", "moment", "rank", "row_id", "value", (F.col("shard") == F.col("own")).alias("core"))
-        .repartition("dataset", "source", "shard").sortWithinPartitions("dataset", "source", "shard", "moment", "rank", "row_id")
-        .select("dataset", "source", "shard", "moment", "row_id", "value", "core")
+        spread.select(*order, "value", (F.col("shard") == F.col("own")).alias("core"), "usual", "usual_run")
+        .repartition("dataset", "source", "shard").sortWithinPartitions(*order)
+        .select("dataset", "source", "shard", "moment", "row_id", "value", "core", "usual", "usual_run")
     )
     how = {"limit": limit, "most_off": most_off, "least_run": least_run, "run_factor": run_factor, "hardly_moves": hardly_moves}
     return ordered.mapInArrow(_chart(**how), "dataset string, source string, row_id long, fault string")
