@@ -24,8 +24,9 @@ class Chart:
     """Exponentially weighted level and scale of log readings; suspects are clipped before they count.
 
     A reading more than ``limit`` scales off the level opens an excursion. If a reading
-    within the next ``most_off`` moments jumps back to the level, the excursion was a spike;
-    else, also if it drifts back, the level has changed and the chart starts anew there.
+    within the next ``most_off`` moments jumps back to the level, the excursion was a spike,
+    however far off its readings are from each other; else, also if it drifts back in steps
+    within the limit, the level has changed and the chart starts anew there.
     """
 
     def __init__(self, scale: float, *, limit: float, most_off: int, weight: float = 0.02, level_weight: float = 0.7, clip: float = 2.5, nearness: float = 0.3) -> None:
@@ -69,7 +70,7 @@ class Chart:
                 j += 1
                 if moments[j] != last:
                     spent, last = spent + 1, moments[j]
-                if abs(ys[j] - self.level) <= near and abs(ys[j] - ys[j - 1]) >= abs(off) / 2:
+                if abs(ys[j] - self.level) <= near and abs(ys[j] - ys[j - 1]) >= min(limit, abs(off) / 2):
                     back = j
                     break
                 if spent > self.most_off:
