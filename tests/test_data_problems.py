@@ -48,3 +48,14 @@ def test_nulls_and_unreadable_texts_change_nothing_else(spark, folders, name):
 def test_unreadable_keys_are_compared_by_their_text(spark, folders):
     extra = set(rows(QUERIES["p1_found"](spark, f"{folders}/odd"))) - set(rows(QUERIES["p1_found"](spark, DATA)))
     assert extra == set()
+
+
+def test_an_event_arrives_when_its_receipt_says(spark, tmp_path):
+    facts, receipts = spark.read.parquet(f"{DATA}/event_fact.parquet"), spark.read.parquet(f"{DATA}/raw_time_series_receipt.parquet")
+    late = F.lit("2090-01-01T00:00:00Z")
+    facts.withColumn("retrieved_at", late).write.parquet(f"{tmp_path}/facts/event_fact.parquet")
+    receipts.write.parquet(f"{tmp_path}/facts/raw_time_series_receipt.parquet")
+    assert rows(QUERIES["p2_found"](spark, f"{tmp_path}/facts")) == rows(QUERIES["p2_found"](spark, DATA))
+    facts.write.parquet(f"{tmp_path}/none/event_fact.parquet")
+    receipts.limit(0).write.parquet(f"{tmp_path}/none/raw_time_series_receipt.parquet")
+    assert rows(QUERIES["p2_found"](spark, f"{tmp_path}/none")) == rows(QUERIES["p2_found"](spark, DATA))
