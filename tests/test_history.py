@@ -30,6 +30,14 @@ def brute(data):
     return sorted(out, key=str)
 
 
+def test_a_value_that_moves_to_another_null_column_is_a_new_version(spark):
+    data = [("A", n, a, b, f"A{n}", n * 10, 0, 0) for n, (a, b) in enumerate([(None, "2.5"), (None, "2.5"), (None, None), (2.5, None)])]
+    assert run(spark, data) == brute(data) and len(brute(data)) == 3
+    moved = [("A", n, a, b, f"A{n}", n * 10) for n, (a, b) in enumerate([(None, 2.5), (2.5, None), (2.5, None)])]
+    df = bitmap_history(spark.createDataFrame(moved, "e string, no long, a double, b double, k string, t long"), entity=["e"], snapshot="no", attributes=F.struct("a", "b"), key="k", start="t")
+    assert [r["version_key"] for r in df.orderBy("valid_from").collect()] == ["A0", "A1"]
+
+
 def test_like_brute_force_over_many_words_and_gaps(spark):
     rng = random.Random(9)
     data = []

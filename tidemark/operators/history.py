@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.session import cut_lineage
 
@@ -12,6 +13,13 @@ WORD = 60
 FULL = (1 << WORD) - 1
 
 
+def _hash(rows: DataFrame, attributes: Column) -> Column:
+    """Hash of a value, a struct's fields each with a null mark: the hash itself passes over nulls, whatever field they are in."""
+    whole = rows.select(attributes.alias("a")).schema["a"].dataType
+    fields = [attributes.getField(f) for f in whole.names] if isinstance(whole, StructType) else [attributes]
+    return F.xxhash64(attributes.isNull(), *(c for f in fields for c in (f.isNull(), f)))
+
+
 def bitmap_history(rows: DataFrame, *, entity: list[str], snapshot: str, attributes: Column, key: str, start: str) -> DataFrame:
     """Validity intervals of an entity's attribute values over its numbered snapshots.
 
@@ -32,7 +40,7 @@ def bitmap_history(rows: DataFrame, *, entity: list[str], snapshot: str, attribu
     extra columns are ignored.
     """
     e = [f"e{i}" for i in range(len(entity))]
-    narrow = rows.select(*(F.col(c).alias(n) for c, n in zip(entity, e, strict=True)), F.col(snapshot).cast("long").alias("no"), F.xxhash64(attributes).alias("hash"), F.col(start).alias("start"), F.col(key).alias("key")).where("no IS NOT NULL AND start IS NOT NULL")
+    narrow = rows.select(*(F.col(c).alias(n) for c, n in zip(entity, e, strict=True)), F.col(snapshot).cast("long").alias("no"), _hash(rows, attributes).alias("hash"), F.col(start).alias("start"), F.col(key).alias("key")).where("no IS NOT NULL AND start IS NOT NULL")
     single = narrow.groupBy(*e, "no").agg(F.max(F.struct("start", "key", "hash")).alias("r")).select(*e, F.expr(f"cast(floor(no / {WORD}) AS long)").alias("word"), F.expr(f"cast(pmod(no, {WORD}) AS int)").alias("bit"), "r.*")
     # bitmaps: per entity, word and hash one long; the marks give back key and start of a bit
     bits = (
