@@ -92,3 +92,23 @@ def test_bootstrap_interval_holds_the_mean(spark):
     df = spark.createDataFrame([("a", n, float(n % 7)) for n in range(200)] + [("b", 0, None), ("c", 0, 1.0)], "k string, o int, v double")
     got = {r["k"]: r for r in M.bootstrap_mean(df, "k", "o", "v", replicates=100).collect()}
     assert got["a"]["lo"] <= got["a"]["mean"] <= got["a"]["hi"] and got["c"]["lo"] == 1.0 and "b" not in got
+
+
+def test_walk_forward_uses_the_whole_history(spark, monkeypatch):
+    import datetime as dt
+
+    from tidemark.plans import modelled, views
+
+    g = np.random.default_rng(7)
+    x = 100 * np.exp(np.cumsum(np.r_[g.normal(0, 0.05, 400), g.normal(0, 0.001, 900)]))
+    days = [dt.date(2001, 1, 1) + dt.timedelta(days=k) for k in range(len(x))]
+    p = spark.createDataFrame([("a", d, float(v)) for d, v in zip(days, x, strict=True)], "series string, date date, close double")
+    monkeypatch.setattr(views, "prices", lambda *_: p)
+    y, losses = np.log(x), []
+    for i in range(21, len(x) - 21):
+        hist = np.sort(y[21 : i + 1] - y[: i - 20])
+        if (days[i].weekday() == 6 or i == len(x) - 1) and len(hist) >= 100:
+            real = y[i + 21] - y[i]
+            losses.append(np.mean([max(q * (real - f), (q - 1) * (real - f)) for q in (0.1, 0.5, 0.9) for f in [hist[int(np.floor(len(hist) * q))]]]))
+    got = modelled.ev07_walk_forward(spark, "").collect()[0]
+    assert got["origins"] == len(losses) and got["loss"] == pytest.approx(np.mean(losses), abs=2e-6)

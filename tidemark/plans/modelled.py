@@ -170,12 +170,12 @@ def ev10_bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ev07_walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    """Weekly origins, each forecast by the quantiles of the 21-day changes that ended before it, scored by pinball loss.
+    """Weekly origins, each forecast by the quantiles of all 21-day changes that ended by it, scored by pinball loss.
 
     Origins run in parallel: the history that an origin may use comes from a window that ends at it.
     """
     p = V.prices(spark, d).withColumn("past", F.log(close()) - S.lag(F.log(close()), 21)).withColumn("y", F.log(F.lead("close", 21).over(S.w)) - F.log(close()))
-    known = S.w.rowsBetween(-520, 0)
+    known = S.w.rowsBetween(Window.unboundedPreceding, 0)
     o = p.withColumn("last", F.max("date").over(Window.partitionBy("series", F.trunc("date", "week")))).withColumn("hist", F.collect_list("past").over(known)).where("date = last AND size(hist) >= 100 AND y IS NOT NULL")
     at = lambda q: F.expr(f"element_at(array_sort(hist), cast(floor(size(hist) * {q}) AS int) + 1)")
     from tidemark.operators.scoring import pinball
