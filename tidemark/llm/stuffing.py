@@ -6,6 +6,7 @@ import math
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,142 +17,156 @@ from tidemark.session import cut_lineage
 
 #: Longest block, in characters; a longer stretch of one kind is cut.
 BLOCK = 2048
-SENTENCES, RECORDS, REST, FRAGMENTS = 0, 1, 2, 3
-
-#: Most words of a fragment.
-FRAGMENT = 6
-
-# Words that hold English sentences together, and endings of Korean ones.
-FUNCTION_WORDS = frozenset(
-    "the a an of to in is was were be been and or that which we it its no not for from by on as at with this has have had will would can could should so if but than when what who how there their they one two only are do does did because".split()
-)
-KOREAN_ENDINGS = ("다", "요", "음", "함", "됨", "임")
-
-_END = re.compile(r"(?<=[.!?。])[\"'”’)]*(?=\s|$)")
-_STOP_SIGNS = (".", "!", "?", "。")
-_AFTER_STOP = " \t\"'”’)"
-_WORD = re.compile(r"[A-Za-z']+|[가-힣]+")
-_LINK = re.compile(r"(?:h(?:tt|xx)ps?://|www[.\[])\S+", re.IGNORECASE)
-_HANGUL = re.compile(r"[가-힣]+")
-_STOPS = re.compile(r"(?<=[.!?。])\s+")
+SENTENCES, RECORDS, REST, FRAGMENTS, TAGS = 0, 1, 2, 3, 4
+
+#: Least and most words of a sentence; pieces with fewer are fragments.
+SHORTEST, LONGEST = 6, 80
+
+#: Script classes of a block, told from where its letters lie.
+SCRIPTS = ("latin", "hangul", "han", "kana", "cyrillic", "greek", "arabic", "hebrew", "indic", "southeast", "other")
+
+# First and last code points of the scripts, and how many of their letters stand for one word where words are not single units of writing.
+RANGES = (
+    (0x0041, 0x024F, 0, 0), (0x0370, 0x03FF, 5, 0), (0x0400, 0x052F, 4, 0), (0x0590, 0x05FF, 7, 0), (0x0600, 0x077F, 6, 0), (0x0900, 0x0DFF, 8, 0), (0x0E00, 0x0EFF, 9, 4),
+    (0x1000, 0x109F, 9, 4), (0x1780, 0x17FF, 9, 4), (0x1E00, 0x1EFF, 0, 0), (0x3040, 0x30FF, 3, 2), (0x3400, 0x9FFF, 2, 2), (0xAC00, 0xD7A3, 1, 2.5), (0x20000, 0x3FFFF, 2, 2),
+)
+
+_END = re.compile(r"(?<!\b\d)(?<!\b\d\d)[.!?…؟।۔]+[\"'”’»)\]]*(?=\s|$)|[。！？]+[」』”’)]*")
+_STOP_SIGNS = tuple(".!?…؟।۔。！？")
+_AFTER_STOP = " \t\"'”’»)]」』"
+_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_LETTER = re.compile(r"[^\W\d_]")
+_LINK = r"(?:h(?:tt|xx)ps?://|www[.\[])[^\s<>\"]+"
+_TAGGED = re.compile(_LINK + r"|\$[A-Z]{2,6}\b|#[^\s#]+|\b[A-Z]{1,4}-\d{2,6}\b", re.IGNORECASE)
 _INVISIBLE = re.compile("[\u200b-\u200f\u2060\ufeff]")
-# a line of data: dates, JSON, key=value or key: value pairs, table rows, rules, headings, log levels
-_DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
-_FORM = re.compile(r"\s*[{\[]?\"\w+\":|\s*\{|[a-z_][a-z_0-9]{1,20}: \S|\|.*\|\s*$|-{3,}$|#{1,6} |(?:WARN|INFO|ERROR|DEBUG)\b")
-_PAIRS = re.compile(r"[^<]*\b\w+=\S+ \w+=")
-_TAGGED = re.compile(r"(?:h(?:tt|xx)ps?://|www[.\[])\S+|\$[A-Z]{2,6}\b|#[^\s#]+", re.IGNORECASE)
-_KEY = re.compile(r"\s*(?:([a-z_][a-z_0-9]{1,20}): (?=\S)|(#{1,6}) |(\|)(?=.*\|\s*$))")
-_MACHINE = re.compile(r"\s*[{\[]?\"\w+\":|\s*\{|(?:WARN|INFO|ERROR|DEBUG)\b|.*\d\d:\d\d")
-_MARK = re.compile(r"\d{4}-\d{2}-\d{2}|\b\w+=|\"\w+\":")
+# what fields of data look like in any language: dates, times, decimals, pairs, quoted keys, mixed identifiers; and plain numbers
+_MARK = re.compile(r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}|\d{1,2}:\d\d|\b\d+\.\d+|\w+=[^\s\"']|\"\w+\":|\b(?=[a-z]*\d)(?=\d*[a-z])[0-9a-z]{8,}\b")
+_NUMBER = re.compile(r"\b\d+\b")
+_KEY = re.compile(r"\s*([^\W\d]\w{0,20}): \S|-{3,}\s*$")
 _RULE = re.compile(r"^\s*\|[\s:|-]*-{3}[\s:|-]*\|\s*$", re.MULTILINE)
-_ITEM = re.compile(r"[,;|/#·、]")
-_TOKEN = re.compile(r"((?:h(?:tt|xx)ps?://|www[.\[])\S+)|(\$[A-Z]{2,6}\b)|(#[^\s#]+)|([^\W\d_]+)|(\d+)|(\s+)", re.IGNORECASE)
+_ITEMS = re.compile(r"[\n,;|/·•、，；،]|\s[-–>]\s|[.!?]\s|[。！？]")
+_TOKEN = re.compile(rf"({_LINK})|(\$[A-Z]{{2,6}}\b)|(#[^\s#]+)|([^\W\d_]+)|(\d+)|(\s+)", re.IGNORECASE)
+
+
+def _place(letter: str) -> tuple[int, float]:
+    """The script of a letter, and how many letters make a word (0: words are written apart)."""
+    at = ord(letter)
+    for first, last, script, per in RANGES:
+        if first <= at <= last:
+            return script, per
+    return len(SCRIPTS) - 1, 0
+
+
+def script_of(text: str) -> int:
+    """The script of most of the letters."""
+    if text.isascii():
+        return 0
+    return Counter(_place(c)[0] for c in _LETTER.findall(text)).most_common(1)[0][0] if _LETTER.search(text) else 0
+
+
+def words_of(text: str) -> tuple[float, list[str]]:
+    """How many words the text has, and its units in lower case: words, or pairs of letters where words are not written apart."""
+    found = _WORD.findall(text.lower())
+    if text.isascii():
+        return len(found), found
+    count, units = 0.0, []
+    for w in found:
+        script, per = _place(w[0])
+        count += max(1.0, len(w) / per) if per else 1
+        # of scripts without blanks
+        if per and script != 1:
+            units += [w[i : i + 2] for i in range(0, max(1, len(w) - 1))]
+        else:
+            units.append(w)
+    return count, units
 
 
 def is_sentence(piece: str) -> bool:
-    """Ends like a sentence and is built like one: enough different words, held together by function words or a Korean ending."""
-    bare = _LINK.sub(" ", piece) if "/" in piece or "www" in piece.lower() else piece
-    if bare.rstrip(_AFTER_STOP)[-1:] not in _STOP_SIGNS:
-        return False
-    words = [w.lower() for w in _WORD.findall(bare)]
-    if len(words) < 3 or len(set(words)) < 0.55 * len(words):
+    """Ends with a stop after as many words as sentences have, most of them different; links and tags are no words."""
+    if piece.rstrip(_AFTER_STOP)[-1:] not in _STOP_SIGNS:
         return False
-    if words[-1][-1] >= "가":
-        return words[-1].endswith(KOREAN_ENDINGS)
-    return len(words) >= 5 and sum(w in FUNCTION_WORDS for w in words) >= max(1, len(words) // 8)
-
-
-def is_record(line: str) -> bool:
-    """A line of data rather than of words."""
-    return bool(_FORM.match(line) or _DATE.search(line) or ("=" in line and _PAIRS.match(line)))
-
-
-def _worded(item: str) -> bool:
-    """A tag or keyword: one to three words, hardly any digits."""
-    return 1 <= len(item.split()) <= 3 and sum(map(str.isalpha, item)) > 2 * sum(map(str.isdigit, item))
+    count, units = words_of(_TAGGED.sub(" ", piece))
+    return SHORTEST <= count <= LONGEST and len(set(units)) >= 0.55 * len(units)
 
 
-def is_listed(line: str, before: str = "", ruled: bool = False) -> bool:
-    """A line in the form of data that links, tags or repeated keywords fill all the same.
+def is_record(line: str, keys: Counter, ruled: bool) -> bool:
+    """A line of data: fields that are dates, numbers, pairs or keyed values, and words that do not come again and again.
 
-    ``before`` is the line above it; in a text with a table's rule (``ruled``) framed lines
-    are rows. The form raises the bar: machine-written lines (JSON, pairs, log levels, times
-    of day) need three quarters of links or tags, and words count only with many of them
-    to a date or pair, or repeated within the line: a log repeats from line to line.
+    Links and tags that fill half of a line win over its form, as do words repeated within
+    it; ``keys`` counts the keys of the text (a record has each once or has other fields),
+    in a text with a table's rule (``ruled``) framed lines are rows.
     """
-    filled = sum(len(m) for m in _TAGGED.findall(line))
-    bare = _TAGGED.sub(" ", line) if filled else line
-    machine = bool(_MACHINE.match(bare) or _PAIRS.match(bare))
-    if filled > (0.75 if machine else 0.5) * len("".join(line.split())):
-        return True
-    # words repeated within the line
-    words = [w.lower() for w in _WORD.findall(bare)]
+    bare = _TAGGED.sub(" ", line)
+    solid = len("".join(line.split()))
+    filled = solid - len("".join(bare.split()))
     marks = len(_MARK.findall(bare))
-    if len(words) >= 6 and len(words) >= 3 * marks:
-        raw = line.encode("utf-8", "replace")
-        if len(raw) < 128:
-            repeated = len(set(words)) <= 0.5 * len(words)
-        else:
-            repeated = len(words) >= 16 * marks and len(zlib.compress(raw, 6)) <= 0.6 * len(raw) * _usual(int(math.log2(len(raw))))
-        if repeated:
-            return True
-    # tags behind a key or in a frame; a key that only repeats the key above it
-    form = None if machine or marks else _KEY.match(line)
-    if not form or (form[3] and ruled):
+    if filled > (0.75 if marks > 1 else 0.5) * solid:
+        return False
+    count, units = words_of(bare)
+    repeated = 1 - len(set(units)) / len(units) if units else 0.0
+    if count >= 4 and repeated > 0.2 and count > 3 * marks:
         return False
-    items = [x.strip() for x in _ITEM.split(line[form.end() :]) if x.strip()]
-    worded = sum(map(_worded, items))
-    if len(items) >= 3 and worded >= 0.75 * len(items):
+    if marks:
+        return count <= 3 * marks or (repeated <= 0.1 and count <= 20 * marks)
+    numbers = len(_NUMBER.findall(bare))
+    if numbers > 1 and numbers >= count:
         return True
-    above = None if form[3] else _KEY.match(before)
-    return bool(above and above[0].strip() == form[0].strip() and 1 <= len(words) <= 8 and _worded(" ".join(words[:3])) and not is_sentence(line[form.end() :]))
+    if ruled and line.lstrip().startswith("|"):
+        return True
+    key = _KEY.match(line)
+    if not key:
+        return False
+    return key[1] is None or (count <= 6 and (keys[key[1]] == 1 or 2 * keys[key[1]] <= sum(keys.values()) * (1 if numbers else 0.8)))
 
 
-def _mixed(pieces: list[tuple[int, str]]) -> Iterator[tuple[int, str]]:
-    """A line of sentences and others in turn: the long others by themselves, what is left as one."""
-    parts: list[list[str]] = [[], []]
-    loose = 0
-    for kind, piece in pieces:
-        long = kind == REST and len(piece.split()) > FRAGMENT * max(1, len(_END.findall(piece)))
-        parts[long].append(piece.strip())
-        loose += len(piece) if kind == REST and not long else 0
-    left, rest = (" ".join(p) for p in parts)
-    if rest:
-        yield REST, rest
-    if left:
-        yield FRAGMENTS if loose > 0.5 * len(left) else SENTENCES, left
+def _listed(line: str, before: int) -> int:
+    """Links and tags fill the line, or it is the short text to one of them; else the rest."""
+    bare = _TAGGED.sub(" ", line)
+    solid = len("".join(line.split()))
+    if solid - len("".join(bare.split())) >= 0.5 * solid or (before == TAGS and words_of(bare)[0] <= 4):
+        return TAGS
+    return REST
+
+
+def _cut(line: str) -> list[str]:
+    """The line's pieces, each up to its stop."""
+    at, out = 0, []
+    for end in _END.finditer(line):
+        out.append(line[at : end.end()])
+        at = end.end()
+    if line[at:].strip():
+        out.append(line[at:])
+    return out
 
 
 def _segments(text: str) -> Iterator[tuple[int, str]]:
-    """The text's lines, cut into records, sentences and the rest."""
+    """The text's lines by kind; a line of sentences and others gives both."""
     text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     ruled = "|" in text and _RULE.search(text) is not None
-    before = above = ""
-    for line in text.splitlines():
-        if not line.strip():
+    lines = [line for line in text.splitlines() if line.strip()]
+    keys = Counter(m[1] for line in lines if ": " in line and (m := _KEY.match(line)) and m[1])
+    before = SENTENCES
+    for line in lines:
+        pieces = _cut(line)
+        kinds = [is_sentence(p) for p in pieces]
+        if not any(kinds):
+            before = RECORDS if is_record(line, keys, ruled) else _listed(line, before)
+            yield before, line
             continue
-        before, above = line, before
-        if is_record(line) and not is_listed(line, above, ruled):
-            yield RECORDS, line
+        before = SENTENCES
+        if len(pieces) > 3 and sum(words_of(p)[0] for p in pieces) < (SHORTEST + 0.5) * len(pieces):
+            yield FRAGMENTS, line
             continue
-        pieces: list[tuple[int, str]] = []
-        at = 0
-        for end in _END.finditer(line):
-            piece, at = line[at : end.end()], end.end()
-            kind = SENTENCES if is_sentence(piece) else REST
-            if pieces and kind == REST == pieces[-1][0]:
-                pieces[-1] = (REST, pieces[-1][1] + piece)
-            else:
-                pieces.append((kind, piece))
-        if line[at:].strip():
-            if pieces and pieces[-1][0] == REST:
-                pieces[-1] = (REST, pieces[-1][1] + line[at:])
-            else:
-                pieces.append((REST, line[at:]))
-        if sum(kind == REST for kind, _ in pieces) > 2:
-            yield from _mixed(pieces)
-        else:
-            yield from pieces
+        short: list[str] = []
+        loose = 0
+        for sentence, piece in zip(kinds, pieces, strict=True):
+            if not sentence and len(piece) > 40:
+                yield _listed(piece, before), piece
+                continue
+            short.append(piece.strip())
+            loose += 0 if sentence else len(piece)
+        left = " ".join(short)
+        yield (FRAGMENTS if loose > 0.5 * len(left) else SENTENCES), left
 
 
 def blocks(text: str) -> list[tuple[int, str]]:
@@ -179,19 +194,31 @@ def _skeleton(text: str) -> str:
     return _TOKEN.sub(sign, text)
 
 
+def _items(block: str) -> tuple[float, float]:
+    """Of a block without sentences: the words per item of its list, and the share of different words."""
+    bare = _TAGGED.sub(" ", block)
+    items = [n for n in (words_of(x)[0] for x in _ITEMS.split(bare)) if n]
+    units = words_of(bare)[1]
+    return sum(items) / max(1, len(items)), len(set(units)) / max(1, len(units))
+
+
 def measure(text: str) -> list[dict]:
-    """What each block of the text measures."""
+    """What each block of the text measures; only what its kind needs."""
     found = []
     for kind, block in blocks(text):
         raw = block.encode("utf-8", "replace")
         size = max(1, len(raw))
-        hangul = sum(map(len, _HANGUL.findall(block))) > 0.3 * len(block)
-        # only the rest has its skeleton measured, only sentences how they repeat
-        skeleton = len(zlib.compress(_skeleton(block).encode("utf-8", "replace"), 6)) / size if kind == REST else 1.0
-        sentences = _STOPS.split(block) if kind in (SENTENCES, FRAGMENTS) else [block]
+        words, skeleton, distinct = 0.0, 1.0, 1.0
+        if kind in (REST, TAGS):
+            skeleton = len(zlib.compress(_skeleton(block).encode("utf-8", "replace"), 6)) / size
+        if kind == REST:
+            words, distinct = _items(block)
+        elif kind == SENTENCES:
+            pieces = _cut(block)
+            distinct = len(set(pieces)) / len(pieces)
         found.append({
-            "kind": kind, "chars": len(block), "script": int(hangul), "bin": int(math.log2(size)), "raw": len(zlib.compress(raw, 6)) / size if kind != RECORDS else 1.0,
-            "skeleton": skeleton, "distinct": len(set(sentences)) / len(sentences), "words": len(block.split()) / len(sentences),
+            "kind": kind, "chars": len(block), "script": script_of(block), "bin": int(math.log2(size)), "raw": len(zlib.compress(raw, 6)) / size if kind != RECORDS else 1.0,
+            "skeleton": skeleton, "distinct": distinct, "words": words,
         })
     return found
 
@@ -200,17 +227,21 @@ _BLOCKS = "array<struct<kind:int,chars:int,script:int,bin:int,raw:double,skeleto
 _ARROW = pa.list_(pa.struct([("kind", pa.int32()), ("chars", pa.int32()), ("script", pa.int32()), ("bin", pa.int32()), ("raw", pa.float64()), ("skeleton", pa.float64()), ("distinct", pa.float64()), ("words", pa.float64())]))
 
 
-def measured(documents: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: A002
-    """(id, blocks): one row per document, whole texts, no shuffle; null and empty texts have no blocks."""
+def measured(documents: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str | None = None) -> DataFrame:  # noqa: A002
+    """(id, lang, blocks): one row per document, whole texts, no shuffle; null and empty texts have no blocks.
+
+    ``lang`` becomes the first two letters of the language's code, empty without a column or a code.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 1000):
                 part = batch.slice(begin, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([measure(t) if t else [] for t in part.column(1).to_pylist()], _ARROW)], [id, "blocks"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([measure(t) if t else [] for t in part.column(2).to_pylist()], _ARROW)], [id, "lang", "blocks"])
 
     kind = documents.schema[id].dataType.simpleString()
-    return documents.select(F.col(id), F.col(text).cast("string")).mapInArrow(run, f"`{id}` {kind}, blocks {_BLOCKS}")
+    code = F.coalesce(F.regexp_extract(F.lower(F.col(f"`{lang}`").cast("string")), "^([a-z]{2})", 1), F.lit("")) if lang else F.lit("")
+    return documents.select(F.col(f"`{id}`").alias(id), code.alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, f"`{id}` {kind}, lang string, blocks {_BLOCKS}")
 
 
 def _usual(bin_: int) -> float:
@@ -218,56 +249,72 @@ def _usual(bin_: int) -> float:
     return 0.35 + 5 / math.sqrt(1.5 * 2**bin_)
 
 
-def expected(features: DataFrame, weight: int = 20) -> dict[tuple[int, int], float]:
-    """Mean compression ratio of sentences by script and length class, over the whole corpus.
+def expected(features: DataFrame, weight: int = 20, least: int = 200) -> dict[tuple[int, str, int], float]:
+    """Mean compression ratio of sentences by script, language and length class, over the whole corpus.
 
-    At most 2 x 15 classes reach the driver: a block has at most 4 bytes for each of its
-    ``BLOCK`` characters. The prior of :func:`_usual` counts as ``weight`` blocks.
+    The prior of :func:`_usual` counts as ``weight`` blocks of a script, a script's mean as
+    ``weight`` blocks of a language of it; languages with fewer than ``least`` blocks in a
+    class go by their script. A block has at most 4 bytes for each of its ``BLOCK``
+    characters and a language two letters, so at most 11 x 14 x 677 means can reach the
+    driver, and as many times ``least`` blocks must be there for it.
     """
-    seen = features.select(F.explode("blocks").alias("b")).where(F.col("b.kind") == SENTENCES).groupBy("b.script", "b.bin").agg(F.count(F.lit(1)).alias("n"), F.sum("b.raw").alias("raw"))
-    means = {(script, bin_): _usual(bin_) for script in (0, 1) for bin_ in range(18)}
-    for r in seen.collect():
-        means[r["script"], r["bin"]] = (r["raw"] + weight * _usual(r["bin"])) / (r["n"] + weight)
+    blocks_ = features.select("lang", F.explode("blocks").alias("b")).where(F.col("b.kind") == SENTENCES).groupBy("b.script", "lang", "b.bin").agg(F.count(F.lit(1)).alias("n"), F.sum("b.raw").alias("raw"))
+    per = blocks_.groupBy("script", "bin").agg(F.sum("n").alias("n"), F.sum("raw").alias("raw"), F.collect_list(F.when((F.col("n") >= least) & (F.col("lang") != ""), F.struct("lang", "n", "raw"))).alias("langs"))
+    means = {(script, "", bin_): _usual(bin_) for script in range(len(SCRIPTS)) for bin_ in range(14)}
+    for r in per.collect():
+        mean = (r["raw"] + weight * _usual(r["bin"])) / (r["n"] + weight)
+        means[r["script"], "", r["bin"]] = mean
+        for one in r["langs"]:
+            means[r["script"], one["lang"], r["bin"]] = (one["raw"] + weight * mean) / (one["n"] + weight)
     return means
 
 
-def stuffed_pages(documents: DataFrame, *, id: str = "doc_id", text: str = "text", share: float = 0.7, extreme: float = 0.5, redundant: float = 0.6, shapeless: float = 0.35, least_bin: int = 7, least_chars: int = 50) -> DataFrame:  # noqa: A002
+def stuffed_pages(documents: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str | None = None, share: float = 0.7, extreme: float = 0.35, redundant: float = 0.6, listed: float = 0.7, shapeless: float = 0.35, least_bin: int = 7, least_chars: int = 50) -> DataFrame:  # noqa: A002
     """Documents that are mostly repeated keywords, links or tags: (id, stuffed_share).
 
-    Texts are cut into blocks: sentences, lines of data, and the rest. Each block's
-    compression ratio is set against that of sentences of its script and length class
-    over the whole corpus. A block is stuffed if
-
-    - it has no sentences and is redundant: its ratio is at most ``redundant`` of the
-      usual, or that of its skeleton (each link, ticker, tag, word and number one sign;
-      lists of distinct links or tags repeat only that) at most ``shapeless`` of it; blocks
-      under 2**``least_bin`` bytes are too short to measure and go by their form;
-    - or it is redundant (at most ``redundant``) and fragments that are no sentences fill most of it;
-    - or it is extremely redundant (at most ``extreme``) whatever its punctuation, and
-      its sentences are fragments (six words at most on average), few of them different.
-
-    Lines of data (logs, tables, calendars) are never stuffed; a line that only has their form (a
-    date, a key, a frame) and is filled with links, tags or repeated keywords is none
-    (:func:`is_listed`). A page counts with a
-    stuffed share of its characters of at least ``share`` and at least ``least_chars``
-    stuffed characters (less is a short note). One pass over the texts; its measures (some numbers per block) are
-    checkpointed, and a table of a few dozen means goes to the driver.
+    Texts are cut into blocks of sentences, of fragments with stops, of data, of links and
+    tags, and of the rest; what a sentence is goes by the density of sentence punctuation
+    and the variety of words in any script, not by a language's words. Each block's
+    compression ratio is set against that of sentences of its script, language (``lang``,
+    a column with codes, if given) and length class over the whole corpus. Stuffed is
+
+    - a block without sentence punctuation that is redundant: its ratio is at most
+      ``listed`` of the usual; or that of its skeleton (each link, tag, word and number one
+      sign) at most ``shapeless`` of it while its items are keywords (4.5 words on average,
+      or 6.5 if it also compresses better than sentences do);
+    - a block of links and tags whose skeleton is as redundant;
+    - a block of fragments (fewer words to a stop than sentences have) at most ``redundant`` of the usual;
+    - a block of sentences at most ``extreme`` of the usual, hardly any of them different.
+
+    Blocks under 2**``least_bin`` bytes compress too little to tell and go by their items, those
+    under twice that also by their repeated words. Lines of data (:func:`is_record`) are never stuffed; the form alone does
+    not make one. A page counts with a stuffed share of its characters of at least ``share``
+    and at least ``least_chars`` stuffed characters (less is a short note). One pass over the
+    texts; its measures (some numbers per block) are checkpointed, and a small table of means
+    goes to the driver (:func:`expected`).
 
     Defined cases: null, empty and blank texts are no cases; every row is judged by
     itself, repeated and null ids too; extra columns are ignored.
     """
-    features = cut_lineage(measured(documents, id=id, text=text))
+    features = cut_lineage(measured(documents, id=id, text=text, lang=lang))
     means = expected(features)
-    keys = F.array(*(F.lit(script * 100 + bin_) for script, bin_ in means))
-    table = F.map_from_arrays(keys, F.array(*(F.lit(raw) for raw in means.values())))
-
-    def stuffed(b: Column, usual: Column) -> Column:
-        listed = (b["kind"] == REST) & ((b["bin"] < least_bin) | (b["raw"] <= redundant * usual) | (b["skeleton"] <= shapeless * usual))
-        loose = (b["kind"] == FRAGMENTS) & (b["bin"] >= least_bin) & (b["raw"] <= redundant * usual)
-        return listed | loose | ((b["kind"] != RECORDS) & (b["bin"] >= least_bin) & (b["raw"] <= extreme * usual) & (b["distinct"] <= 0.5) & (b["words"] <= FRAGMENT))
-
-    judged = F.transform("blocks", lambda b: F.struct(b["chars"].alias("chars"), stuffed(b, F.element_at(table, b["script"] * 100 + b["bin"])).alias("stuffed")))
+    table = F.map_from_arrays(F.array(*(F.lit(f"{script} {code} {bin_}") for script, code, bin_ in means)), F.array(*(F.lit(raw) for raw in means.values())))
+
+    def usual(b: Column) -> Column:
+        of = lambda code: F.element_at("usual", F.concat_ws(" ", b["script"].cast("string"), code, b["bin"].cast("string")))
+        return F.coalesce(of(F.col("lang")), of(F.lit("")))
+
+    def stuffed(b: Column) -> Column:
+        raw, bare = b["raw"] / usual(b), b["skeleton"] <= shapeless * usual(b)
+        short = b["bin"] < least_bin
+        keywords = ((b["bin"] <= least_bin) & (b["distinct"] <= 0.5)) | F.when(short, b["words"] <= 4.5).otherwise((raw <= listed) | (bare & ((b["words"] <= 4.5) | ((b["words"] <= 6.5) & (raw <= 0.9)))))
+        return (
+            F.when(b["kind"] == REST, keywords).when(b["kind"] == TAGS, short | bare)
+            .when(b["kind"] == FRAGMENTS, ~short & (raw <= redundant)).when(b["kind"] == SENTENCES, ~short & (raw <= extreme) & (b["distinct"] <= 0.25)).otherwise(False)
+        )
+
+    judged = F.transform("blocks", lambda b: F.struct(b["chars"].alias("chars"), stuffed(b).alias("stuffed")))
     total = lambda xs, f: F.aggregate(xs, F.lit(0), lambda s, b: s + b[f])
     hit = F.filter("judged", lambda b: b["stuffed"])
-    scored = features.select(id, judged.alias("judged")).select(id, (total(hit, "chars") / F.greatest(total(F.col("judged"), "chars"), F.lit(1))).alias("stuffed_share"), total(hit, "chars").alias("chars"))
+    scored = features.withColumn("usual", table).select(id, judged.alias("judged")).select(id, (total(hit, "chars") / F.greatest(total(F.col("judged"), "chars"), F.lit(1))).alias("stuffed_share"), total(hit, "chars").alias("chars"))
     return scored.where((F.col("stuffed_share") >= share) & (F.col("chars") >= least_chars)).select(id, "stuffed_share")
