@@ -8,6 +8,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,13 +32,14 @@ RANGES = (
     (0x1000, 0x109F, 9, 4), (0x1780, 0x17FF, 9, 4), (0x1E00, 0x1EFF, 0, 0), (0x3040, 0x30FF, 3, 2), (0x3400, 0x9FFF, 2, 2), (0xAC00, 0xD7A3, 1, 2.5), (0x20000, 0x3FFFF, 2, 2),
 )
 
-_END = re.compile(r"(?<!\b\d)(?<!\b\d\d)[.!?…؟।۔]+[\"'”’»)\]]*(?=\s|$)|[。！？]+[」』”’)]*")
+_END = re.compile(r"[.!?…؟।۔]+[\"'”’»)\]]*(?=\s|$)|[。！？]+[」』”’)]*")
+_NUMBERED = re.compile(r"(?:^|\W)\d{1,2}$")
 _STOP_SIGNS = tuple(".!?…؟।۔。！？")
 _AFTER_STOP = " \t\"'”’»)]」』"
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_LETTER = re.compile(r"[^\W\d_]")
 _LINK = r"(?:h(?:tt|xx)ps?://|www[.\[])[^\s<>\"]+"
 _TAGGED = re.compile(_LINK + r"|\$[A-Z]{2,6}\b|#[^\s#]+|\b[A-Z]{1,4}-\d{2,6}\b", re.IGNORECASE)
+_SIGN = re.compile(r"[$#]|://|www|[A-Za-z]-\d", re.IGNORECASE)
 _INVISIBLE = re.compile("[\u200b-\u200f\u2060\ufeff]")
 # what fields of data look like in any language: dates, times, decimals, pairs, quoted keys, mixed identifiers; and plain numbers
 _MARK = re.compile(r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}|\d{1,2}:\d\d|\b\d+\.\d+|\w+=[^\s\"']|\"\w+\":|\b(?=[a-z]*\d)(?=\d*[a-z])[0-9a-z]{8,}\b")
@@ -48,6 +50,7 @@ _ITEMS = re.compile(r"[\n,;|/·•、，；،]|\s[-–>]\s|[.!?]\s|[。！？]")
 _TOKEN = re.compile(rf"({_LINK})|(\$[A-Z]{{2,6}}\b)|(#[^\s#]+)|([^\W\d_]+)|(\d+)|(\s+)", re.IGNORECASE)
 
 
+@lru_cache(1 << 16)
 def _place(letter: str) -> tuple[int, float]:
     """The script of a letter, and how many letters make a word (0: words are written apart)."""
     at = ord(letter)
@@ -58,10 +61,18 @@ def _place(letter: str) -> tuple[int, float]:
 
 
 def script_of(text: str) -> int:
-    """The script of most of the letters."""
+    """The script of most of the letters, each word going by its first one."""
     if text.isascii():
         return 0
-    return Counter(_place(c)[0] for c in _LETTER.findall(text)).most_common(1)[0][0] if _LETTER.search(text) else 0
+    letters = [0] * len(SCRIPTS)
+    for w in _WORD.findall(text):
+        letters[_place(w[0])[0]] += len(w)
+    return letters.index(max(letters))
+
+
+def _bare(text: str) -> str:
+    """Without links and tags."""
+    return _TAGGED.sub(" ", text) if _SIGN.search(text) else text
 
 
 def words_of(text: str) -> tuple[float, list[str]]:
@@ -72,8 +83,13 @@ def words_of(text: str) -> tuple[float, list[str]]:
     count, units = 0.0, []
     for w in found:
         script, per = _place(w[0])
-        count += max(1.0, len(w) / per) if per else 1
-        # of scripts without blanks
+        if not per:
+            count += 1
+        elif len(w) > per:
+            count += len(w) / per
+        else:
+            count += 1
+        # pairs of letters in scripts without blanks
         if per and script != 1:
             units += [w[i : i + 2] for i in range(0, max(1, len(w) - 1))]
         else:
@@ -85,7 +101,7 @@ def is_sentence(piece: str) -> bool:
     """Ends with a stop after as many words as sentences have, most of them different; links and tags are no words."""
     if piece.rstrip(_AFTER_STOP)[-1:] not in _STOP_SIGNS:
         return False
-    count, units = words_of(_TAGGED.sub(" ", piece))
+    count, units = words_of(_bare(piece))
     return SHORTEST <= count <= LONGEST and len(set(units)) >= 0.55 * len(units)
 
 
@@ -96,7 +112,7 @@ def is_record(line: str, keys: Counter, ruled: bool) -> bool:
     it; ``keys`` counts the keys of the text (a record has each once or has other fields),
     in a text with a table's rule (``ruled``) framed lines are rows.
     """
-    bare = _TAGGED.sub(" ", line)
+    bare = _bare(line)
     solid = len("".join(line.split()))
     filled = solid - len("".join(bare.split()))
     marks = len(_MARK.findall(bare))
@@ -121,7 +137,7 @@ def is_record(line: str, keys: Counter, ruled: bool) -> bool:
 
 def _listed(line: str, before: int) -> int:
     """Links and tags fill the line, or it is the short text to one of them; else the rest."""
-    bare = _TAGGED.sub(" ", line)
+    bare = _bare(line)
     solid = len("".join(line.split()))
     if solid - len("".join(bare.split())) >= 0.5 * solid or (before == TAGS and words_of(bare)[0] <= 4):
         return TAGS
@@ -132,6 +148,9 @@ def _cut(line: str) -> list[str]:
     """The line's pieces, each up to its stop."""
     at, out = 0, []
     for end in _END.finditer(line):
+        # "1." before an item is no stop
+        if end.start() - at < 4 and _NUMBERED.search(line, at, end.start()):
+            continue
         out.append(line[at : end.end()])
         at = end.end()
     if line[at:].strip():
@@ -154,7 +173,7 @@ def _segments(text: str) -> Iterator[tuple[int, str]]:
             yield before, line
             continue
         before = SENTENCES
-        if len(pieces) > 3 and sum(words_of(p)[0] for p in pieces) < (SHORTEST + 0.5) * len(pieces):
+        if len(pieces) > 3 and words_of(line)[0] < (SHORTEST + 0.5) * len(pieces):
             yield FRAGMENTS, line
             continue
         short: list[str] = []
@@ -196,7 +215,7 @@ def _skeleton(text: str) -> str:
 
 def _items(block: str) -> tuple[float, float]:
     """Of a block without sentences: the words per item of its list, and the share of different words."""
-    bare = _TAGGED.sub(" ", block)
+    bare = _bare(block)
     items = [n for n in (words_of(x)[0] for x in _ITEMS.split(bare)) if n]
     units = words_of(bare)[1]
     return sum(items) / max(1, len(items)), len(set(units)) / max(1, len(units))
