@@ -102,11 +102,67 @@ def test_store_appends_once_and_prunes(spark, tmp_path):
     assert early.count() == 1 and "PartitionFilters: [isnotnull(year" in early._jdf.queryExecution().toString()
 
 
+def test_store_refuses_other_content_for_a_key(spark, tmp_path):
+    root = str(tmp_path / "facts")
+    at = lambda *data: spark.createDataFrame(data, "source_id string, d string, value double").withColumn("observation_date", F.to_date("d")).drop("d")
+    keys = ["source_id", "observation_date"]
+    assert store.append_facts(at(("s", "2023-01-01", 1.0), ("s", "2023-01-01", 1.0), (None, None, None)), root, keys=keys) == 2
+    with pytest.raises(ValueError, match="other content"):
+        store.append_facts(at(("s", "2023-01-01", 2.0), ("s", "2023-01-02", 2.0)), root, keys=keys)
+    with pytest.raises(ValueError, match="other content"):
+        store.append_facts(at(("t", "2023-01-01", 2.0), ("t", "2023-01-01", 3.0)), root, keys=keys)
+    assert store.append_facts(at(("s", "2023-01-01", 1.0), ("t", "2023-01-01", 2.0), (None, None, None)), root, keys=keys) == 1 and store.read_facts(spark, root).count() == 3
+
+
+def test_lines_are_numbered_per_file(spark, tmp_path):
+    for name, n in (("a.csv", 500), ("b.csv", 3), ("c.csv", 0)):
+        put(tmp_path / name, "\ufeff" * (name == "b.csv") + "k,v\n" + "".join(f"{name[0]},{i}\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = rows(formats.ledger_csv(spark, str(tmp_path), "k string, v long").select("k", "v", "line_no"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 503 and all(line == v + 2 for _, v, line in got)
+    put(tmp_path / "d.csv", "v,k\n1,a\n")
+    with pytest.raises(ValueError, match="header"):
+        formats.ledger_csv(spark, str(tmp_path), "k string, v long")
+
+
+def test_cells_of_html_tables(spark, tmp_path):
+    put(tmp_path / "p.html", "<table><tr><th>a</th></tr><tr><td>1&amp;2 <b>x</b></td><td></td></tr></table><p>no</p><table><tr><td>\n y </td></tr></table>")
+    put(tmp_path / "q.html", "no table")
+    got = [(r["table"], r["row"], r["cells"]) for r in formats.html_tables(spark, str(tmp_path)).orderBy("table", "row").collect()]
+    assert got == [(0, 0, ["a"]), (0, 1, ["1&2 x", ""]), (1, 0, ["y"])]
+
+
+def test_a_workbook_is_read_as_written(spark, tmp_path):
+    data = [["year", None, "a & b"], [2024, 3.5, None], [None, " x ", "<y>"]]
+    (tmp_path / "w.xlsx").write_bytes(formats.workbook_bytes(data))
+    got = [r["cells"] for r in formats.workbook(spark, str(tmp_path / "w.xlsx")).orderBy("row").collect()]
+    assert got == [["year", None, "a & b"], ["2024", "3.5"], [None, " x ", "<y>"]]
+
+
+def test_seed_files_have_their_header(spark, tmp_path):
+    path = put(tmp_path / "s.csv", "era,anchor\nearly,1995-01-01\n")
+    assert [(a, str(b)) for a, b in rows(formats.seed_csv(spark, path, "era string, anchor date"))] == [("early", "1995-01-01")]
+    with pytest.raises(Exception, match="(?i)header|malformed|FAILED"):
+        formats.seed_csv(spark, path, "anchor date, era string").collect()
+
+
 def test_publish_and_write_once(spark, tmp_path):
     root = str(tmp_path)
-    store.publish(spark.range(2), root, "t")
-    store.publish(spark.range(5), root, "t")
-    assert store.latest(spark, root, "t").count() == 5 and spark.read.parquet(f"{root}/t/version=1").count() == 2
+    first = store.publish(spark.range(2), root, "t")
+    second = store.publish(spark.range(5), root, "t")
+    assert store.latest(spark, root, "t").count() == 5 and spark.read.parquet(first).count() == 2
+    assert store.publish(spark.range(5).repartition(3), root, "t") == second and store.publish(spark.range(5).withColumn("x", F.lit(None).cast("int")), root, "t") != second
+    assert store.publish(spark.range(2), root, "t") != second and store.latest(spark, root, "t").count() == 2
+    # a pointer that is being written says nothing yet; another writer takes the number after it
+    (tmp_path / "t.latest" / f"{5:010d}").touch()
+    assert store.latest(spark, root, "t").count() == 2
+    assert store.publish(spark.range(7), root, "t") and store.latest(spark, root, "t").count() == 7
+    with pytest.raises(FileNotFoundError):
+        store.latest(spark, root, "other")
     store.write_once(spark.range(1), f"{root}/once")
     with pytest.raises(Exception, match="already exists"):
         store.write_once(spark.range(1), f"{root}/once")

@@ -26,6 +26,15 @@ def scratch(spark: SparkSession) -> str:
     return at
 
 
+def put_files(spark: SparkSession, root: str, files: DataFrame) -> None:
+    """Lay down one binary file for each row (name, content): a landing zone of a few small published files."""
+    fs, at = store._fs(spark, root)
+    for name, content in files.collect():
+        out = fs.create(at(f"{root}/{name}"), True)
+        out.write(bytearray(content))
+        out.close()
+
+
 _FACTS = "SELECT fact_id, source_id, series_id, observation_date, value FROM v_facts"
 COLUMNS = ("fact_id", "source_id", "series_id", "observation_date", "value")
 
@@ -95,23 +104,18 @@ def sc06_front_matter(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT series_id, date, CASE WHEN value < 100 THEN NULL ELSE value END AS value FROM v_macro")
 def sc08_csv_with_sentinels(spark: SparkSession, d: str) -> DataFrame:
-    """Dates and values as text, missing values as a dot."""
+    """Dates and values as text, missing values as a dot; a folder per series, all read at once."""
     root = f"{scratch(spark)}/csv"
     out = V.macro(spark, d).select("series_id", F.date_format("date", "yyyy-MM-dd").alias("DATE"), F.when(F.col("value") < 100, ".").otherwise(F.col("value").cast("string")).alias("VALUE"))
     out.write.partitionBy("series_id").option("header", True).csv(root)
-    ids = [r[0] for r in V.macro(spark, d).select("series_id").distinct().collect()]  # a file per series, as published
-    parts = [formats.dated_csv(spark, f"{root}/series_id={i}", value="VALUE").withColumn("series_id", F.lit(i)) for i in sorted(ids)]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole.select("series_id", "date", "value")
+    return formats.dated_csv(spark, root, value="VALUE", keep=("series_id",))
 
 
-@query("SELECT date, close FROM v_price WHERE series = '1-URGENT'")
+@query("SELECT series, date, close FROM v_price")
 def sc09_us_dates(spark: SparkSession, d: str) -> DataFrame:
     root = f"{scratch(spark)}/csv"
-    V.prices(spark, d).where("series = '1-URGENT'").select(F.date_format("date", "MM/dd/yyyy").alias("DATE"), F.col("close").alias("CLOSE")).write.option("header", True).csv(root)
-    return formats.vix_csv(spark, root).select("date", F.col("value").alias("close"))
+    V.prices(spark, d).select("series", F.date_format("date", "MM/dd/yyyy").alias("DATE"), F.col("close").alias("CLOSE")).write.partitionBy("series").option("header", True).csv(root)
+    return formats.vix_csv(spark, root, keep=("series",)).withColumnRenamed("value", "close")
 
 
 @query("SELECT date, max(value) FILTER (series_id = 'AF') AS y2, max(value) FILTER (series_id = 'NO') AS y10 FROM v_macro GROUP BY date")
@@ -122,14 +126,14 @@ def sc10_xml(spark: SparkSession, d: str) -> DataFrame:
     return formats.yields_xml(spark, root, {"y2": "BC_2YEAR", "y10": "BC_10YEAR"})
 
 
-@query("SELECT date, value FROM v_macro WHERE series_id = 'AF'")
+@query("SELECT series_id, date, value FROM v_macro")
 def sc11_monthly_csv(spark: SparkSession, d: str) -> DataFrame:
     root = f"{scratch(spark)}/csv"
-    V.macro(spark, d).where("series_id = 'AF'").select(F.date_format("date", "yyyy-MM-dd").alias("date"), "value").write.option("header", True).csv(root)
-    return formats.dated_csv(spark, root, value="value", date="date")
+    V.macro(spark, d).select("series_id", F.date_format("date", "yyyy-MM-dd").alias("date"), "value").write.partitionBy("series_id").option("header", True).csv(root)
+    return formats.dated_csv(spark, root, value="value", date="date", keep=("series_id",))
 
 
-@query("SELECT series_id, strftime(date, '%Y-%m-%d') AS date, value FROM v_macro WHERE series_id IN ('AF', 'NO')")
+@query("SELECT series_id, strftime(date, '%Y-%m-%d') AS date, value FROM v_macro")
 def sc13_zipped(spark: SparkSession, d: str) -> DataFrame:
     """Zip files with a monthly block and an annual one below it, which is not read."""
     import io
@@ -146,12 +150,8 @@ def sc13_zipped(spark: SparkSession, d: str) -> DataFrame:
             z.writestr("data.csv", "\n".join(lines))
         return pd.DataFrame({"series_id": part["series_id"].iloc[:1], "content": [buffer.getvalue()]})
 
-    made = V.macro(spark, d).where("series_id IN ('AF', 'NO')").groupBy("series_id").applyInPandas(zipped, "series_id string, content binary")
-    fs, at = store._fs(spark, root)
-    for r in made.collect():  # two small files
-        out = fs.create(at(f"{root}/{r['series_id']}.zip"), True)
-        out.write(bytearray(r["content"]))
-        out.close()
+    made = V.macro(spark, d).groupBy("series_id").applyInPandas(zipped, "series_id string, content binary")
+    put_files(spark, root, made.select(F.concat("series_id", F.lit(".zip")), "content"))
     got = formats.zipped_factors(spark, f"{root}/*.zip")
     return got.select(F.regexp_extract("path", r"(\w+)\.zip$", 1).alias("series_id"), F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("values")[0].alias("value"))
 
@@ -175,23 +175,28 @@ def sc21_option_symbols(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", symbol.alias("symbol")).select("o_orderkey", F.concat(year, F.substring(part(2), 1, 2), F.lit("-"), F.substring(part(2), 3, 2), F.lit("-"), F.substring(part(2), 5, 2)).alias("expiry"), part(3).alias("side"), (part(4).cast("long") / 1000).alias("strike"))
 
 
-@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT r_name, n_name, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey")
 def sc15_html_table(spark: SparkSession, d: str) -> DataFrame:
-    """Cells of an HTML table by pattern, one page per region."""
+    """One page per region with a table of its nations below a table that isn't wanted; entities and blanks are read."""
+    root = f"{scratch(spark)}/pages"
     n, r = table(spark, d, "nation"), table(spark, d, "region")
-    cells = n.join(r, n.n_regionkey == r.r_regionkey).groupBy("r_name").agg(F.concat_ws("", F.collect_list(F.concat(F.lit("<tr><td>"), F.col("n_name"), F.lit("</td></tr>")))).alias("html"))
-    return cells.select("r_name", F.explode(F.regexp_extract_all("html", F.lit("<td>([^<]*)</td>"), 1)).alias("n_name"))
+    row = F.concat(F.lit("<tr>\n<td> "), F.regexp_replace("n_name", " ", "&#32;"), F.lit("</td><td>"), F.col("n_nationkey").cast("string"), F.lit("</td></tr>"))
+    pages = n.join(r, n.n_regionkey == r.r_regionkey).groupBy("r_name").agg(F.concat_ws("", F.collect_list(row)).alias("rows"))
+    html = F.concat(F.lit("<html><table><tr><td>menu</td></tr></table><table><tr><th>name</th><th>key</th></tr>"), "rows", F.lit("</table></html>"))
+    pages.select("r_name", html.alias("value")).repartition("r_name").write.partitionBy("r_name").text(root)
+    cells = formats.html_tables(spark, f"{root}/*/*.txt").where("table = 1 AND row > 0")
+    return cells.select(F.url_decode(F.regexp_extract("path", "r_name=([^/]+)/", 1)).alias("r_name"), F.col("cells")[0].alias("n_name"), F.col("cells")[1].cast("int").alias("n_nationkey"))
 
 
-@query("SELECT series, date, close, volume FROM v_price")
+@query("SELECT series, date, close - 1 AS open, close + 2 AS high, close - 2 AS low, close, volume::double AS volume FROM v_price WHERE volume > 1")
 def sc18_ohlcv(spark: SparkSession, d: str) -> DataFrame:
+    """Daily bars by series; days without a close come as N/D and are dropped."""
     root = f"{scratch(spark)}/csv"
-    p = V.prices(spark, d).select("series", F.col("date").alias("Date"), *(F.col("close").alias(c) for c in ("Open", "High", "Low", "Close")), F.col("volume").alias("Volume"))
+    c = F.col("close")
+    said = F.when(F.col("volume") > 1, c.cast("string")).otherwise("N/D")
+    p = V.prices(spark, d).select("series", F.col("date").alias("Date"), (c - 1).alias("Open"), (c + 2).alias("High"), (c - 2).alias("Low"), said.alias("Close"), F.col("volume").alias("Volume"))
     p.write.partitionBy("series").option("header", True).csv(root)
-    got = formats.ohlcv_csv(spark, f"{root}/*")
-    raw = spark.read.option("header", True).option("basePath", root).csv(f"{root}/*")
-    assert set(got.columns) >= {"date", "close", "volume"}
-    return raw.select("series", F.col("Date").cast("date").alias("date"), F.col("Close").cast("double").alias("close"), F.col("Volume").cast("long").alias("volume"))
+    return formats.ohlcv_csv(spark, root, keep=("series",))
 
 
 @query("SELECT source_id, (year(observation_date) // 10 * 10)::bigint AS decade, count(*) AS n FROM v_facts GROUP BY ALL")
@@ -240,9 +245,110 @@ def mu04_staged_build(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT series_id, date, value FROM v_macro")
 def mu10_content_pointer(spark: SparkSession, d: str) -> DataFrame:
+    """The same content published again, in another order, is the same version; other content is a new one."""
     root = scratch(spark)
-    store.publish(V.macro(spark, d), root, "macro")
-    return store.latest(spark, root, "macro").select("series_id", "date", "value")
+    m = V.macro(spark, d).select("series_id", "date", "value")
+    other = store.publish(m.where("value IS NULL"), root, "macro")
+    first = store.publish(m, root, "macro")
+    again = store.publish(m.orderBy("value"), root, "macro")
+    if first != again or first == other:
+        raise AssertionError("the pointer doesn't follow the content")
+    return store.latest(spark, root, "macro")
+
+
+@query("SELECT o_custkey, round(sum(o_totalprice * (o_orderstatus = 'F')::int), 2) AS before, count(*) AS n FROM orders GROUP BY 1")
+def mu02_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """A derived table deleted and built anew from its source; nothing of the stale one is left."""
+    path = f"{scratch(spark)}/derived"
+    derived = lambda o: o.groupBy("o_custkey").agg(F.round(F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).otherwise(0.0)), 2).alias("before"), F.count(F.lit(1)).alias("n"))
+    o = table(spark, d, "orders")
+    store.rebuild(derived(o.where("o_totalprice < 100000").withColumn("o_custkey", -F.col("o_custkey"))), path)
+    store.rebuild(derived(o), path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT series_id, strftime(date, '%Y-%m-%d') AS date, value, row_number() OVER (PARTITION BY series_id ORDER BY date) + 1 AS line_no, sha256(series_id || ',' || strftime(date, '%Y-%m-%d') || ',' || value::bigint) AS line_hash FROM v_macro")
+def sc05_ledger_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A CSV ledger per series, read with a strict header, the lines' numbers in their file and their hashes."""
+    root = f"{scratch(spark)}/ledger"
+    m = V.macro(spark, d).select("series_id", F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("value").cast("long").alias("value"), F.col("series_id").alias("s"))
+    m.repartition("s").sortWithinPartitions("s", "date").write.partitionBy("s").option("header", True).csv(root)
+    got = formats.ledger_csv(spark, f"{root}/*/*.csv", "series_id string, date string, value double")
+    return got.where("NOT bad").select("series_id", "date", "value", "line_no", "line_hash")
+
+
+@query("SELECT n_nationkey, n_name, r FROM (SELECT n_nationkey, n_name, n_regionkey::int AS r FROM nation)")
+def sc06_record_files(spark: SparkSession, d: str) -> DataFrame:
+    """A file per record, with front matter and a body, scanned and taken apart; other files beside them have no fields."""
+    root = f"{scratch(spark)}/records"
+    n = table(spark, d, "nation")
+    text = F.concat(F.lit("---\nnation: "), F.col("n_nationkey").cast("string"), F.lit("\nname: '"), "n_name", F.lit("'\nregion: "), F.col("n_regionkey").cast("string"), F.lit("\nextra: kept\n---\n\nBody: of the record"))
+    n.select(F.col("n_nationkey").alias("k"), text.alias("value")).unionByName(spark.sql("SELECT -1 AS k, 'a template without front matter' AS value").withColumn("k", F.col("k").cast(n.schema["n_nationkey"].dataType))).write.partitionBy("k").text(root)
+    got = formats.records(spark, f"{root}/*/*.txt").where("size(fields) > 0 AND body = 'Body: of the record'")
+    return got.select(F.col("fields.nation").cast(n.schema["n_nationkey"].dataType).alias("n_nationkey"), F.col("fields.name").alias("n_name"), F.col("fields.region").cast("int").alias("r"))
+
+
+@query("SELECT r_regionkey::int AS id, r_name AS name, 'weekly' AS schedule FROM region")
+def sc07_registry(spark: SparkSession, d: str) -> DataFrame:
+    """A YAML list of questions, a small file as registries are."""
+    root = scratch(spark)
+    entry = F.concat(F.lit("  - id: "), F.col("r_regionkey").cast("string"), F.lit("\n    name: \""), "r_name", F.lit("\"\n    schedule: weekly\n"))
+    text = table(spark, d, "region").agg(F.concat(F.lit("questions:\n"), F.concat_ws("", F.collect_list(entry))).alias("text"))
+    put_files(spark, root, text.select(F.lit("registry.yaml"), F.encode("text", "UTF-8")))
+    return formats.registry(spark, f"{root}/registry.yaml", "id int, name string, schedule string")
+
+
+@query("WITH m AS (SELECT date_trunc('month', l_shipdate)::date AS date, v.y, sum(l_quantity) AS value FROM lineitem, (SELECT unnest(range(1996, 2003)) AS y) v WHERE l_linenumber <= v.y - 1995 AND year(l_shipdate) < v.y GROUP BY ALL) SELECT date, make_date(y, 1, 31) AS realtime_start, value, lead(make_date(y, 1, 31)) OVER (PARTITION BY date ORDER BY y) - 1 AS realtime_end FROM m")
+def sc12_wide_vintages(spark: SparkSession, d: str) -> DataFrame:
+    """A CSV with one column per vintage (SERIES_YYYYMMDD) back to observations with the period each stood; a dot is no value.
+
+    The vintage of January of a year knows the months before that year, from more lines each year.
+    """
+    root = f"{scratch(spark)}/wide"
+    li = table(spark, d, "lineitem").withColumn("date", F.to_date(F.date_trunc("month", "l_shipdate")))
+    known = lambda y: F.sum(F.when((F.col("l_linenumber") <= y - 1995) & (F.year("l_shipdate") < y), F.col("l_quantity")))
+    wide = li.groupBy("date").agg(*(F.coalesce(known(y).cast("string"), F.lit(".")).alias(f"QTY_{y}0131") for y in range(1996, 2003)))
+    wide.write.option("header", True).csv(root)
+    got = formats.vintages(spark.read.option("header", True).csv(root), "QTY")
+    return got.select(F.to_date("date").alias("date"), "realtime_start", "value", "realtime_end")
+
+
+@query("SELECT n_regionkey::bigint AS region, n_name, n_nationkey::double AS key FROM nation")
+def sc14_workbook(spark: SparkSession, d: str) -> DataFrame:
+    """A workbook per region, written and read by cells."""
+    import pandas as pd
+
+    root = scratch(spark)
+
+    def booked(part: pd.DataFrame) -> pd.DataFrame:
+        rows = [["name", None, "key"]] + [[r.n_name, None, int(r.n_nationkey)] for r in part.itertuples()]
+        return pd.DataFrame({"name": [f"{part['n_regionkey'].iloc[0]}.xlsx"], "content": [formats.workbook_bytes(rows)]})
+
+    put_files(spark, root, table(spark, d, "nation").groupBy("n_regionkey").applyInPandas(booked, "name string, content binary"))
+    cells = formats.workbook(spark, f"{root}/*.xlsx").where("row > 0")
+    return cells.select(F.regexp_extract("path", r"(\d+)\.xlsx$", 1).cast("long").alias("region"), F.col("cells")[0].alias("n_name"), F.col("cells")[2].cast("double").alias("key"))
+
+
+@query("""WITH f AS (SELECT o_custkey AS cik, strftime(o_orderdate, '%Y-01-01') AS start, strftime(o_orderdate, '%Y-12-31') AS "end", o_totalprice AS val, CASE o_orderstatus WHEN 'O' THEN '10-Q' WHEN 'F' THEN '10-K' ELSE '8-K' END AS form, strftime(o_orderdate, '%Y-%m-%d') AS filed, printf('%012d', o_orderkey) AS accn FROM orders),
+    l AS (SELECT cik, start, "end", arg_max(val, (filed, accn)) AS val, arg_max(form, (filed, accn)) AS form, max(filed) AS filed FROM f WHERE form <> '8-K' AND filed <= '2000-06-30' GROUP BY ALL) SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY cik ORDER BY "end" DESC) <= 3""")
+def sc19_company_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Nested facts per filer as one JSON document each: forms, what was filed by a day, last revision, last periods."""
+    o = table(spark, d, "orders")
+    day = lambda pattern: F.date_format("o_orderdate", pattern)
+    unit = F.struct(day("yyyy-01-01").alias("start"), day("yyyy-12-31").alias("end"), F.col("o_totalprice").alias("val"), F.when(F.col("o_orderstatus") == "O", "10-Q").when(F.col("o_orderstatus") == "F", "10-K").otherwise("8-K").alias("form"), day("yyyy-MM-dd").alias("filed"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("accn"))
+    root = f"{scratch(spark)}/facts"
+    o.groupBy(F.col("o_custkey").alias("cik")).agg(F.collect_list(unit).alias("u")).select(F.to_json(F.struct("cik", F.struct(F.col("u").alias("USD")).alias("units"))).alias("value")).write.text(root)
+    return formats.company_facts(spark.read.text(root), "value", as_of="2000-06-30", keep=3)
+
+
+@query("SELECT r_name AS era, strftime(m, '%Y-%m') AS month, k FROM (SELECT r_name, unnest(range(make_date(1995 + r_regionkey::int, 1, 1)::timestamp, make_date(1997 + r_regionkey::int, 12, 1)::timestamp + INTERVAL 1 DAY, INTERVAL 1 MONTH)) AS m, generate_subscripts(range(make_date(1995 + r_regionkey::int, 1, 1)::timestamp, make_date(1997 + r_regionkey::int, 12, 1)::timestamp + INTERVAL 1 DAY, INTERVAL 1 MONTH), 1) - 1 AS k FROM region)")
+def sc22_alignment_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Eras from a seed file, each with its months numbered from its anchor."""
+    root = f"{scratch(spark)}/seed"
+    first = F.col("r_regionkey").cast("int") + 1995
+    table(spark, d, "region").select(F.col("r_name").alias("era"), F.make_date(first, F.lit(1), F.lit(1)).alias("anchor"), F.make_date(first + 2, F.lit(12), F.lit(1)).alias("last")).write.option("header", True).csv(root)
+    eras = formats.seed_csv(spark, root, "era string, anchor date, last date")
+    return eras.select("era", F.posexplode(F.expr("sequence(anchor, last, INTERVAL 1 MONTH)")).alias("k", "m")).select("era", F.date_format("m", "yyyy-MM").alias("month"), F.col("k").cast("long").alias("k"))
 
 
 # ---- weights of components, which need no file --------------------------------------------------

@@ -12,28 +12,13 @@ from tidemark.operators.series import Series
 from tidemark.plans import views as V
 from tidemark.plans.tables import table
 from tidemark.plans.views import query
+from tidemark.streaming.ledgers import weekly
 
 r6 = lambda c: F.round(c, 6)
 
 # ---- sources that SQL can express over the driver's tables ------------------------------------
 
 
-@query("SELECT series_id, strftime(date, '%Y-%m-%d') AS date, value, row_number() OVER (PARTITION BY series_id ORDER BY date) AS line, sha256(series_id || ',' || strftime(date, '%Y-%m-%d') || ',' || value::bigint) AS hash FROM v_macro")
-def sc05_ledger_lines(spark: SparkSession, d: str) -> DataFrame:
-    line = F.concat_ws(",", "series_id", F.date_format("date", "yyyy-MM-dd"), F.col("value").cast("long").cast("string"))
-    return V.macro(spark, d).select("series_id", F.date_format("date", "yyyy-MM-dd").alias("date"), "value", Series(["series_id"], "date").number().cast("long").alias("line"), F.sha2(line, 256).alias("hash"))
-
-
-@query("SELECT series_id, date, value FROM v_macro")
-def sc12_wide_to_tall(spark: SparkSession, d: str) -> DataFrame:
-    """A table with one column per month, named by it, back to rows; the columns are the calendar's months."""
-    from tidemark.sources.formats import tall
-
-    months = [f"{y}{m:02d}" for y in range(1995, 2002) for m in range(1, 13)]
-    wide = V.macro(spark, d).withColumn("m", F.date_format("date", "yyyyMM")).groupBy("series_id").pivot("m", months).agg(F.max("value"))
-    return tall(wide, ["series_id"], r"(\d{6})", "m").select("series_id", F.to_date(F.concat("m", F.lit("01")), "yyyyMMdd").alias("date"), "value")
-
-
 @query("SELECT series, date, close FROM v_price")
 def sc17_parallel_arrays(spark: SparkSession, d: str) -> DataFrame:
     """Quotes as JSON with parallel arrays (times, closes) and back to rows."""
@@ -44,19 +29,6 @@ def sc17_parallel_arrays(spark: SparkSession, d: str) -> DataFrame:
     return parallel_arrays(text, "json", {"date": "date", "close": "double"}).where("close IS NOT NULL").select("series", "date", "close")
 
 
-@query("SELECT question_id, probability AS value, round AS period FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round DESC) AS k FROM v_forecasts WHERE coalesce(research_status, 'ok') <> 'failed') WHERE k <= 8")
-def sc19_last_periods(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("question_id").orderBy(F.col("round").desc())
-    f = V.forecasts(spark, d).where(F.coalesce("research_status", F.lit("ok")) != "failed").withColumn("k", F.row_number().over(w))
-    return f.where("k <= 8").select("question_id", F.col("probability").alias("value"), F.col("round").alias("period"))
-
-
-@query("SELECT e.era, strftime(d, '%Y-%m') AS month, k FROM (SELECT era, unnest(range(a::timestamp, b::timestamp + INTERVAL 1 DAY, INTERVAL 1 MONTH)) AS d, generate_subscripts(range(a::timestamp, b::timestamp + INTERVAL 1 DAY, INTERVAL 1 MONTH), 1) - 1 AS k FROM (VALUES ('early', DATE '1995-01-01', DATE '1997-12-01'), ('late', DATE '1999-06-01', DATE '2001-11-01')) t(era, a, b)) e")
-def sc22_alignment_rows(spark: SparkSession, d: str) -> DataFrame:
-    eras = spark.sql("SELECT * FROM VALUES ('early', DATE '1995-01-01', DATE '1997-12-01'), ('late', DATE '1999-06-01', DATE '2001-11-01') AS e(era, a, b)")
-    return eras.select("era", F.posexplode(F.expr("sequence(a, b, INTERVAL 1 MONTH)")).alias("k", "m")).select("era", F.date_format("m", "yyyy-MM").alias("month"), F.col("k").cast("long").alias("k"))
-
-
 @query("SELECT event_type AS kind, count(*) AS n, sum(CASE event_type WHEN 'view' THEN (props->>'k')::int WHEN 'click' THEN 2 * (props->>'k')::int ELSE 0 END)::bigint AS total FROM events GROUP BY 1")
 def sc23_fan_out_by_kind(spark: SparkSession, d: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
@@ -130,13 +102,11 @@ def sm07_healthy_tail(spark: SparkSession, d: str) -> DataFrame:
     return L.healthy_tail(V.prices(spark, d).withColumn("ok", F.col("volume") >= 2), "series", "date", "ok")
 
 
-@query("SELECT source_id, series_id, epoch_ms((epoch_ms(vintage_start) // 604800000 * 7 * 86400000 + 4 * 86400000))::timestamp AS week, count(*) AS n, arg_max(value, (vintage_start, fact_id)) AS last FROM v_facts GROUP BY ALL")
+@query("SELECT source_id, series_id, date_trunc('week', vintage_start)::timestamp AS week, count(*) AS n, arg_max(value, (vintage_start, value)) AS last FROM v_facts GROUP BY ALL")
 def sm05_weekly_buckets(spark: SparkSession, d: str) -> DataFrame:
-    """Fixed seven-day buckets that begin on Mondays, as the stream's window does."""
+    """Weeks from Monday, by the function that the stream uses: here over the whole ledger at once."""
     f = V.facts(spark, d).withColumn("at", F.col("vintage_start").cast("timestamp"))
-    w = F.window("at", "7 days", "7 days", "0 days")
-    out = f.groupBy("source_id", "series_id", w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("vintage_start", "fact_id", "value"))["value"].alias("last"))
-    return out.select("source_id", "series_id", (F.col("w.start") + F.expr("INTERVAL 4 DAYS")).cast("timestamp_ntz").alias("week"), "n", "last")
+    return weekly(f, ["source_id", "series_id"], "at", "value").withColumn("week", F.col("week").cast("timestamp_ntz"))
 
 
 # ---- scalar functions -------------------------------------------------------------------------

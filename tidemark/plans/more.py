@@ -164,13 +164,6 @@ def mu09_historical_inserts(spark: SparkSession, d: str) -> DataFrame:
     return o.where("o_orderstatus = 'O'").join(last, "o_custkey").select("o_custkey", "o_orderkey", F.when(F.col("o_orderdate") <= F.col("last"), "historical").otherwise("new").alias("verdict"))
 
 
-@query("SELECT o_custkey, sum(o_totalprice * (o_orderstatus = 'F')::int)::decimal(18, 2)::double AS before, count(*) AS n FROM orders GROUP BY 1")
-def mu02_rebuild(spark: SparkSession, d: str) -> DataFrame:
-    """A derived table built anew from its source, never updated."""
-    f = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).otherwise(0.0)
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.round(F.sum(f), 2).alias("before"), F.count(F.lit(1)).alias("n"))
-
-
 # ---- alignment --------------------------------------------------------------------------------
 
 

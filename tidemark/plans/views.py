@@ -19,7 +19,7 @@ def query(sql: str | None = None):
     def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = f"WITH RECURSIVE {VIEWS} {sql}"
+            SQL[f.__name__] = f"WITH RECURSIVE {VIEWS}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH RECURSIVE {VIEWS} {sql}"
         return f
 
     return register

@@ -7,7 +7,9 @@ import json
 import re
 import zipfile
 from collections.abc import Iterator
+from html.parser import HTMLParser
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -38,37 +40,64 @@ def manifest_jsonl(spark: SparkSession, root: str, manifest: DataFrame, schema:
     return rows.drop("_name")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of text files with their number in their file, from 1.
+
+    A file's blocks are numbered each by itself and begin where the blocks before them end,
+    so a large file is never in one task.
+    """
+    from pyspark.sql import Window
+
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    counts = text.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = text.withColumn("k", F.row_number().over(Window.partitionBy("file", "block").orderBy("at")))
+    return inside.join(offsets, ["file", "block"]).select("file", (F.col("offset") + F.col("k")).cast("long").alias("line"), "value")
+
+
 def ledger_csv(spark: SparkSession, path: str, columns: str) -> DataFrame:
-    """A CSV ledger with a strict header: the columns, ``line_hash`` (SHA-256 of the line) and ``bad``.
+    """A CSV ledger with a strict header: the columns, ``line_no``, ``line_hash`` (SHA-256 of the line) and ``bad``.
 
-    ``bad`` marks lines that don't parse; empty fields are null. Raises if the header isn't as given.
+    ``bad`` marks lines that don't parse; empty fields are null, blank lines are left out.
+    Raises if the first line of a file isn't the header as given.
     """
     names = [c.split()[0] for c in columns.split(", ")]
-    head = spark.read.text(path).limit(1).first()
-    if head is None or head[0].strip().lstrip("\ufeff") != ",".join(names):
-        raise ValueError(f"unexpected header: {head and head[0]}")
-    lines = spark.read.text(path).where(F.trim("value") != ",".join(names)).where("trim(value) != ''")
+    lines = numbered_lines(spark, path)
+    wrong = lines.where("line = 1").where(F.regexp_replace(F.trim("value"), "^\ufeff", "") != ",".join(names)).limit(1).collect()
+    if wrong:
+        raise ValueError(f"unexpected header: {wrong[0]['value']}")
+    body = lines.where("line > 1 AND trim(value) != ''")
     parsed = F.from_csv(F.col("value"), f"{columns}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    return lines.select(F.sha2("value", 256).alias("line_hash"), parsed.alias("r")).select("r.*", "line_hash").withColumn("bad", F.col("_corrupt").isNotNull()).drop("_corrupt")
+    return body.select(F.col("line").alias("line_no"), F.sha2("value", 256).alias("line_hash"), parsed.alias("r")).select("r.*", "line_no", "line_hash").withColumn("bad", F.col("_corrupt").isNotNull()).drop("_corrupt")
 
 
 # ---- tables of public sources -----------------------------------------------------------------
 
 
-def dated_csv(spark: SparkSession, path: str, *, value: str, date: str = "DATE", null: str = ".", pattern: str = "yyyy-MM-dd") -> DataFrame:
-    """(date, value) of a CSV with a header; the sentinel for missing is null, other text is dropped."""
+def dated_csv(spark: SparkSession, path: str, *, value: str, date: str = "DATE", null: str = ".", pattern: str = "yyyy-MM-dd", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(date, value) of a CSV with a header; the sentinel for missing is null, other text is dropped.
+
+    ``keep``: further columns, as those that the folders of many series are named by.
+    """
     raw = spark.read.option("header", True).option("nullValue", null).csv(path)
-    return raw.select(F.try_to_timestamp(F.col(f"`{date}`"), F.lit(pattern)).cast("date").alias("date"), F.col(f"`{value}`").try_cast("double").alias("value")).where("date IS NOT NULL")
+    return raw.select(*keep, F.try_to_timestamp(F.col(f"`{date}`"), F.lit(pattern)).cast("date").alias("date"), F.col(f"`{value}`").try_cast("double").alias("value")).where("date IS NOT NULL")
 
 
-def vix_csv(spark: SparkSession, path: str) -> DataFrame:
+def vix_csv(spark: SparkSession, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Daily index levels dated MM/DD/YYYY."""
-    return dated_csv(spark, path, value="CLOSE", pattern="MM/dd/yyyy")
+    return dated_csv(spark, path, value="CLOSE", pattern="MM/dd/yyyy", keep=keep)
 
 
-def ohlcv_csv(spark: SparkSession, path: str) -> DataFrame:
+def ohlcv_csv(spark: SparkSession, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Daily bars; rows without a date or a close are dropped, other text is null."""
     raw = spark.read.option("header", True).csv(path)
-    return raw.select(F.col("Date").try_cast("date").alias("date"), *(F.col(c).try_cast("double").alias(c.lower()) for c in ("Open", "High", "Low", "Close", "Volume"))).where("date IS NOT NULL AND close IS NOT NULL")
+    return raw.select(*keep, F.col("Date").try_cast("date").alias("date"), *(F.col(c).try_cast("double").alias(c.lower()) for c in ("Open", "High", "Low", "Close", "Volume"))).where("date IS NOT NULL AND close IS NOT NULL")
+
+
+def seed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A small dimension in CSV with the header and types given; a row of another shape fails the read."""
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
 
 
 def yields_xml(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
@@ -176,6 +205,65 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return parse_records(spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path")), "path", "value")
 
 
+# ---- tables in pages ---------------------------------------------------------------------------
+
+
+class _Cells(HTMLParser):
+    """Collects the cells of each table of a page, by row; tables within cells count by themselves."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.rows: list[tuple[int, list[str]]] = []
+        self.open: list[tuple[int, list[str] | None]] = []
+        self.seen, self.text = 0, []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "table":
+            self.open.append((self.seen, None))
+            self.seen += 1
+        elif tag == "tr" and self.open:
+            self.open[-1] = (self.open[-1][0], [])
+        elif tag in ("td", "th"):
+            self.text = []
+
+    def handle_data(self, data: str) -> None:
+        self.text.append(data)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in ("td", "th") and self.open and self.open[-1][1] is not None:
+            self.open[-1][1].append(" ".join("".join(self.text).split()))
+        elif tag == "tr" and self.open and self.open[-1][1]:
+            self.rows.append((self.open[-1][0], self.open[-1][1]))
+            self.open[-1] = (self.open[-1][0], None)
+        elif tag == "table" and self.open:
+            self.open.pop()
+
+
+def table_cells(html: str) -> list[tuple[int, int, list[str]]]:
+    """(table, row, cells) of a page, both counted from 0; entities are read, blanks are put together."""
+    parser = _Cells()
+    parser.feed(html)
+    counts: dict[int, int] = {}
+    out = []
+    for table, cells in parser.rows:
+        out.append((table, counts.get(table, 0), cells))
+        counts[table] = counts.get(table, 0) + 1
+    return out
+
+
+def html_tables(spark: SparkSession, path: str) -> DataFrame:
+    """(path, table, row, cells) of the tables in HTML files."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                found = table_cells(bytes(content).decode("utf-8", "replace"))
+                if found:
+                    yield pd.DataFrame({"path": name, "table": [t for t, _, _ in found], "row": [r for _, r, _ in found], "cells": [c for _, _, c in found]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "path string, table int, row int, cells array<string>")
+
+
 # ---- workbooks and registries ------------------------------------------------------------------
 
 
@@ -207,6 +295,38 @@ def sheet_rows(content: bytes, sheet: str | None = None) -> list[list[str | None
     return out
 
 
+def workbook_bytes(rows: list[list], sheet: str = "data") -> bytes:
+    """A workbook of one sheet; numbers as numbers, the rest as text, nulls as gaps."""
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+    def name(k: int) -> str:
+        out = ""
+        while k:
+            k, r = divmod(k - 1, 26)
+            out = chr(65 + r) + out
+        return out
+
+    def cell(at: str, value) -> str:
+        if isinstance(value, int | float) and not isinstance(value, bool):
+            return f'<c r="{at}"><v>{value!r}</v></c>'
+        return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
+
+    body = "".join(f'<row r="{n}">' + "".join(cell(f"{name(k)}{n}", v) for k, v in enumerate(row, 1) if v is not None) + "</row>" for n, row in enumerate(rows, 1))
+    parts = {
+        "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>',
+    }
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for part, text in parts.items():
+            z.writestr(part, text)
+    return buffer.getvalue()
+
+
 def workbook(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     """(path, row, cells) of the worksheets of .xlsx files."""
 
@@ -226,7 +346,7 @@ def registry(spark: SparkSession, path: str, schema: str, root: str = "questions
         import yaml
     except ImportError as e:
         raise ImportError("YAML registries need the yaml package") from e
-    with open(path, encoding="utf-8") as file:
-        entries = (yaml.safe_load(file) or {}).get(root) or []
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    entries = (yaml.safe_load(text) or {}).get(root) or []
     text = spark.createDataFrame([(json.dumps(e, default=str, ensure_ascii=False),) for e in entries], "j string")
     return text.select(F.from_json("j", f"struct<{', '.join(c.replace(' ', ':', 1) for c in schema.split(', '))}>").alias("r")).select("r.*")
