@@ -26,8 +26,16 @@ def test_unique_ids(spark, tmp_path):
     assert [r[0] for r in rows(drain(S.unique(s, "id", "t"), tmp_path, name="u").select("id"))] == ["a", "b", "c"]
 
 
+def slack(spark, tmp_path, batches, name, **how):
+    s = folder(spark, tmp_path, batches, "id string, c string, e timestamp, a timestamp, v double")
+    return drain(S.slack_aggregates(s, id="id", category="c", event_time="e", arrival="a", value="v", slack_us=2 * DAY_US, **how), tmp_path, name=name)
+
+
+def day(d, h=0):
+    return T0 + timedelta(days=d, hours=h)
+
+
 def test_slack_gives_provisional_then_final(spark, tmp_path):
-    day = lambda d, h=0: T0 + timedelta(days=d, hours=h)
     batches = [
         [("x1", "A", day(0, 9), day(0, 10), 10.0), ("x2", "A", day(0, 3), day(0, 11), 20.0)],
         [("x3", "A", day(0, 1), day(1, 5), 30.0), ("x1", "A", day(0, 9), day(1, 6), 10.0)],
@@ -35,11 +43,30 @@ def test_slack_gives_provisional_then_final(spark, tmp_path):
         [("z", "B", day(9), day(9), 1.0)],
         [("z2", "B", day(20), day(20), 1.0)],
     ]
-    s = folder(spark, tmp_path, batches, "id string, c string, e timestamp, a timestamp, v double")
-    out = drain(S.slack_aggregates(s, id="id", category="c", event_time="e", arrival="a", value="v", slack_us=2 * DAY_US), tmp_path, name="slack")
+    out = slack(spark, tmp_path, batches, "slack", disorder="0 seconds")
     a = [tuple(r) for r in out.where("category = 'A'").select("stage", "n", "n_value", "total", "first_value", "last_value").collect()]
-    assert a == [("provisional", 2, 2, 30.0, None, None), ("provisional", 3, 3, 60.0, None, None), ("final", 3, 3, 60.0, 30.0, 10.0)]
-    assert out.where("category = 'B' AND stage = 'final'").count() >= 1
+    assert [x for x in a if x[0] != "fate"] == [("provisional", 2, 2, 30.0, None, None), ("provisional", 1, 1, 30.0, None, None), ("final", 3, 3, 60.0, 30.0, 10.0)]
+    assert rows(S.slack_fates(out)) == [("late", "too_late"), ("x3", "corrects"), ("y", "corrects")]
+    assert [tuple(r) for r in S.slack_periods(out).where("category = 'B'").orderBy("day").select("n", "n_value", "mean").collect()] == [(1, 0, None), (1, 1, 1.0)]
+
+
+def test_slack_drops_nothing_when_arrivals_are_swapped(spark, tmp_path):
+    batches = [
+        [("x1", "A", day(0, 9), day(1, 9), 10.0), ("n", None, day(0, 5), day(0, 6), 1.0)],
+        # arrived before x1, reached the stream after it; and an earlier delivery of x1 itself
+        [("x2", "A", day(0, 3), day(0, 11), 20.0), ("x1", "A", day(0, 9), day(0, 10), 10.0), (None, "A", day(0), day(0), 1.0), ("q", "A", None, day(0), 1.0)],
+        [("z", "B", day(9), day(9), 1.0)],
+        # behind the watermark by days, when the period closes and after it; a redelivery is no news
+        [("just", "A", day(0, 4), day(0, 12), 6.0), ("x2", "A", day(0, 3), day(5), 20.0), ("late", "A", day(0, 4), day(5), 5.0)],
+        [("slow", "A", day(0, 4), day(0, 12), 5.0), ("z2", "B", day(20), day(20), 1.0)],
+    ]
+    for slices in (1, 3):
+        path = tmp_path / str(slices)
+        path.mkdir()
+        out = slack(spark, path, batches, f"swapped{slices}", disorder="1 day", slices=slices)
+        got = [tuple(r) for r in S.slack_periods(out).where("category = 'A' OR category IS NULL").orderBy("category").select("category", "n", "mean", "first_value", "last_value").collect()]
+        assert got == [(None, 1, 1.0, 1.0, 1.0), ("A", 2, 15.0, 20.0, 10.0)]
+        assert rows(S.slack_fates(out)) == [("just", "refused"), ("late", "too_late"), ("slow", "refused")]
 
 
 def test_weeks_begin_on_monday(spark, tmp_path):

@@ -22,7 +22,8 @@ found AS (
 """
 
 _ARRIVALS = """
-arrived AS (SELECT event_id, any_value(event_type) event_type, any_value(scheduled_at::timestamptz) s, any_value(actual) actual, min(retrieved_at::timestamptz) a FROM event_fact GROUP BY event_id),
+received AS (SELECT receipt_id, min(retrieved_at::timestamptz) received_at FROM raw_time_series_receipt GROUP BY receipt_id),
+arrived AS (SELECT event_id, any_value(event_type) event_type, any_value(scheduled_at::timestamptz) s, any_value(actual) actual, min(coalesce(received_at, retrieved_at::timestamptz)) a FROM event_fact LEFT JOIN received USING (receipt_id) GROUP BY event_id),
 placed AS (SELECT *, date_trunc('day', timezone('UTC', s)) AS d, date_diff('microsecond', date_trunc('day', timezone('UTC', s)) + INTERVAL 1 DAY, timezone('UTC', a)) AS late_us FROM arrived)
 """
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import DAY_US, instant, instant_us
 from tidemark.plans.landing import scratch
 from tidemark.plans.tables import table
 from tidemark.plans.views import query
@@ -20,22 +18,10 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@contextmanager
-def _few_state_stores(spark: SparkSession, most: int = 16) -> Iterator[None]:
-    """A bounded run over one table needs no more state stores than that; a stream keeps the number it began with."""
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(min(most, int(before))))
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-
-
 def _drained(stream: DataFrame) -> DataFrame:
     """All that the stream gives for what is there now."""
     spark, root = stream.sparkSession, scratch(stream.sparkSession)
-    with _few_state_stores(spark):
-        stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
@@ -88,3 +74,41 @@ def sm08_monitor_stream(spark: SparkSession, d: str) -> DataFrame:
     """The monitored ratio of each kind of event after the last one."""
     got = _drained(S.monitor(_events(spark, d).withColumn("ratio", F.col("value") / 20), "event_type", "event_id", "ratio"))
     return got.groupBy("key").agg(F.round(F.max_by("ratio", "order_no"), 6).alias("ratio"))
+
+
+_CLOSED = """
+    WITH got AS (SELECT receipt_id, min(retrieved_at::timestamptz) AS received FROM raw_time_series_receipt GROUP BY 1),
+    told AS (SELECT event_id, event_type, scheduled_at::timestamptz AS s, coalesce(received, retrieved_at::timestamptz) AS a, actual FROM event_fact LEFT JOIN got USING (receipt_id)),
+    once AS (SELECT event_id, any_value(event_type) AS event_type, any_value(s) AS s, min(a) AS a, any_value(actual) AS actual FROM told GROUP BY 1),
+    placed AS (SELECT *, timezone('UTC', s)::date AS day, (timezone('UTC', s)::date + INTERVAL 1 DAY) AT TIME ZONE 'UTC' AS ends, (SELECT max(a) - INTERVAL 12 DAY FROM told) AS mark FROM once)
+"""
+
+
+def _deliveries(spark: SparkSession, d: str, root: str, parts: int = 5) -> DataFrame:
+    """The deliveries as a stream of files in which arrivals are out of order by up to twelve days, the file's bounds by row counts."""
+    told = table(spark, d, "event_fact").select("event_id", "event_type", instant(F.col("scheduled_at")).alias("scheduled"), instant_us(F.col("retrieved_at")).alias("told_us"), "actual", "receipt_id")
+    receipts = table(spark, d, "raw_time_series_receipt").groupBy("receipt_id").agg(F.min(instant_us(F.col("retrieved_at"))).alias("received_us"))
+    arrival = F.coalesce("received_us", "told_us")
+    rows = told.join(receipts, "receipt_id", "left").select("event_id", "event_type", "scheduled", F.timestamp_micros(arrival).alias("arrival"), "actual", (arrival + F.pmod(F.xxhash64("event_id", "told_us"), F.lit(12 * DAY_US))).alias("came"))
+    cuts = rows.approxQuantile("came", [k / parts for k in range(1, parts)], 0.01)
+    for k in range(parts):
+        inside = (F.col("came") >= cuts[k - 1] if k else F.lit(True)) & (F.col("came") < cuts[k] if k < parts - 1 else F.lit(True))
+        rows.where(inside).drop("came").write.parquet(f"{root}/in/{k:03d}")
+    return spark.readStream.schema(rows.drop("came").schema).option("maxFilesPerTrigger", 1 + spark.read.parquet(f"{root}/in/000").inputFiles().__len__()).option("recursiveFileLookup", True).parquet(f"{root}/in")
+
+
+def _slack(spark: SparkSession, d: str) -> DataFrame:
+    return _drained(S.slack_aggregates(_deliveries(spark, d, scratch(spark)), id="event_id", category="event_type", event_time="scheduled", arrival="arrival", value="actual", slack_us=10 * DAY_US, disorder="12 days", slices=4))
+
+
+@query(_CLOSED.strip() + " SELECT event_type, strftime(day, '%Y-%m-%d') AS day, count(*) AS n, count(actual) AS n_actual, round(avg(actual), 9) AS mean_actual FROM placed WHERE a < ends + INTERVAL 240 HOUR AND mark >= ends + INTERVAL 240 HOUR GROUP BY ALL")
+def sm09_slack_periods(spark: SparkSession, d: str) -> DataFrame:
+    """Days of releases as the stream closed them, deliveries out of order; days not yet closed have no final row."""
+    got = S.slack_periods(_slack(spark, d))
+    return got.select(F.col("category").alias("event_type"), F.date_from_unix_date("day").cast("string").alias("day"), "n", F.col("n_value").alias("n_actual"), F.round("mean", 9).alias("mean_actual"))
+
+
+@query(_CLOSED.strip() + " SELECT event_id, CASE WHEN a < ends + INTERVAL 240 HOUR THEN 'corrects' ELSE 'too_late' END AS fate FROM placed WHERE a >= ends AND (a >= ends + INTERVAL 240 HOUR OR mark >= ends + INTERVAL 240 HOUR)")
+def sm10_slack_fates(spark: SparkSession, d: str) -> DataFrame:
+    """What the stream said of late deliveries; of days not yet closed only what was too late."""
+    return S.slack_fates(_slack(spark, d)).select(F.col("id").alias("event_id"), "fate")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.scalars import DAY_US
-from tidemark.operators.late_events import OrderedTotals, SlackBuffer
+from tidemark.operators.late_events import CORRECTS, TOO_LATE, OrderedTotals, SlackBuffer
 from tidemark.operators.ledger import revise
 from tidemark.operators.pit import latest
 
@@ -40,55 +40,103 @@ def visible_from(stream: DataFrame, time: str, hour: int = 16, zone: str = "Amer
     return stream.withColumn("session", F.when(F.unix_micros(wall) - F.unix_date(day).cast("long") * DAY_US <= hour * 3_600_000_000, day).otherwise(F.date_add(day, 1)))
 
 
-SLACK_STATE = "events array<long>, ids array<string>, amounts array<double>, published long"
-SLACK_OUT = "category string, day int, stage string, n long, n_value long, total double, first_value double, last_value double"
+SLACK_STATE = "ids array<string>, events array<long>, arrivals array<long>, amounts array<double>, published array<double>"
+SLACK_OUT = "stage string, category string, day int, slice int, id string, fate string, n long, n_value long, total double, first_us long, first_value double, last_us long, last_value double"
+REFUSED = "refused"
 
 
-def slack_aggregates(stream: DataFrame, *, id: str, category: str, event_time: str, arrival: str, value: str, slack_us: int) -> DataFrame:  # noqa: A002
-    """K-slack over a stream of deliveries: provisional totals as a period's buffer fills, final ones when it closes.
+def slack_aggregates(stream: DataFrame, *, id: str, category: str, event_time: str, arrival: str, value: str, slack_us: int, disorder: str = "1 day", slices: int = 1) -> DataFrame:  # noqa: A002
+    """K-slack over a stream of deliveries, which may come in any order up to ``disorder`` of their arrival times.
 
-    The watermark runs on arrival times. A period's buffer is its keyed state; it closes,
-    releases its events sorted by event time and is dropped when the watermark passes the
-    period's end plus the slack. Later arrivals find the period closed.
+    A buffer per category, UTC day of event time and slice (by a hash of the id: with
+    ``slices`` above 1 no period, however hot, is one task's) is keyed state. An id counts once,
+    by its earliest arrival. While the buffer fills, what it gained is handed out as
+    ``provisional``. A period closes when the watermark (the latest arrival less ``disorder``)
+    passes its end plus the slack: its events are released sorted by event time into the
+    ``final`` row, and each id that arrived after the day's end gets a ``fate`` row. Nothing
+    is dropped: a delivery of a closed period gets a fate row at once, ``too_late`` if it
+    arrived after the slack, else ``refused`` (it reached the stream later than ``disorder`` allows).
+    :func:`slack_periods` puts the finals of slices together, :func:`slack_fates` the fates.
+
+    Defined cases: rows whose id, event time or arrival is null are left out; a null category
+    is one like any other; a null value counts in ``n`` only; a redelivery is no news, but one
+    of an id of a closed period is told as if it were new, as its buffer is gone.
     """
-    ready = stream.where(f"`{id}` IS NOT NULL").select(F.col(id).cast("string").alias("id"), F.col(category).alias("category"), F.unix_micros(event_time).alias("event_us"), F.col(arrival).alias("arrival"), F.unix_micros(arrival).alias("arrival_us"), F.col(value).cast("double").alias("value"), F.expr(f"cast(floor(unix_micros({event_time}) / {DAY_US}) AS int)").alias("day")).where("event_us IS NOT NULL AND arrival IS NOT NULL")
+    names = [c.split()[0] for c in SLACK_OUT.split(", ")]
+    day = F.expr(f"cast(floor(unix_micros({event_time}) / {DAY_US}) AS int)")
+    told = stream.where(f"`{id}` IS NOT NULL AND `{event_time}` IS NOT NULL AND `{arrival}` IS NOT NULL").select(
+        F.col(id).cast("string").alias("id"), F.col(category).cast("string").alias("category"), F.unix_micros(event_time).alias("event_us"), F.col(arrival).cast("timestamp").alias("arrival"), F.col(value).cast("double").alias("value"), day.alias("day"),
+    )
+    # the engine drops rows behind the watermark; so a copy of each row, without content, carries the clock, and the row itself has none
+    part = F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")
+    clock = F.struct(F.col("arrival").alias("clock"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("int").alias("day"), part.alias("slice"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("long").alias("event_us"), F.lit(None).cast("long").alias("arrival_us"), F.lit(None).cast("double").alias("value"))
+    data = F.struct(F.lit(None).cast("timestamp").alias("clock"), "category", "day", part.alias("slice"), "id", "event_us", F.unix_micros("arrival").alias("arrival_us"), "value")
+    both = told.select(F.explode(F.array(clock, data)).alias("r")).select("r.*").withWatermark("clock", disorder)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        name, day = key
-        day = int(day)
-        buffer = SlackBuffer((day + 1) * DAY_US, slack_us)
-        known: set[str] = set()
-        published = -1
-        if state.exists:
-            events, ids, amounts, published = state.get
-            for e, i, v in zip(events, ids, amounts, strict=True):
-                buffer.offer(e, buffer.end_us, i, None if v is None or v != v else v)
-                known.add(i)
-        if state.hasTimedOut:
-            totals = OrderedTotals()
-            for event_us, _, v in buffer.release():
-                totals.add(event_us, v)
-            state.remove()
-            yield pd.DataFrame([(name, day, "final", totals.n, totals.n_value, totals.total, totals.first and totals.first[1], totals.last and totals.last[1])], columns=[c.split()[0] for c in SLACK_OUT.split(", ")])
-            return
-        for batch in batches:
-            for i, e, a, v in batch.sort_values("arrival_us")[["id", "event_us", "arrival_us", "value"]].itertuples(index=False):
-                if i not in known and int(a) < buffer.closes_us:
-                    buffer.offer(int(e), int(a), i, None if v != v else float(v))
-                    known.add(i)
-        n, n_value, total = buffer.provisional()
-        if not n:
+        name, day_, slice_ = key
+        rows: list[dict] = []
+        if day_ is None or day_ != day_:
+            for _ in batches:
+                pass
             return
-        items = list(buffer.heap)
-        state.update(([e for e, _, _ in items], [i for _, i, _ in items], [v for _, _, v in items], n))
-        if state.getCurrentWatermarkMs() < buffer.closes_us // 1000:
-            state.setTimeoutTimestamp(buffer.closes_us // 1000)
-        else:
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 1)
-        if n != published:
-            yield pd.DataFrame([(name, day, "provisional", n, n_value, total, None, None)], columns=[c.split()[0] for c in SLACK_OUT.split(", ")])
-
-    return ready.withWatermark("arrival", "0 seconds").groupBy("category", "day").applyInPandasWithState(step, SLACK_OUT, SLACK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        base = {"category": None if name is None or name != name else name, "day": int(day_), "slice": int(slice_)}
+        end_us, closes_us = (int(day_) + 1) * DAY_US, (int(day_) + 1) * DAY_US + slack_us
+        held: dict[str, tuple[int, int, float | None]] = {}
+        published = (0.0, 0.0, 0.0)
+        if state.exists:
+            ids, events, arrivals, amounts, last = state.get
+            published = tuple(last)
+            held = {i: (int(a), int(e), None if v is None or v != v else float(v)) for i, e, a, v in zip(ids, events, arrivals, amounts, strict=True)}
+        closed = state.hasTimedOut or state.getCurrentWatermarkMs() >= closes_us // 1000
+        if not state.hasTimedOut:
+            for batch in batches:
+                for i, e, a, v in zip(batch["id"], batch["event_us"], batch["arrival_us"], batch["value"], strict=True):
+                    one = (int(a), int(e), None if v != v or v is None else float(v))
+                    if one[0] >= closes_us or closed:
+                        if i not in held:
+                            rows.append({**base, "stage": "fate", "id": i, "fate": TOO_LATE if one[0] >= closes_us else REFUSED})
+                    elif i not in held or one[:2] < held[i][:2]:
+                        held[i] = one
+        if closed and held:
+            buffer, totals = SlackBuffer(end_us, slack_us), OrderedTotals()
+            for i, (a, e, v) in held.items():
+                if buffer.offer(e, a, i, v) == CORRECTS:
+                    rows.append({**base, "stage": "fate", "id": i, "fate": CORRECTS})
+            for e, _, v in buffer.release():
+                totals.add(e, v)
+            (first_us, first), (last_us, last) = totals.first or (None, None), totals.last or (None, None)
+            rows.append({**base, "stage": "final", "n": totals.n, "n_value": totals.n_value, "total": totals.total, "first_us": first_us, "first_value": first, "last_us": last_us, "last_value": last})
+            if state.exists:
+                state.remove()
+        elif held:
+            values = [v for _, _, v in held.values() if v is not None]
+            now = (float(len(held)), float(len(values)), float(sum(values)))
+            if now != published:
+                rows.append({**base, "stage": "provisional", "n": int(now[0] - published[0]), "n_value": int(now[1] - published[1]), "total": now[2] - published[2]})
+            state.update((list(held), [e for _, e, _ in held.values()], [a for a, _, _ in held.values()], [v for _, _, v in held.values()], list(now)))
+            state.setTimeoutTimestamp(closes_us // 1000)
+        if rows:
+            out = pd.DataFrame(rows, columns=names)
+            yield out.astype({c: "Int64" for c in ("day", "slice", "n", "n_value", "first_us", "last_us")})
+
+    return both.groupBy("category", "day", "slice").applyInPandasWithState(step, SLACK_OUT, SLACK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def slack_periods(out: DataFrame) -> DataFrame:
+    """Final totals of each category and day: the parts of its slices put together in event-time order."""
+    first = F.min(F.when(F.col("first_us").isNotNull(), F.struct("first_us", "first_value")))
+    last = F.max(F.when(F.col("last_us").isNotNull(), F.struct("last_us", "last_value")))
+    return (
+        out.where("stage = 'final'").groupBy("category", "day").agg(F.sum("n").alias("n"), F.sum("n_value").alias("n_value"), F.sum("total").alias("total"), first.alias("f"), last.alias("l"))
+        .select("category", "day", "n", "n_value", (F.col("total") / F.when(F.col("n_value") > 0, F.col("n_value"))).alias("mean"), F.col("f.first_value").alias("first_value"), F.col("l.last_value").alias("last_value"))
+    )
+
+
+def slack_fates(out: DataFrame) -> DataFrame:
+    """(id, fate) of what came late; an id told more than once by the best of its fates."""
+    order = F.when(F.col("fate") == CORRECTS, 0).when(F.col("fate") == TOO_LATE, 1).otherwise(2)
+    return out.where("stage = 'fate'").groupBy("id").agg(F.min_by("fate", order).alias("fate"))
 
 
 def append_revisions(root: str, keys: list[str], semantic: list[str]) -> Callable[[DataFrame, int], None]:
