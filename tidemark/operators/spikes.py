@@ -10,7 +10,7 @@ from statistics import median
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage
@@ -288,6 +288,29 @@ def _chart(**how):
     return run
 
 
+_RANKED_DDL = "dataset string, source string, part long, moment long, rank long, row_id long, value double, local long"
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over batches sorted by (dataset, source, part, moment): each row with how many rows of its source and part lie before its moment."""
+    key: tuple | None = None
+    seen = first = 0
+    moment: int | None = None
+    for batch in batches:
+        local = np.empty(batch.num_rows, dtype="int64")
+        for found, begin, end in stretches(batch, 3):
+            if key != found:
+                key, seen, moment = found, 0, None
+            at = batch.column(3).slice(begin, end - begin).to_numpy(zero_copy_only=False)
+            new = np.r_[moment is None or at[0] != moment, at[1:] != at[:-1]]
+            here = np.where(new, np.arange(seen, seen + len(at)), -1)
+            if not new[0]:
+                here[0] = first
+            local[begin:end] = np.maximum.accumulate(here)
+            seen, first, moment = seen + len(at), int(local[end - 1]), int(at[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(local)], [*batch.schema.names, "local"])
+
+
 def implausible(readings: DataFrame, *, limit: float = 9.0, most_off: int = 4, least_run: int = 7, run_factor: float = 5.0, hardly_moves: float = 2.5, shard_rows: int = 20_000, context: float = 0.05) -> DataFrame:
     """Flag impossible readings, spikes and stuck runs, each by what is normal for its source.
 
@@ -296,11 +319,13 @@ def implausible(readings: DataFrame, *, limit: float = 9.0, most_off: int = 4, l
     One chart per source (:class:`Chart`) on the logarithm of the readings, a run-length
     counter beside it, and the physical limit that a reading is positive.
 
-    A source with more than ``shard_rows`` rows is cut into stretches of equal time of
-    about that many; each also reads ``context`` of a stretch's time on both sides, which
-    warms up its chart, and reports its own readings only. The median movement and the mean
+    A source with more than ``shard_rows`` rows is cut into stretches of that many, by the
+    rows' number in their source, however they lie in time (a moment is never cut): its rows
+    are sorted into ranges, counted, and numbered from the counts before them. Each stretch
+    also reads ``context`` of that many rows on both sides, which warm up its chart, and
+    reports its own readings only. The median movement and the mean
     run are taken over the whole source first (movements counted in fine buckets, runs put
-    together across stretches); only the running level, scale and run length, whose weights
+    together across ranges); only the running level, scale and run length, whose weights
     forget within some hundred readings, start anew with the context.
 
     Result: dataset, source, row_id, fault; one row per faulty reading and kind of fault.
@@ -310,31 +335,37 @@ def implausible(readings: DataFrame, *, limit: float = 9.0, most_off: int = 4, l
     to return, are none; extra columns are ignored.
     """
     r = readings.select("dataset", "source", F.col("moment").cast("long").alias("moment"), F.col("rank").cast("long").alias("rank"), F.col("row_id").cast("long").alias("row_id"), F.col("value").cast("double").alias("value")).where("source IS NOT NULL AND moment IS NOT NULL AND row_id IS NOT NULL AND value IS NOT NULL")
-    span = r.groupBy("dataset", "source").agg(F.count(F.lit(1)).alias("n"), F.min("moment").alias("t0"), F.max("moment").alias("t1")).where(F.col("n") > shard_rows)
-    hot = span.select(F.col("dataset").alias("hd"), F.col("source").alias("hs"), "t0", F.greatest(F.lit(1), F.ceil((F.col("t1") - F.col("t0") + 1) / F.ceil(F.col("n") / shard_rows))).cast("long").alias("width"))
-    own = F.expr("floor((moment - t0) / width)")
-    aside = lambda sign: F.expr(f"floor((moment - t0 {sign} ceil(width * {context})) / width)")
     order = ("dataset", "source", "shard", "moment", "rank", "row_id")
+    renamed = {"dataset": "hd", "source": "hs"}
     same = F.col("dataset").eqNullSafe(F.col("hd")) & (F.col("source") == F.col("hs"))
-    # what is usual for a source with stretches
-    hot = cut_lineage(hot)
-    cap = least_run + 1
-    seen = (
-        r.join(hot, same).select("dataset", "source", own.alias("shard"), "moment", "rank", "row_id", "value")
-        .repartition("dataset", "source", "shard").sortWithinPartitions(*order)
-        .select("dataset", "source", "shard", "moment", "row_id", "value").mapInArrow(_seen(cap), _SEEN_DDL)
+    hot = cut_lineage(r.groupBy("dataset", "source").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows).withColumnsRenamed(renamed))
+    # rows of sources with stretches, in ranges that hold them in order
+    ranged = cut_lineage(
+        r.join(hot, same, "left_semi").repartitionByRange("dataset", "source", "moment").withColumn("part", F.spark_partition_id().cast("long"))
+        .select("dataset", "source", "part", "moment", "rank", "row_id", "value").sortWithinPartitions("dataset", "source", "part", "moment", "rank", "row_id")
+        .mapInArrow(_ranked, _RANKED_DDL)
     )
-    usual = cut_lineage(
+    # what is usual for such a source
+    cap = least_run + 1
+    seen = ranged.select("dataset", "source", F.col("part").alias("shard"), "moment", "row_id", "value").mapInArrow(_seen(cap), _SEEN_DDL)
+    usual = (
         seen.groupBy("dataset", "source", "shard", "bucket").agg(F.sum("n").alias("n"), F.first("edge").alias("edge"))
         .repartition("dataset", "source").sortWithinPartitions("dataset", "source", F.col("shard").asc_nulls_last(), "bucket")
         .mapInArrow(_put_together(cap), "hd string, hs string, usual double, usual_run double")
     )
-    hot = hot.join(usual.withColumnsRenamed({"hd": "ud", "hs": "us"}), F.col("hd").eqNullSafe(F.col("ud")) & (F.col("hs") == F.col("us"))).drop("ud", "us")
-    placed = r.join(hot, same, "left")
-    shards = F.when(F.col("width").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.array(own, aside("-"), aside("+"))))
-    spread = placed.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("shard", F.explode(shards))
+    before = Window.partitionBy("dataset", "source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("dataset", "source", "part").agg(F.count(F.lit(1)).alias("rows"))
+    offsets = counts.withColumn("offset", F.coalesce(F.sum("rows").over(before), F.lit(0))).withColumn("all", F.sum("rows").over(Window.partitionBy("dataset", "source")))
+    told = cut_lineage(offsets.join(usual, same).select("hd", "hs", F.col("part").alias("hp"), "offset", "all", "usual", "usual_run"))
+    number = F.col("offset") + F.col("local")
+    own, inside = F.expr(f"(offset + local) div {shard_rows}"), F.pmod(number, F.lit(shard_rows))
+    beside = int(shard_rows * context)
+    shards = F.array_compact(F.array(own, F.when((own > 0) & (inside < beside), own - 1), F.when((inside >= shard_rows - beside) & (own < F.expr(f"(all - 1) div {shard_rows}")), own + 1)))
+    cut = ranged.join(told, same & (F.col("part") == F.col("hp"))).withColumn("own", own).withColumn("shard", F.explode(shards))
+    columns = ("dataset", "source", "shard", "moment", "rank", "row_id", "value", "core", "usual", "usual_run")
+    whole = r.join(hot, same, "left_anti").select("*", F.lit(0).cast("long").alias("shard"), F.lit(True).alias("core"), *(F.lit(None).cast("double").alias(c) for c in ("usual", "usual_run"))).select(*columns)
     ordered = (
-        spread.select(*order, "value", (F.col("shard") == F.col("own")).alias("core"), "usual", "usual_run")
+        cut.withColumn("core", F.col("shard") == F.col("own")).select(*columns).unionByName(whole)
         .repartition("dataset", "source", "shard").sortWithinPartitions(*order)
         .select("dataset", "source", "shard", "moment", "row_id", "value", "core", "usual", "usual_run")
     )

@@ -11,7 +11,7 @@ from tidemark.operators.history import bitmap_history, connected
 from tidemark.operators.known_at import NEVER, known_at
 from tidemark.operators.nearest import nearest_in_time
 from tidemark.operators.regrid import period_number, regrid
-from tidemark.operators.spikes import implausible
+from tidemark.operators.spikes import SPIKE, implausible
 from tidemark.plans.tables import table
 
 SLACK_US = 10 * DAY_US
@@ -176,6 +176,11 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return _faults(spark, folder).select("dataset", "row_id").distinct()
 
 
+def p6_run_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """The faults that SQL can tell too: impossible readings and stuck runs, with their kind."""
+    return _faults(spark, folder).where(F.col("fault") != SPIKE).select("dataset", "row_id", "fault")
+
+
 # ---- 7: readings onto a regular grid ------------------------------------------------------
 
 
@@ -194,4 +199,4 @@ def p7_grid(spark: SparkSession, folder: str) -> DataFrame:
     return _grid(spark, folder).select(F.col("entity").alias("series_id"), F.col("period_start").cast("string").alias("period_start"), "value", "missing")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p2_found, p2_periods, p2_provisional, p3_found, p3_attributes, p4_found, p5_found, p6_found, p7_found, p7_grid)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p2_found, p2_periods, p2_provisional, p3_found, p3_attributes, p4_found, p5_found, p6_found, p6_run_faults, p7_found, p7_grid)}

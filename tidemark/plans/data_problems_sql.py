@@ -76,7 +76,22 @@ grid AS (SELECT * FROM days WHERE CASE frequency WHEN 'D' THEN isodow(d) < 6 WHE
 best AS (SELECT series_id, d, arg_max(value, (o, rs, alfred_id)) AS value FROM p GROUP BY ALL)
 """
 
+_READINGS = f"""
+raw AS (SELECT 'yahoo_crosscheck' AS dataset, symbol AS source, epoch_us(observation_time::timestamptz) AS moment, 0::bigint AS since, yahoo_id AS id, close AS x FROM yahoo_crosscheck
+    UNION ALL SELECT 'alfred', series_id, epoch_us({_DAY.format('observation_time')}::timestamp), epoch_us({_DAY.format('realtime_start')}::timestamp), alfred_id, value FROM alfred),
+x0 AS (SELECT dataset, source, moment, since, id, any_value(x) AS x FROM raw WHERE source IS NOT NULL AND moment IS NOT NULL AND id IS NOT NULL AND x IS NOT NULL GROUP BY ALL),
+x1 AS (SELECT *, (x IS DISTINCT FROM lag(x) OVER w)::int AS fresh FROM x0 WINDOW w AS (PARTITION BY dataset, source ORDER BY moment, since, id)),
+x2 AS (SELECT *, sum(fresh) OVER (PARTITION BY dataset, source ORDER BY moment, since, id) AS k FROM x1),
+x3 AS (SELECT dataset, source, k::int AS k, count(*)::int AS n, any_value(x) AS x FROM x2 GROUP BY ALL),
+x4 AS (SELECT dataset, source, sum(least(n, 8)) / count(*) AS u FROM x3 GROUP BY ALL),
+x5 AS (SELECT dataset, source, 1 AS k, u::double AS u FROM x4 WHERE u < 2.5
+    UNION ALL SELECT p.dataset, p.source, p.k + 1, p.u + 0.01 * (CASE WHEN r.n < 7 THEN r.n ELSE 1 END - p.u) FROM x5 p JOIN x3 r ON p.dataset = r.dataset AND p.source = r.source AND p.k = r.k),
+x6 AS (SELECT r.* FROM x3 r JOIN x5 p ON p.dataset = r.dataset AND p.source = r.source AND p.k = r.k WHERE r.n >= 7 AND r.n >= 5 * p.u AND r.x > 0)
+"""
+
 SQL = {
+    "p6_run_faults": f"""WITH RECURSIVE {_READINGS} SELECT dataset, id AS row_id, 'impossible' AS fault FROM x0 WHERE x <= 0
+        UNION ALL SELECT x2.dataset, x2.id, 'stuck' FROM x2 JOIN x6 USING (dataset, source, k) WHERE x2.fresh = 0""",
     "p1_found": f"WITH {_QUOTES} SELECT dataset, key_1, key_2, finding FROM found WHERE finding IS NOT NULL",
     "p1_summary": f"WITH {_QUOTES} SELECT dataset, finding, count(*) AS n FROM found WHERE finding IS NOT NULL GROUP BY ALL",
     "p2_found": f"WITH {_ARRIVALS} SELECT event_id, CASE WHEN late_us < 864000000000 THEN 'corrects' ELSE 'too_late' END AS fate FROM placed WHERE late_us >= 0",
