@@ -2,7 +2,7 @@ import random
 
 from conftest import rows
 
-from tidemark.operators.known_at import NEVER, known_at, shard_width
+from tidemark.operators.known_at import NEVER, WIDEST, dense_entities, known_at
 
 V = "entity string, lo long, hi long, rank_1 long, rank_2 long, version long, number int"
 E = "entity string, tick long, id string, version int"
@@ -52,7 +52,19 @@ def test_empty(spark):
     assert run(spark, [("A", 1, "e", 0)], [], 8) == []
 
 
-def test_dense_entities_get_narrow_shards(spark):
+def test_only_dense_entities_get_narrow_shards(spark):
     versions = spark.createDataFrame([("A", n % 100, None, 1, 1, n, 0) for n in range(1000)] + [("B", 5, None, 1, 1, 1, 0)], V)
-    assert shard_width(versions, 100_000) == 512 and shard_width(versions, 100) == 8 and shard_width(versions.limit(0), 100) == 512
-    assert run(spark, [("A", 50, "e", 0)], [("A", n % 100, None, 1, n % 100, n, 0) for n in range(1000)], None) == [("e", 950)]
+    assert rows(dense_entities(versions, 100_000)) == [] and rows(dense_entities(versions.limit(0), 100)) == []
+    assert rows(dense_entities(versions, 100)) == [("A", WIDEST - 4)] and rows(dense_entities(versions, 1)) == [("A", 0)]
+    df = known_at(spark.createDataFrame([("A", 50, "e", 0), ("B", 600, "f", 0)], E), spark.createDataFrame([("A", n % 100, None, 1, n % 100, n, 0) for n in range(1000)] + [("B", 5, None, 1, 1, 1, 0)], V), shard_rows=100)
+    assert sorted((r["id"], r["version"]) for r in df.collect()) == [("e", 950), ("f", 1)]
+
+
+def test_hot_events_are_dealt_out(spark):
+    rng = random.Random(6)
+    versions = [("A", rng.randrange(0, 400), rng.choice([None, 450]), rng.randrange(9), n, n, 0) for n in range(60)] + [("B", 3, None, 1, 1, 99, 0)]
+    # all events of one entity within a few ticks, some repeated; others alone
+    events = [("A", rng.randrange(200, 210), f"e{k % 2000}", 0) for k in range(3000)] + [("A", 900, "after", 0), ("A", -5, "before", 0), ("B", 10, "b", 0)]
+    got = known_at(spark.createDataFrame(events, E), spark.createDataFrame(versions, V), slice_rows=100)
+    assert got.count() == sum(1 for e in events if e[2] != "before")
+    assert sorted({(r["id"], r["version"]) for r in got.collect()}) == brute(events, versions)
