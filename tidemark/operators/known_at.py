@@ -18,7 +18,7 @@ NEVER = 1 << 22
 WIDEST = 9
 
 
-def _cover(lo: str, hi: str, levels: int) -> str:
+def _cover(lo: str, hi: str, levels: str) -> str:
     """SQL: the aligned nodes (level, node) that together cover the shards lo <= s < hi."""
     spans = f"transform(sequence(0, {levels}), k -> named_struct('k', k, 'l', shiftright(({lo}) + shiftleft(1L, k) - 1, k), 'r', shiftright({hi}, k)))"
     live = f"filter({spans}, x -> x.l < x.r)"
@@ -82,16 +82,15 @@ def best_version_changes(versions: DataFrame) -> DataFrame:
     rank_2, version is best). An entity's time line is cut into shards of 2**``bits`` ticks (one
     number for each entity), each swept by itself: a version is sent to the shards where it
     begins and ends; of those that live through a whole shard only the best matters, found
-    from aligned covers (a version gives a few nodes, each node keeps its best, combined
-    before the shuffle).
+    from aligned covers (the best of those with the same shards gives a few nodes, each node
+    keeps its best, combined before the shuffle).
     """
-    levels = NEVER.bit_length()
+    levels = f"{NEVER.bit_length()} - bits"  # as many as the shards up to NEVER have
     v = versions.select("entity", "bits", "lo", "hi", F.struct("rank_1", "rank_2", "version").alias("rank"), F.expr("shiftright(lo, bits)").alias("first"), F.expr(f"CASE WHEN hi < {NEVER} THEN shiftright(hi, bits) END").alias("final"))
     ends = v.select("entity", "bits", F.explode(F.array_distinct(F.array_compact(F.array("first", "final")))).alias("shard"), "lo", "hi", "rank")
-    nodes = (
-        v.select("entity", "rank", F.explode(F.expr(_cover("first + 1", f"coalesce(final, shiftright({NEVER}L, bits))", levels))).alias("n"))
-        .groupBy("entity", "n.level", "n.node").agg(F.max("rank").alias("rank"))
-    )
+    # of the versions that live through the same shards only the best matters: few are left to be spread over nodes
+    lasting = v.withColumn("final", F.coalesce("final", F.expr(f"shiftright({NEVER}L, bits)"))).where("final > first + 1").groupBy("entity", "bits", "first", "final").agg(F.max("rank").alias("rank"))
+    nodes = lasting.select("entity", "rank", F.explode(F.expr(_cover("first + 1", "final", levels))).alias("n")).groupBy("entity", "n.level", "n.node").agg(F.max("rank").alias("rank"))
     shards = ends.select("entity", "bits", "shard").distinct()
     above = shards.select("entity", "bits", "shard", F.explode(F.expr(f"transform(sequence(0, {levels}), k -> named_struct('level', k, 'node', shiftright(shard, k)))")).alias("n")).select("entity", "bits", "shard", "n.level", "n.node")
     carried = above.join(nodes, ["entity", "level", "node"]).groupBy("entity", "bits", "shard").agg(F.max("rank").alias("rank"))
