@@ -13,6 +13,7 @@ from tidemark.operators.nearest import nearest_in_time
 from tidemark.operators.regrid import period_number, regrid
 from tidemark.operators.spikes import SPIKE, implausible
 from tidemark.plans.tables import table
+from tidemark.session import cut_lineage
 
 SLACK_US = 10 * DAY_US
 
@@ -133,7 +134,8 @@ def _releases(spark: SparkSession, folder: str) -> DataFrame:
         "event_id", "supersedes", F.concat_ws("\u0001", F.coalesce("source_id", F.lit("\u0002")), F.coalesce("event_type", F.lit("\u0002")), F.coalesce(us("scheduled_at").cast("string"), F.col("scheduled_at"), F.lit("\u0002"))).alias("slot"),
         us("scheduled_at").alias("scheduled_us"), us("available_at").alias("available_us"), "revision_seq", "unit", *((F.col(c) + F.lit(0.0)).alias(c) for c in FACT_VALUES),
     )
-    once = facts.where("event_id IS NOT NULL").groupBy("event_id").agg(F.min(F.struct(*(c for c in facts.columns if c != "event_id"))).alias("r")).select("event_id", "r.*")
+    # read by both sides of the links and once more below
+    once = cut_lineage(facts.where("event_id IS NOT NULL").groupBy("event_id").agg(F.min(F.struct(*(c for c in facts.columns if c != "event_id"))).alias("r")).select("event_id", "r.*"))
     links = once.where("supersedes IS NOT NULL").select("supersedes", F.col("slot").alias("a")).join(once.select(F.col("event_id").alias("supersedes"), F.col("slot").alias("b")), "supersedes").where("a != b").select("a", "b").distinct()
     merged = connected(links).withColumnRenamed("node", "slot")
     return once.join(merged, "slot", "left").withColumn("release", F.coalesce("root", "slot")).drop("root", "slot")
