@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampType
 
 MAIN, COPY = 0, 1
 
@@ -46,8 +47,15 @@ def diff_copies(main: DataFrame, copy: DataFrame, *, keys: Mapping[str, Column |
         record = F.struct(*(col(fields[f][0]).alias(f"f{i}") for i, f in enumerate(field_names)))
         return df.select(*(col(keys[k]).alias(f"k{i}") for i, k in enumerate(key_names)), F.lit(side).alias("side"), record.alias("rec"))
 
-    one = lambda side: F.max(F.when(F.col("side") == side, F.col("rec")))
-    grouped = tagged(main, MAIN).unionByName(tagged(copy, COPY)).groupBy(*(f"k{i}" for i in range(len(key_names)))).agg(one(MAIN).alias("m"), one(COPY).alias("c"))
+    both = tagged(main, MAIN).unionByName(tagged(copy, COPY))
+    by_key = both.groupBy(*(f"k{i}" for i in range(len(key_names))))
+    at = lambda side, c: F.when(F.col("side") == side, c)
+    if len(field_names) == 1 and isinstance(both.schema["rec"].dataType[0].dataType, NumericType | BooleanType | DateType | TimestampType):
+        # a struct's maximum must be found by sorting, that of one plain column is kept in a hash table; the struct is put together after it
+        flat_max = [F.max(at(side, F.col(c))).alias(f"{c[:3]}{side}") for side in (MAIN, COPY) for c in ("rec.f0", "side")]
+        grouped = by_key.agg(*flat_max).select("*", *(F.when(F.col(f"sid{side}").isNotNull(), F.struct(F.col(f"rec{side}").alias("f0"))).alias(n) for side, n in ((MAIN, "m"), (COPY, "c"))))
+    else:
+        grouped = by_key.agg(*(F.max(at(side, F.col("rec"))).alias(n) for side, n in ((MAIN, "m"), (COPY, "c"))))
 
     def entry(i: int, name: str) -> str:
         differs = _bind(fields[name][1], f"m.f{i}", f"c.f{i}")
