@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import running_totals
+
 
 def brier(p: Column, y: Column) -> Column:
     return F.avg((p - y) * (p - y))
@@ -93,17 +95,27 @@ def diebold_mariano(losses: DataFrame, keys: list[str], order: str, difference:
 
 
 def weighted_quantiles(values: DataFrame, keys: list[str], value: str, weight: str, levels: list[float]) -> DataFrame:
-    """Quantiles at the midpoints of the cumulative weight, interpolated linearly, ends kept."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    merged = values.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    at = merged.withColumn("_c", (F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_w") / 2) / F.sum("_w").over(Window.partitionBy(*keys)))
-    steps = at.withColumn("_c1", F.lead("_c").over(w)).withColumn("_v1", F.lead(value).over(w))
+    """Quantiles at the midpoints of the cumulative weight, interpolated linearly, ends kept; groups may have any size."""
+    at = running_totals(values, keys, value, {"_w": F.col(weight)}).withColumn("_c", (F.col("_w_before") + F.col("_w") / 2) / F.col("_w_all"))
 
     def quantile(q: float) -> Column:
-        inside = F.max(F.when((F.col("_c") <= q) & (F.col("_c1") > q), F.col(value) + (q - F.col("_c")) / (F.col("_c1") - F.col("_c")) * (F.col("_v1") - F.col(value))))
-        return F.coalesce(inside, F.when(F.min("_c") > q, F.min(value)).otherwise(F.max(value)))
-
-    return steps.groupBy(*keys).agg(*(quantile(q).alias(f"q{round(q * 100):02d}") for q in levels))
+        low, high = F.col("_c") <= q, F.col("_c") > q
+        c0, c1, x0, x1 = F.max(F.when(low, F.col("_c"))), F.min(F.when(high, F.col("_c"))), F.max(F.when(low, F.col(value))), F.min(F.when(high, F.col(value)))
+        return F.when(c0.isNull(), F.min(value)).when(c1.isNull(), F.max(value)).otherwise(x0 + (q - c0) / (c1 - c0) * (x1 - x0))
+
+    return at.groupBy(*keys).agg(*(quantile(q).alias(f"q{round(q * 100):02d}") for q in levels))
+
+
+def weighted_medoid(values: DataFrame, keys: list[str], id: str, value: str, weight: str) -> DataFrame:  # noqa: A002
+    """(keys, id, centrality) of the row whose weighted distance to all others is least, from prefix sums instead of pairs; of ties the least id."""
+    t = running_totals(values, keys, value, {"_w": F.col(weight), "_s": F.col(weight) * F.col(value)})
+    x = F.col(value)
+    after_w, after_s = F.col("_w_all") - F.col("_w_before") - F.col("_w"), F.col("_s_all") - F.col("_s_before") - F.col("_s")
+    central = t.select(*keys, value, (x * F.col("_w_before") - F.col("_s_before") + after_s - x * after_w).alias("centrality"))
+    least = central.groupBy(*keys).agg(F.min(F.round("centrality", 4)).alias("centrality"))
+    # values as central as the best, up to rounding, then the least id among their rows
+    best = central.withColumn("centrality", F.round("centrality", 4)).join(least, [*keys, "centrality"]).select(*keys, value, "centrality")
+    return values.join(best, [*keys, value]).groupBy(*keys, "centrality").agg(F.min(id).alias(id))
 
 
 def monotone(df: DataFrame, keys: list[str], level: str, value: str) -> DataFrame:

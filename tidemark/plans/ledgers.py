@@ -251,8 +251,10 @@ def so29_matured_by_offset(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT domain, round(avg(brier), 6) AS brier, count(*) AS n FROM (SELECT *, dense_rank() OVER (PARTITION BY domain ORDER BY resolved_date DESC) AS k FROM v_res) WHERE k <= 3 GROUP BY domain")
 def so30_last_origins(spark: SparkSession, d: str) -> DataFrame:
-    r = V.resolutions(spark, d).withColumn("k", F.dense_rank().over(Window.partitionBy("domain").orderBy(F.col("resolved_date").desc())))
-    return r.where("k <= 3").groupBy("domain").agg(r6(F.avg("brier")).alias("brier"), F.count(F.lit(1)).alias("n"))
+    r = V.resolutions(spark, d)
+    # dates are ranked, a row each, not forecasts
+    dates = r.select("domain", "resolved_date").distinct().withColumn("k", F.dense_rank().over(Window.partitionBy("domain").orderBy(F.col("resolved_date").desc())))
+    return r.join(dates.where("k <= 3"), ["domain", "resolved_date"]).groupBy("domain").agg(r6(F.avg("brier")).alias("brier"), F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT series, i, round(q, 4) AS q FROM (SELECT series, unnest(range(0, 201))::int AS i, unnest(quantile_cont(close, list_transform(range(0, 201), lambda i: (i + 0.5) / 201))) AS q FROM v_price GROUP BY series)")

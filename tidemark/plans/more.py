@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import pit, scoring
 from tidemark.operators.asof import asof_join
 from tidemark.operators.ledger import first_of, row_hash
+from tidemark.operators.ranks import quantiles
 from tidemark.operators.series import Series, correction_episodes, runs
 from tidemark.plans import views as V
 from tidemark.plans.tables import table
@@ -135,7 +136,7 @@ def tk05_greedy_gap(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT engine, level_at, path_id FROM (SELECT engine, q.level_at, p.path_id, row_number() OVER (PARTITION BY engine, level_at ORDER BY abs(fin - CASE level_at WHEN 10 THEN q10 WHEN 50 THEN q50 ELSE q90 END), path_id) AS k FROM (SELECT path_id, engine, round(arg_max(level, step), 6) AS fin FROM v_paths GROUP BY ALL) p JOIN (SELECT engine AS e, quantile_cont(fin, 0.1) q10, quantile_cont(fin, 0.5) q50, quantile_cont(fin, 0.9) q90 FROM (SELECT path_id, engine, round(arg_max(level, step), 6) AS fin FROM v_paths GROUP BY ALL) GROUP BY 1) ON engine = e, (SELECT unnest([10, 50, 90])::int AS level_at) q) WHERE k = 1")
 def tk07_representatives(spark: SparkSession, d: str) -> DataFrame:
     ends = V.paths(spark, d).groupBy("path_id", "engine").agg(r6(F.max_by("level", "step")).alias("fin"))
-    q = ends.groupBy("engine").agg(F.expr("percentile(fin, array(0.1, 0.5, 0.9))").alias("q")).select("engine", F.posexplode("q").alias("i", "at"))
+    q = quantiles(ends, ["engine"], "fin", [0.1, 0.5, 0.9]).select("engine", F.posexplode("q").alias("i", "at"))
     near = ends.join(q, "engine").groupBy("engine", "i").agg(F.min(F.struct(F.abs(F.col("fin") - F.col("at")).alias("gap"), "path_id")).alias("m"))
     return near.select("engine", F.element_at(F.array(F.lit(10), F.lit(50), F.lit(90)), F.col("i") + 1).alias("level_at"), "m.path_id")
 
@@ -239,7 +240,7 @@ def al17_composite_as_of(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT step, round(exp(median(l)), 6) AS mid, round(exp(quantile_cont(l, 0.75)) - exp(quantile_cont(l, 0.25)), 6) AS iqr FROM (SELECT step, ln(level) AS l FROM v_paths) GROUP BY step")
 def al18_log_composite(spark: SparkSession, d: str) -> DataFrame:
-    x = V.paths(spark, d).groupBy("step").agg(F.expr("percentile(ln(level), array(0.25, 0.5, 0.75))").alias("q"))
+    x = quantiles(V.paths(spark, d), ["step"], F.log("level"), [0.25, 0.5, 0.75])
     return x.select("step", r6(F.exp(F.col("q")[1])).alias("mid"), r6(F.exp(F.col("q")[2]) - F.exp(F.col("q")[0])).alias("iqr"))
 
 
@@ -250,10 +251,7 @@ def al18_log_composite(spark: SparkSession, d: str) -> DataFrame:
 def fm22_medoid(spark: SparkSession, d: str) -> DataFrame:
     """The path whose end is nearest to all others' in sum, from prefix sums instead of pairs."""
     ends = V.paths(spark, d).groupBy("path_id", "engine").agg(F.max_by("level", "step").alias("fin"))
-    w, every = Window.partitionBy("engine").orderBy("fin", "path_id"), Window.partitionBy("engine")
-    x = ends.withColumn("k", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(every)).withColumn("low", F.sum("fin").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("fin").over(every))
-    c = F.col("fin") * F.col("k") - F.col("low") + (F.col("all") - F.col("low")) - F.col("fin") * (F.col("n") - F.col("k"))
-    return x.withColumn("centrality", F.round(c, 4)).groupBy("engine").agg(F.min(F.struct("centrality", "path_id")).alias("m")).select("engine", "m.path_id", "m.centrality")
+    return scoring.weighted_medoid(ends.withColumn("one", F.lit(1.0)), ["engine"], "path_id", "fin", "one").select("engine", "path_id", "centrality")
 
 
 @query("SELECT domain, w, round(w * least(1, 0.35 / sum(w) OVER (PARTITION BY c)), 6) AS capped FROM (SELECT domain, substr(domain, 1, 1) AS c, round(count(*) / 10000.0, 6)::double AS w FROM v_res GROUP BY 1)")
@@ -276,7 +274,7 @@ _LEVELS = "[0.05, 0.1, 0.25, 0.4, 0.5, 0.6, 0.75, 0.9, 0.95]"
 @query(f"SELECT engine, step, round(sum((1 + 4 * abs(q - 0.5)) * greatest(q * (100 - x), (q - 1) * (100 - x))) / sum(1 + 4 * abs(q - 0.5)), 6) AS twcrps FROM (SELECT engine, step, unnest({_LEVELS}::double[]) AS q, unnest(quantile_cont(level, {_LEVELS})) AS x FROM v_paths GROUP BY engine, step) GROUP BY ALL")
 def ev04_tail_weighted(spark: SparkSession, d: str) -> DataFrame:
     levels = [0.05, 0.1, 0.25, 0.4, 0.5, 0.6, 0.75, 0.9, 0.95]
-    q = V.paths(spark, d).groupBy("engine", "step").agg(F.expr(f"percentile(level, array({', '.join(map(repr, levels))}))").alias("x"))
+    q = quantiles(V.paths(spark, d), ["engine", "step"], "level", levels).withColumnRenamed("q", "x")
     long = q.select("engine", "step", F.explode(F.arrays_zip(F.array(*(F.lit(v) for v in levels)).alias("q"), F.col("x").alias("x"))).alias("z")).select("engine", "step", "z.*")
     w = 1 + 4 * F.abs(F.col("q") - 0.5)
     return long.groupBy("engine", "step").agg(r6(F.sum(w * scoring.pinball(F.col("q"), F.col("x"), F.lit(100.0))) / F.sum(w)).alias("twcrps"))
@@ -300,7 +298,7 @@ def ev13_gate_reasons(spark: SparkSession, d: str) -> DataFrame:
 def ev16_band_calibration(spark: SparkSession, d: str) -> DataFrame:
     s = Series(["series_id"], "date")
     a = V.macro(spark, d).where("series_id = 'AF'").select((s.number() - 1).alias("step"), r6(100 * F.col("value") / F.first("value").over(s.w)).alias("actual"))
-    q = V.paths(spark, d).groupBy("engine", "step").agg(F.expr("percentile(level, 0.1)").alias("lo"), F.expr("percentile(level, 0.9)").alias("hi"))
+    q = quantiles(V.paths(spark, d), ["engine", "step"], "level", [0.1, 0.9]).select("engine", "step", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     return q.join(a, "step").select("engine", "step", "actual", F.col("actual").between(F.col("lo"), F.col("hi")).cast("int").alias("inside"))
 
 
@@ -407,7 +405,8 @@ def so19_evidence_score(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT p.path_id FROM (SELECT path_id, engine, min(level) AS lo, arg_max(level, step) AS fin FROM v_paths GROUP BY ALL) p JOIN (SELECT engine AS e, quantile_cont(lo, 0.1) a, quantile_cont(lo, 0.9) b, quantile_cont(fin, 0.1) c, quantile_cont(fin, 0.9) f FROM (SELECT path_id, engine, min(level) AS lo, arg_max(level, step) AS fin FROM v_paths GROUP BY ALL) GROUP BY 1) ON engine = e WHERE lo BETWEEN a AND b AND fin BETWEEN c AND f")
 def so20_realism_filter(spark: SparkSession, d: str) -> DataFrame:
     per = V.paths(spark, d).groupBy("path_id", "engine").agg(F.min("level").alias("lo"), F.max_by("level", "step").alias("fin"))
-    q = per.groupBy("engine").agg(F.expr("percentile(lo, array(0.1, 0.9))").alias("a"), F.expr("percentile(fin, array(0.1, 0.9))").alias("b"))
+    a, b = (quantiles(per, ["engine"], c, [0.1, 0.9]).select("engine", F.col("q").alias(n)) for c, n in (("lo", "a"), ("fin", "b")))
+    q = a.join(b, "engine")
     return per.join(q, "engine").where(F.col("lo").between(F.col("a")[0], F.col("a")[1]) & F.col("fin").between(F.col("b")[0], F.col("b")[1])).select("path_id")
 
 
@@ -420,7 +419,8 @@ def so21_longest_underwater(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT engine, n, round(med, 6) AS med, round(iqr, 6) AS iqr, CASE WHEN n >= 40 THEN round(abs(med - 100) / iqr, 6) END AS score FROM (SELECT engine, count(*) AS n, quantile_cont(fin, 0.5) AS med, quantile_cont(fin, 0.75) - quantile_cont(fin, 0.25) AS iqr FROM (SELECT path_id, engine, arg_max(level, step) AS fin FROM v_paths GROUP BY ALL) GROUP BY 1)")
 def so23_cluster_audit(spark: SparkSession, d: str) -> DataFrame:
-    q = V.paths(spark, d).groupBy("path_id", "engine").agg(F.max_by("level", "step").alias("fin")).groupBy("engine").agg(F.count(F.lit(1)).alias("n"), F.expr("percentile(fin, array(0.25, 0.5, 0.75))").alias("q"))
+    q = V.paths(spark, d).groupBy("path_id", "engine").agg(F.max_by("level", "step").alias("fin"))
+    q = quantiles(q, ["engine"], "fin", [0.25, 0.5, 0.75])
     med, iqr = F.col("q")[1], F.col("q")[2] - F.col("q")[0]
     return q.select("engine", "n", r6(med).alias("med"), r6(iqr).alias("iqr"), F.when(F.col("n") >= 40, r6(F.abs(med - 100) / iqr)).alias("score"))
 
@@ -448,7 +448,8 @@ def so27_kernel_summary(spark: SparkSession, d: str) -> DataFrame:
     worst = x.groupBy("path_id", "engine").agg(F.min(F.struct("dd", "step", "top")).alias("m"))
     back = x.join(worst.select("path_id", F.col("m.step").alias("at"), F.col("m.top").alias("peak")), "path_id").where("step > at AND level >= peak").groupBy("path_id").agg(F.min("step").alias("back"))
     per = worst.join(back, "path_id", "left").select("engine", F.col("m.dd").alias("depth"), F.col("m.step").alias("at"), F.coalesce(F.col("back") - F.col("m.step"), 63 - F.col("m.step")).alias("rest"))
-    return per.groupBy("engine").agg(r6(F.expr("percentile(depth, 0.5)")).alias("depth"), r6(F.expr("percentile(at, 0.5)")).alias("trough"), r6(F.expr("percentile(rest, 0.5)")).alias("recovery"))
+    parts = [quantiles(per, ["engine"], c, [0.5]).select("engine", r6(F.col("q")[0]).alias(n)) for c, n in (("depth", "depth"), ("at", "trough"), ("rest", "recovery"))]
+    return parts[0].join(parts[1], "engine").join(parts[2], "engine")
 
 
 @query("SELECT engine, coalesce(round(avg(c) FILTER (step BETWEEN 20 AND 40), 6), 1e308) AS score FROM (SELECT engine, step, avg(abs(level - 100)) AS c FROM v_paths GROUP BY ALL) GROUP BY engine")

@@ -81,10 +81,11 @@ def costs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def paths(spark: SparkSession, d: str) -> DataFrame:
-    """Simulated paths: (path_id, engine, step, r, level), level 100 before the first step."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("path_id"), F.col("label").alias("engine"), F.posexplode("embedding").alias("step", "x")).withColumn("r", F.col("x").cast("double") / 10)
-    w = Window.partitionBy("path_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return e.select("path_id", "engine", "step", "r", (F.exp(F.sum("r").over(w)) * 100).alias("level"))
+    """Simulated paths: (path_id, engine, step, r, level), level 100 before the first step; cumulated in the path's own row."""
+    r = F.transform("embedding", lambda x: x.cast("double") / 10)
+    so_far = F.aggregate("r", F.struct(F.lit(0.0).alias("t"), F.array().cast("array<double>").alias("xs")), lambda s, x: F.struct((s["t"] + x).alias("t"), F.array_append(s["xs"], s["t"] + x).alias("xs")))["xs"]
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("path_id"), F.col("label").alias("engine"), r.alias("r"))
+    return e.select("path_id", "engine", F.posexplode(F.arrays_zip(F.col("r").alias("r"), so_far.alias("t"))).alias("step", "z")).select("path_id", "engine", "step", "z.r", (F.exp("z.t") * 100).alias("level"))
 
 
 def purchases(spark: SparkSession, d: str) -> DataFrame:

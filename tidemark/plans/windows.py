@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import pit, scoring
+from tidemark.operators.ranks import quantiles, rolling
 from tidemark.operators.series import Series, correction_episodes, ewma_variance, greedy_gap, rsi, runs
 from tidemark.plans import views as V
 from tidemark.plans.tables import table
@@ -83,8 +84,10 @@ def wn09_rebase(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT domain, forecast_id, round(avg(brier) OVER w, 8) AS rolling, count(*) OVER w AS n FROM v_res WINDOW w AS (PARTITION BY domain ORDER BY resolved_date, forecast_id ROWS 9 PRECEDING)")
 def wn10_rolling_brier(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("domain").orderBy("resolved_date", "forecast_id").rowsBetween(-9, 0)
-    return V.resolutions(spark, d).select("domain", "forecast_id", F.round(F.avg("brier").over(w), 8).alias("rolling"), F.count(F.lit(1)).over(w).alias("n"))
+    """Over the last ten forecasts of a domain; a domain may hold any share of the rows."""
+    r = V.resolutions(spark, d).select("domain", "resolved_date", "forecast_id", "brier")
+    got = rolling(r, ["domain"], ["resolved_date", "forecast_id"], 10, {"rolling": F.avg("brier"), "n": F.count(F.lit(1))})
+    return got.select("domain", "forecast_id", F.round("rolling", 8).alias("rolling"), "n")
 
 
 @query("SELECT series_id, date, CASE WHEN count(*) OVER f = 12 THEN round((value - avg(value) OVER f) / nullif(stddev_samp(value) OVER f, 0), 6) END AS z FROM v_macro WINDOW f AS (PARTITION BY series_id ORDER BY date ROWS 11 PRECEDING)")
@@ -272,8 +275,8 @@ def al20_phase_runs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT engine, step, round(quantile_cont(level, 0.05), 6) AS q05, round(quantile_cont(level, 0.5), 6) AS q50, round(quantile_cont(level, 0.95), 6) AS q95 FROM v_paths GROUP BY ALL")
 def fm09_quantile_bands(spark: SparkSession, d: str) -> DataFrame:
-    q = lambda p: r6(F.expr(f"percentile(level, {p})"))
-    return V.paths(spark, d).groupBy("engine", "step").agg(q(0.05).alias("q05"), q(0.5).alias("q50"), q(0.95).alias("q95"))
+    q = quantiles(V.paths(spark, d), ["engine", "step"], "level", [0.05, 0.5, 0.95])
+    return q.select("engine", "step", *(r6(F.col("q")[i]).alias(n) for i, n in enumerate(("q05", "q50", "q95"))))
 
 
 @query("SELECT engine, count(*) AS n, sum((low < 90)::int)::bigint AS touched, round(avg((low < 90)::int), 6) AS p_touch, round(avg((fin > 100)::int), 6) AS p_up, round(quantile_cont(mdd, 0.5), 6) AS mdd50 FROM (SELECT path_id, engine, min(level) AS low, arg_max(level, step) AS fin, min(dd) AS mdd FROM (SELECT *, level / greatest(100, max(level) OVER (PARTITION BY path_id ORDER BY step)) - 1 AS dd FROM v_paths) GROUP BY ALL) GROUP BY engine")
@@ -282,7 +285,8 @@ def fm08_barrier_touch(spark: SparkSession, d: str) -> DataFrame:
     peak = F.max("level").over(Window.partitionBy("path_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
     per = p.withColumn("dd", F.col("level") / F.greatest(F.lit(100.0), peak) - 1).groupBy("path_id", "engine").agg(F.min("level").alias("low"), F.max_by("level", "step").alias("fin"), F.min("dd").alias("mdd"))
     hit, up = (F.col("low") < 90).cast("int"), (F.col("fin") > 100).cast("int")
-    return per.groupBy("engine").agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("touched"), r6(F.avg(hit)).alias("p_touch"), r6(F.avg(up)).alias("p_up"), r6(F.expr("percentile(mdd, 0.5)")).alias("mdd50"))
+    shares = per.groupBy("engine").agg(F.sum(hit).alias("touched"), r6(F.avg(hit)).alias("p_touch"), r6(F.avg(up)).alias("p_up"))
+    return shares.join(quantiles(per, ["engine"], "mdd", [0.5]), "engine").select("engine", "n", "touched", "p_touch", "p_up", r6(F.col("q")[0]).alias("mdd50"))
 
 
 @query("SELECT path_id, round(w, 10) AS w FROM (SELECT path_id, exp(l - max(l) OVER ()) / sum(exp(l - m)) OVER () AS w FROM (SELECT path_id, l, max(l) OVER () AS m FROM (SELECT path_id, -10 * avg(r * r) AS l FROM v_path0 GROUP BY 1)))")
@@ -398,8 +402,8 @@ def ev12_pit_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT domain, CASE WHEN count(*) >= 30 THEN round(least(2.5, greatest(0.5, quantile_cont(abs(probability / 100 - outcome), 0.8) / 0.5)), 6) END AS scale FROM v_res GROUP BY domain")
 def ev14_conformal_scale(spark: SparkSession, d: str) -> DataFrame:
-    q = F.expr("percentile(abs(probability / 100 - outcome), 0.8)") / 0.5
-    return V.resolutions(spark, d).groupBy("domain").agg(F.when(F.count(F.lit(1)) >= 30, r6(F.least(F.lit(2.5), F.greatest(F.lit(0.5), q)))).alias("scale"))
+    q = quantiles(V.resolutions(spark, d), ["domain"], F.abs(F.col("probability") / 100 - F.col("outcome")), [0.8])
+    return q.select("domain", F.when(F.col("n") >= 30, r6(F.least(F.lit(2.5), F.greatest(F.lit(0.5), F.col("q")[0] / 0.5)))).alias("scale"))
 
 
 @query("SELECT series_id, date, max(value) OVER (PARTITION BY series_id ORDER BY date) AS value FROM v_macro")
