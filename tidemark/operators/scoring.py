@@ -138,3 +138,25 @@ def log_weights(l: Column, keys: list[str]) -> Column:  # noqa: E741
     w = Window.partitionBy(*keys)
     top = F.max(l).over(w)
     return F.exp(l - top) / F.sum(F.exp(l - top)).over(w)
+
+
+def gaussian_crps(mean: Column, sd: Column, actual: Column) -> Column:
+    """CRPS of a normal forecast in closed form; spreads under 1e-8 count as that."""
+    s = F.greatest(sd, F.lit(1e-8))
+    z = (actual - mean) / s
+    density = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    return s * (z * (2 * normal_cdf(z) - 1) + 2 * density - 1 / math.sqrt(math.pi))
+
+
+def call_density(calls: DataFrame, keys: list[str], strike: str, price: str, *, rate: float, years: float) -> DataFrame:
+    """(keys, strike, density): discounted second differences of call prices at the inner strikes, negative parts cut, mass one.
+
+    Strikes may be unevenly spaced; a group with fewer than three has no row, one without mass null densities.
+    """
+    w = Window.partitionBy(*keys).orderBy(strike)
+    near = lambda f, c: f(c).over(w)
+    left, right = F.col(strike) - near(F.lag, strike), near(F.lead, strike) - F.col(strike)
+    bend = 2 * ((near(F.lead, price) - F.col(price)) / right - (F.col(price) - near(F.lag, price)) / left) / (left + right)
+    raw = calls.select(*keys, strike, F.greatest(bend * math.exp(rate * years), F.lit(0.0)).alias("_f"), ((left + right) / 2).alias("_w"), (left.isNotNull() & right.isNotNull()).alias("_in")).where("_in")
+    mass = F.sum(F.col("_f") * F.col("_w")).over(Window.partitionBy(*keys))
+    return raw.select(*keys, strike, (F.col("_f") / F.nullif(mass, F.lit(0.0))).alias("density"))

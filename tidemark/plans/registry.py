@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import data_problems, data_problems_sql, landing, ledgers, modelled, more, relational, streams, views, windows  # noqa: F401
+from tidemark.plans import data_problems, data_problems_sql, landing, ledgers, modelled, more, relational, streams, views, weighted, windows  # noqa: F401
 
 QUERIES = {**data_problems.QUERIES, **views.QUERIES}
 SQL = {**data_problems_sql.SQL, **views.SQL}
