@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -112,3 +114,74 @@ def test_walk_forward_uses_the_whole_history(spark, monkeypatch):
             losses.append(np.mean([max(q * (real - f), (q - 1) * (real - f)) for q in (0.1, 0.5, 0.9) for f in [hist[int(np.floor(len(hist) * q))]]]))
     got = modelled.ev07_walk_forward(spark, "").collect()[0]
     assert got["origins"] == len(losses) and got["loss"] == pytest.approx(np.mean(losses), abs=2e-6)
+
+
+def test_pooling_like_the_kernel_and_without_a_limit(spark):
+    g = np.random.default_rng(4)
+    x = np.column_stack([g.normal(100, 3, 400), g.random(400)])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "path_id long, a double, b double")
+    got = M.entropy_pooled(df, ["a", "b"], [101.0, 0.45], keep=["path_id"]).orderBy("path_id").toPandas()["weight"].to_numpy()
+    assert np.allclose(got, K.entropy_pool(x, np.array([101.0, 0.45])), atol=1e-9) and abs(got.sum() - 1) < 1e-9
+    with pytest.raises(ValueError, match="no weights"):
+        M.entropy_pooled(df, ["b"], [1.5], keep=["path_id"])
+    assert M.entropy_pooled(df.limit(0), ["a"], [1.0], keep=["path_id"]).collect() == []
+
+
+def test_systematic_resampling_keeps_the_number_and_the_shares(spark):
+    g = np.random.default_rng(5)
+    w = g.random(300) ** 3
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(w)], "path_id long, weight double")
+    copies = M.resampled(df, "path_id", "weight", 0.3).orderBy("path_id").toPandas()["copies"].to_numpy()
+    want = np.bincount(K.systematic(w, 300, 0.3), minlength=300)
+    assert copies.sum() == 300 and (copies == want).all() and (np.abs(copies - 300 * w / w.sum()) < 1).all()
+
+
+def test_soft_regimes_and_analogs_like_numpy(spark):
+    g = np.random.default_rng(6)
+    x, y = g.normal(size=(120, 2)), g.normal(size=120)
+    data = [("s", t, float(a), float(b), float(v) if t < 110 else None) for t, ((a, b), v) in enumerate(zip(x, y, strict=True))] + [("s", -1, None, 0.5, None)]
+    df = spark.createDataFrame(data, "k string, t int, f double, h double, y double")
+    f, h = x[:, 0], np.append(x[:, 1], 0.5)
+    q = lambda v: np.quantile(v, [0.25, 0.5, 0.75])
+    zf, zh = (f - q(f)[1]) / (q(f)[2] - q(f)[0]), (h[:-1] - q(h)[1]) / (q(h)[2] - q(h)[0])
+    p = M.soft_regimes(df, "k", ["f", "h"], {"a": [1.0, 0.0], "b": [0.0, 0.0], "c": [-9.0, 9.0]}, floor=0.02).orderBy("t").toPandas()
+    logits = np.column_stack([-0.5 * ((zf - a) ** 2 + (zh - b) ** 2) / 2 for a, b in ((1, 0), (0, 0), (-9, 9))])
+    e = np.exp(logits - logits.max(1, keepdims=True))
+    e = np.maximum(e / e.sum(1, keepdims=True), 0.02)
+    assert np.allclose(p[["a", "b", "c"]].to_numpy()[1:], e / e.sum(1, keepdims=True)) and np.allclose(p[["a", "b", "c"]].sum(1), 1)
+    far = ((zf - zf[-1]) ** 2 + (zh - zh[-1]) ** 2)[:110] / 2
+    near = y[:110][np.argsort(far, kind="stable")[:15]]
+    r = M.analog_quantiles(df, "k", "t", ["f", "h"], "y", [0.2, 0.8], neighbours=15, bound=0.1).first()
+    delta = np.median(near) - np.median(y[:110])
+    shift = np.clip(delta, -0.1 * y[:110].std(ddof=1), 0.1 * y[:110].std(ddof=1))
+    assert r["n"] == 15 and math.isclose(r["shift"], shift, rel_tol=1e-9) and np.allclose(r["q"], np.quantile(near, [0.2, 0.8]) + shift - delta)
+
+
+def test_horizon_scale_and_baselines(spark):
+    g = np.random.default_rng(7)
+    x = g.normal(size=500)
+    df = spark.createDataFrame([("s", t, float(v), float(np.exp(0.4 * v) * (1 if t % 2 else -1)), 1.0) for t, v in enumerate(x)], "k string, t int, f double, y double, anchor double")
+    got = M.horizon_scale(df, "k", ["f"], "y", "anchor", alpha=1e-6).orderBy("t").toPandas()
+    assert np.allclose(got["ratio"], np.clip(np.exp(0.4 * x), 0.5, 2.5), atol=1e-3)
+    base = {r["baseline"]: r for r in M.baseline_samples(df, "k", "t", "f", horizon=5, count=4000, seed=1).collect()}
+    assert set(base) == {"walk", "drift", "ar1", "normal", "history", "blocks"} and base["walk"]["sd"] == 0 and math.isclose(base["drift"]["mean"], 5 * x.mean(), rel_tol=1e-9)
+    for name in ("normal", "history", "blocks"):
+        assert abs(base[name]["mean"] - 5 * x.mean()) < 0.15 and abs(base[name]["sd"] / (x.std() * 5**0.5) - 1) < 0.1
+    assert base["history"]["mean"] == {r["baseline"]: r for r in M.baseline_samples(df.repartition(3), "k", "t", "f", horizon=5, count=4000, seed=1).collect()}["history"]["mean"]
+    assert M.baseline_samples(df.limit(2), "k", "t", "f", horizon=5, count=10).collect() == []
+
+
+def test_medoids_start_at_the_centre_and_use_squared_distances():
+    x = np.array([[0.0], [0.1], [-0.1], [5.0], [5.2], [9.0]])
+    labels, medoids = K.k_medoids(x, 3)
+    assert sorted(labels[:3]) == [labels[0]] * 3 and len(set(labels)) == 3 and set(medoids) >= {0, 5}
+    same = K.k_medoids(np.zeros((4, 2)), 2)
+    assert len(same[0]) == 4
+
+
+def test_critical_walk_counts_the_stable_suffix():
+    t = np.arange(60)
+    y = 5 - 0.5 * (70 - t) ** 0.4
+    got = K.critical_walk(y, 56, lambda end: K.seeded("t", end), rounds=15, tolerance=1000.0)
+    assert got["fits"] == 5 and got["stable"] == 5 and got["last"] > 60
+    assert K.critical_walk(y[:10], 20, lambda end: K.seeded("t", end))["fits"] == 0

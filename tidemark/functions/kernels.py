@@ -50,17 +50,20 @@ def open_end(total: np.ndarray) -> int:
 
 
 def k_medoids(features: np.ndarray, k: int, sweeps: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Labels and medoids without randomness: robust scaling, farthest-first start, ties to the lowest index."""
+    """Labels and medoids without randomness: robust scaling, squared distances, a start nearest the centre and then farthest first, ties to the lowest index."""
     x = np.asarray(features, float)
     med = np.median(x, axis=0)
     iqr = np.subtract(*np.percentile(x, [75, 25], axis=0))
-    x = (x - med) / np.where(iqr > 0, iqr, 1.0)
+    # a normal spread's quartiles lie 1.349 of it apart
+    x = (x - med) / np.maximum(iqr / 1.349, 1e-8)
     n = len(x)
     k = min(k, n)
-    apart = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
-    chosen = [int(np.argmin(apart.sum(1)))]
+    apart = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
+    chosen = [int(np.argmin((x**2).sum(1)))] if n else []
     while len(chosen) < k:
-        chosen.append(int(np.argmax(apart[:, chosen].min(1))))
+        free = apart[:, chosen].min(1)
+        free[chosen] = -1.0
+        chosen.append(int(np.argmax(free)))
     medoids = np.array(chosen)
     for _ in range(sweeps):
         labels = np.argmin(apart[:, medoids], axis=1)
@@ -108,6 +111,28 @@ def systematic(weights: np.ndarray, count: int, u: float) -> np.ndarray:
     return np.searchsorted(edges, (np.arange(count) + u) / count, side="right")
 
 
+def baselines(returns: np.ndarray, horizon: int, count: int, rng_of) -> dict[str, np.ndarray]:
+    """Sums of the next ``horizon`` returns by six simple models; ``rng_of(name)`` gives each its generator."""
+    r = np.asarray(returns, float)
+    n = len(r)
+    if n < 3:
+        return {}
+    mean, sd = r.mean(), r.std(ddof=1)
+    base = float(r[:-1] @ r[:-1])
+    phi = float(r[:-1] @ r[1:]) / base if base > 1e-16 else 0.0
+    rest = r[1:] - phi * r[:-1]
+    state, total = np.full(count, r[-1]), np.zeros(count)
+    for shock in rng_of("ar1").choice(rest, size=(horizon, count)):
+        state = phi * state + shock
+        total += state
+    g = rng_of("blocks")
+    blocks = np.stack([(r - mean)[stationary_indices(g, n, horizon, min(10, horizon))].sum() for _ in range(count)])
+    return {
+        "walk": np.zeros(count), "drift": np.full(count, mean * horizon), "ar1": total, "normal": rng_of("normal").normal(mean * horizon, sd * math.sqrt(horizon), count),
+        "history": rng_of("history").choice(r, size=(count, horizon)).sum(1), "blocks": blocks + mean * horizon,
+    }
+
+
 # ---- fits -------------------------------------------------------------------------------------
 
 
@@ -161,6 +186,19 @@ def lppl(logs: np.ndarray, rng: np.random.Generator, rounds: int = 60, people: i
     return {"critical": float(best[0]), "exponent": float(best[1]), "frequency": float(best[2]), "rmse": math.sqrt(costs.min() / n)}
 
 
+def critical_walk(logs: np.ndarray, first: int, rng_of, rounds: int = 20, tolerance: float = 3.0) -> dict[str, float]:
+    """Critical times fitted at each end from ``first`` on, and the longest suffix of ends whose estimates stay within ``tolerance`` of the last one's."""
+    found = [lppl(logs[:end], rng_of(end), rounds)["critical"] for end in range(first, len(logs) + 1)]
+    if not found:
+        return {"fits": 0.0, "median": float("nan"), "last": float("nan"), "stable": 0.0}
+    stable = 0
+    for c in reversed(found):
+        if abs(c - found[-1]) > tolerance:
+            break
+        stable += 1
+    return {"fits": float(len(found)), "median": float(np.median(found)), "last": found[-1], "stable": float(stable)}
+
+
 def entropy_pool(views: np.ndarray, targets: np.ndarray, prior: np.ndarray | None = None, steps: int = 100) -> np.ndarray:
     """Weights nearest to the prior in entropy whose means of the views are the targets, by Newton on the dual."""
     n, k = views.shape

@@ -14,6 +14,11 @@ def _same(keys: Sequence[str], others: Sequence[str]) -> list[Column]:
     return [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(keys, others, strict=True)]
 
 
+def _beside(rows: DataFrame, groups: DataFrame, on: list[Column]) -> DataFrame:
+    """The rows with what is known of their group; without keys that is one row for all."""
+    return rows.join(groups, on) if on else rows.crossJoin(F.broadcast(groups))
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value: Column | str, levels: Sequence[float], *, accuracy: int = 10_000, whole: int = 40_000) -> DataFrame:
     """Exact quantiles per group, linear between neighbours: (keys..., n, q), ``q`` in the order of ``levels``.
 
@@ -31,7 +36,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: Column | str, levels: S
     cuts = v.groupBy(*(F.col(n).alias(g) for n, g in zip(names, group, strict=True))).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), sketch(-1).alias("_lo"), sketch(1).alias("_hi"))
     ends = lambda c, end, ps: F.transform(c, lambda x, i: F.when((F.col("_n") <= whole) | F.element_at(F.array(*(F.lit(b) for b in ps)), i + 1), F.col(end)).otherwise(x))
     cuts = cuts.withColumn("_lo", ends("_lo", "_least", [p <= eps for p in levels])).withColumn("_hi", ends("_hi", "_most", [p >= 1 - eps for p in levels]))
-    placed = v.join(cuts, _same(names, group)) if keys else v.join(F.broadcast(cuts))  # one row
+    placed = _beside(v, cuts, _same(names, group))
     inside = F.exists(F.arrays_zip(F.col("_lo").alias("lo"), F.col("_hi").alias("hi")), lambda b: F.col("_v").between(b["lo"], b["hi"]))
     # a value outside goes by the bracket below it
     below = F.coalesce(F.array_max(F.filter("_hi", lambda x: x < F.col("_v"))), F.lit(float("-inf")))
@@ -61,7 +66,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], value: str, amounts: Mapp
     group = [f"_g{i}" for i in range(len(keys))]
     per = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*(F.coalesce(F.sum(a), F.lit(0)).alias(n) for n, a in amounts.items()))
     cuts = per.groupBy(*(F.col(k).alias(g) for k, g in zip(keys, group, strict=True))).agg(F.array_distinct(F.percentile_approx(value, [i / cells for i in range(1, cells)], 10_000)).alias("_cuts"))
-    placed = per.join(cuts, _same(keys, group)).withColumn("_cell", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts", *group)
+    placed = _beside(per, cuts, _same(keys, group)).withColumn("_cell", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts", *group)
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*keys)
     sums = placed.groupBy(*keys, "_cell").agg(*(F.sum(n).alias(f"_s_{n}") for n in amounts))

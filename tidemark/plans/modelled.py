@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import kernels as K
+from tidemark.functions.scalars import instant_us
+from tidemark.operators import backtest as B
 from tidemark.operators import models as M
 from tidemark.operators.series import Series
 from tidemark.plans import views as V
+from tidemark.plans.tables import table
 from tidemark.plans.views import close, query
 
 S = Series(["series"], "date")
@@ -32,7 +35,7 @@ def _lagged(spark: SparkSession, d: str) -> DataFrame:
     return V.macro(spark, d).select("series_id", F.year("date").alias("fold"), F.col("value").alias("y"), *(s.lag(F.col("value"), k).alias(f"l{k}") for k in (1, 2, 5))).dropna()
 
 
-@query()
+@query(V.three_factor_ridge("SELECT value AS y, lag(value, 1) OVER w AS x1, lag(value, 2) OVER w AS x2, lag(value, 5) OVER w AS x3 FROM v_macro WINDOW w AS (PARTITION BY series_id ORDER BY date)", ("l1", "l2", "l5"), 1.0))
 def fm03_ridge(spark: SparkSession, d: str) -> DataFrame:
     fit = M.ridge(_lagged(spark, d), ["l1", "l2", "l5"], "y", 1.0)
     return spark.createDataFrame([(k, round(float(v), 6)) for k, v in fit.items()], "term string, coefficient double")
@@ -40,8 +43,9 @@ def fm03_ridge(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fm04_purged_selection(spark: SparkSession, d: str) -> DataFrame:
-    errors = M.select_ridge(_lagged(spark, d), ["l1", "l2", "l5"], "y", "fold", [0.01, 1.0, 100.0, 10000.0])
-    return spark.createDataFrame([(a, round(float(e), 4)) for a, e in errors.items()], "alpha double, mse double")
+    """Lag and penalty of each series' daily returns by purged rolling origins."""
+    r = V.prices(spark, d).select("series", "date", S.log_change(close()).alias("r"))
+    return B.select_lags(r, "series", "date", "r").select("series", "lag", "alpha", "origins", F.round("mse", 8).alias("mse"), "best")
 
 
 @query()
@@ -86,14 +90,57 @@ def fm10_one_factor(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fm12_baselines(spark: SparkSession, d: str) -> DataFrame:
-    """Mean and spread of 21-day sums by random walk, drift, history and blocks."""
-    r = _returns(spark, d)
-    s = {"history": np.convolve(r, np.ones(21), "valid")}
-    g = K.seeded("fm12")
-    s["drift"] = g.normal(r.mean() * 21, r.std() * 21**0.5, 2000)
-    s["walk"] = g.normal(0, r.std() * 21**0.5, 2000)
-    blocks = M.block_paths(spark, r, paths=2000, horizon=21, seed="fm12").groupBy("path_id").agg(F.sum("r").alias("x")).agg(F.lit("blocks").alias("baseline"), r6(F.avg("x")).alias("mean"), r6(F.stddev_pop("x")).alias("sd"))
-    return spark.createDataFrame([(k, round(float(v.mean()), 6), round(float(v.std()), 6)) for k, v in s.items()], "baseline string, mean double, sd double").unionByName(blocks)
+    """Mean and spread of 21-day sums by random walk, drift, autoregression, normal draws, history and blocks, per series."""
+    r = V.prices(spark, d).select("series", "date", S.log_change(close()).alias("r"))
+    return M.baseline_samples(r, "series", "date", "r", horizon=21, count=2000, seed="fm12").select("series", "baseline", r6(F.col("mean")).alias("mean"), r6(F.col("sd")).alias("sd"))
+
+
+_R = "(SELECT series, date, ln(close) - lag(ln(close)) OVER (PARTITION BY series ORDER BY date) AS r FROM v_price)"
+
+
+@query(f"SELECT series, count(*) AS n, round(21 * avg(r), 6) AS drift, round(stddev_samp(r) * sqrt(21), 6) AS spread, round(sum(r * p) / sum(p * p), 6) AS phi FROM (SELECT series, r, lag(r) OVER (PARTITION BY series ORDER BY date) AS p FROM {_R} WHERE r IS NOT NULL) GROUP BY series")
+def fm12_baseline_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """What the baselines that draw nothing at random are made of."""
+    r = V.prices(spark, d).select("series", "date", S.log_change(close()).alias("r")).where("r IS NOT NULL").withColumn("p", F.lag("r").over(S.w))
+    return r.groupBy("series").agg(F.count(F.lit(1)).alias("n"), r6(21 * F.avg("r")).alias("drift"), r6(F.stddev_samp("r") * 21**0.5).alias("spread"), r6(F.sum(F.col("r") * F.col("p")) / F.sum(F.col("p") * F.col("p"))).alias("phi"))
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    """(series, date, trend, vol, dd, y): what is known at a close, and the sum of the next 21 returns."""
+    p = V.prices(spark, d).withColumn("r", S.log_change(close()))
+    return p.select("series", "date", S.change(close(), 20).alias("trend"), S.rolling(F.stddev_samp, F.col("r"), 20).alias("vol"), S.drawdown(close()).alias("dd"), (F.log(F.lead("close", 21).over(S.w)) - F.log(close())).alias("y"))
+
+
+_FEATURES = f"""(SELECT series, date, close / lag(close, 20) OVER w - 1 AS trend, CASE WHEN count(r) OVER f = 20 THEN stddev_samp(r) OVER f END AS vol, close / max(close) OVER w - 1 AS dd, ln(lead(close, 21) OVER w) - ln(close) AS y
+    FROM (SELECT p.*, r FROM v_price p JOIN {_R} q USING (series, date)) WINDOW w AS (PARTITION BY series ORDER BY date), f AS (PARTITION BY series ORDER BY date ROWS 19 PRECEDING))"""
+_ROBUST = f"""WITH x AS {_FEATURES}, q AS (SELECT series, quantile_cont(trend, 0.5) AS mt, quantile_cont(vol, 0.5) AS mv, quantile_cont(dd, 0.5) AS md, quantile_cont(trend, 0.75) - quantile_cont(trend, 0.25) AS st, quantile_cont(vol, 0.75) - quantile_cont(vol, 0.25) AS sv, quantile_cont(dd, 0.75) - quantile_cont(dd, 0.25) AS sd FROM x GROUP BY 1),
+    z AS (SELECT x.*, coalesce((trend - mt) / CASE WHEN st > 1e-12 THEN st ELSE 1 END, 0) AS zt, coalesce((vol - mv) / CASE WHEN sv > 1e-12 THEN sv ELSE 1 END, 0) AS zv, coalesce((dd - md) / CASE WHEN sd > 1e-12 THEN sd ELSE 1 END, 0) AS zd FROM x JOIN q USING (series))"""
+
+
+@query(_ROBUST + """, l AS (SELECT series, date, -((zt - 1) ** 2 + (zv + 0.5) ** 2 + zd ** 2) / 6 AS a, -(zt ** 2 + zv ** 2 + zd ** 2) / 6 AS b, -((zt + 1) ** 2 + (zv - 1.5) ** 2 + (zd + 1) ** 2) / 6 AS c FROM z),
+    e AS (SELECT series, date, exp(a - greatest(a, b, c)) AS a, exp(b - greatest(a, b, c)) AS b, exp(c - greatest(a, b, c)) AS c FROM l), p AS (SELECT series, date, greatest(a / (a + b + c), 0.01) AS a, greatest(b / (a + b + c), 0.01) AS b, greatest(c / (a + b + c), 0.01) AS c FROM e)
+    SELECT series, date, round(a / (a + b + c), 6) AS rising, round(b / (a + b + c), 6) AS calm, round(c / (a + b + c), 6) AS stressed FROM p""")
+def fm13_soft_regimes(spark: SparkSession, d: str) -> DataFrame:
+    x = _features(spark, d).drop("y")
+    p = M.soft_regimes(x, "series", ["trend", "vol", "dd"], {"rising": [1.0, -0.5, 0.0], "calm": [0.0, 0.0, 0.0], "stressed": [-1.0, 1.5, -1.0]})
+    return p.select("series", "date", *(r6(F.col(c)).alias(c) for c in ("rising", "calm", "stressed")))
+
+
+@query(_ROBUST + """, h AS (SELECT series, arg_max(zt, date) AS ht, arg_max(zv, date) AS hv, arg_max(zd, date) AS hd FROM z GROUP BY 1),
+    n AS (SELECT series, y FROM (SELECT z.series, y, row_number() OVER (PARTITION BY z.series ORDER BY round(((zt - ht) ** 2 + (zv - hv) ** 2 + (zd - hd) ** 2) / 3, 12), date) AS k FROM z JOIN h ON h.series = z.series WHERE y IS NOT NULL) WHERE k <= 50),
+    a AS (SELECT series, quantile_cont(y, 0.5) AS m, stddev_samp(y) AS s FROM x WHERE y IS NOT NULL GROUP BY 1), c AS (SELECT series, count(*) AS n, quantile_cont(y, 0.5) - m AS delta, greatest(-s / 2, least(s / 2, quantile_cont(y, 0.5) - m)) AS shift, quantile_cont(y, 0.1) AS lo, quantile_cont(y, 0.5) AS mid, quantile_cont(y, 0.9) AS hi FROM n JOIN a USING (series) GROUP BY series, m, s)
+    SELECT series, n, round(shift, 6) AS shift, round(lo + shift - delta, 6) AS lo, round(mid + shift - delta, 6) AS mid, round(hi + shift - delta, 6) AS hi FROM c""")
+def fm13_analog_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """What followed the fifty days most like the last one of each series."""
+    q = M.analog_quantiles(_features(spark, d), "series", "date", ["trend", "vol", "dd"], "y", [0.1, 0.5, 0.9])
+    return q.select("series", "n", r6(F.col("shift")).alias("shift"), *(r6(F.col("q")[i]).alias(c) for i, c in enumerate(("lo", "mid", "hi"))))
+
+
+@query()
+def fm13_horizon_scale(spark: SparkSession, d: str) -> DataFrame:
+    """How much wider than the usual spread the next 21 days are expected to be."""
+    x = _features(spark, d).dropna().withColumn("anchor", F.col("vol") * 21**0.5)
+    return M.horizon_scale(x, "series", ["trend", "vol", "dd"], "y", "anchor").groupBy("series").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("ratio")).alias("mean"), r6(F.min("ratio")).alias("low"), r6(F.max("ratio")).alias("high"))
 
 
 @query()
@@ -116,15 +163,38 @@ def fm15_copula_and_bridges(spark: SparkSession, d: str) -> DataFrame:
     return p.join(want, "path_id").agg(F.count(F.lit(1)).alias("n"), r6(F.max(F.abs(F.col("x") - F.col("want")))).alias("worst_gap"))
 
 
-@query()
+_FACTS = """WITH f AS (SELECT event_id, any_value(event_type) AS event_type, any_value(scheduled_at::timestamptz) AS s, any_value(revision_seq) AS seq, any_value(consensus) AS consensus, any_value(model_nowcast) AS nowcast, any_value(outcome_return_5d) AS y FROM event_fact GROUP BY event_id),
+    t AS (SELECT event_type, s, arg_max(row(nowcast - consensus, y), (seq, event_id)) AS r FROM f WHERE event_type IS NOT NULL AND s IS NOT NULL GROUP BY ALL)"""
+
+
+@query(_FACTS + """, h AS (SELECT event_type, r[1] AS x, r[2] AS y FROM t WHERE r[1] IS NOT NULL AND r[2] IS NOT NULL),
+    b AS (SELECT event_type, count(*) AS n, avg(x) AS mx, avg(y) AS my, stddev_samp(y) AS sy, (sum(x * y) - count(*) * avg(x) * avg(y)) / (sum(x * x) - count(*) * avg(x) * avg(x) + 10) AS beta FROM h GROUP BY 1 HAVING count(*) >= 5)
+    SELECT event_type, n, round(beta, 7) AS beta, round(greatest(-sy / 2, least(sy / 2, my + beta * (1 - mx))), 7) AS target FROM b""")
+def fm16_event_response(spark: SparkSession, d: str) -> DataFrame:
+    """Ridge of the five-day outcome on the surprise over the past releases of each kind; the answer to a surprise of one, kept within half a spread."""
+    return _responses(spark, d).select("event_type", "n", F.round("beta", 7).alias("beta"), F.round("target", 7).alias("target"))
+
+
+def _responses(spark: SparkSession, d: str) -> DataFrame:
+    """(event_type, n, beta, target): sums per kind in the engine; of a release the latest revision counts."""
+    f = table(spark, d, "event_fact").select("event_id", "event_type", instant_us(F.col("scheduled_at")).alias("s"), "revision_seq", (F.col("model_nowcast") - F.col("consensus")).alias("x"), F.col("outcome_return_5d").alias("y")).where("event_type IS NOT NULL AND s IS NOT NULL")
+    last = f.groupBy("event_type", "s").agg(F.max(F.struct("revision_seq", "event_id", "x", "y")).alias("r")).select("event_type", "r.x", "r.y").where("x IS NOT NULL AND y IS NOT NULL")
+    n, x, y = F.count(F.lit(1)), F.col("x"), F.col("y")
+    b = last.groupBy("event_type").agg(n.alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.stddev_samp(y).alias("sy"), F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx")).where("n >= 5")
+    beta = (F.col("xy") - F.col("n") * F.col("mx") * F.col("my")) / (F.col("xx") - F.col("n") * F.col("mx") * F.col("mx") + 10)
+    answer = F.col("my") + F.col("beta") * (1 - F.col("mx"))
+    return b.withColumn("beta", beta).withColumn("target", F.greatest(-F.col("sy") / 2, F.least(F.col("sy") / 2, answer)))
+
+
+@query("""WITH e AS (SELECT path_id, max(CASE WHEN step = 4 THEN ln(level / 100) END) AS x, arg_max(level, step) AS fin FROM v_paths GROUP BY 1), s AS (SELECT greatest(stddev_samp(x), 1e-8) AS h FROM e), u AS (SELECT path_id, fin, exp(-0.5 * ((x - 0.02) / h) ** 2) AS u FROM e, s),
+    w AS (SELECT path_id, fin, u / sum(u) OVER () AS w FROM u), c AS (SELECT *, sum(w) OVER (ORDER BY path_id) / sum(w) OVER () AS c, (sum(w) OVER (ORDER BY path_id) - w) / sum(w) OVER () AS b, count(*) OVER () AS n FROM w), k AS (SELECT *, ceil(n * round(c, 12) - 0.5) - ceil(n * round(b, 12) - 0.5) AS k FROM c)
+    SELECT count(*) AS n, round(avg(fin), 6) AS mean, round(sum(w * fin), 6) AS weighted, round(sum(k * fin) / sum(k), 6) AS resampled, round(1 / sum(w * w), 4) AS effective, sum(k)::bigint AS copies FROM k""")
 def fm16_event_overlay(spark: SparkSession, d: str) -> DataFrame:
-    """Paths reweighted to a mean end 2 % higher, then resampled systematically."""
-    ends = V.paths(spark, d).groupBy("path_id").agg(F.max_by("level", "step").alias("fin"))
-    mean = ends.agg(F.avg("fin")).first()[0]
-    w = M.overlay_weights(ends, mean * 1.02)
-    both = ends.join(w, "path_id").orderBy("path_id").toPandas()
-    again = both["fin"].to_numpy()[K.systematic(both["weight"].to_numpy(), len(both), 0.5)]
-    return spark.createDataFrame([(round(float(mean), 6), round(float((both.fin * both.weight).sum()), 6), round(float(again.mean()), 6), round(float(1 / (both.weight**2).sum()), 2))], "mean double, weighted double, resampled double, effective double")
+    """Paths reweighted around an event's expected five-day return and resampled systematically."""
+    ends = V.paths(spark, d).groupBy("path_id").agg(F.max(F.when(F.col("step") == 4, F.log(F.col("level") / 100))).alias("x"), F.max_by("level", "step").alias("fin"))
+    k = M.resampled(M.kernel_weights(ends, "x", 0.02), "path_id", "weight")
+    w, fin = F.col("weight"), F.col("fin")
+    return k.agg(F.count(F.lit(1)).alias("n"), r6(F.avg(fin)).alias("mean"), r6(F.sum(w * fin)).alias("weighted"), r6(F.sum(F.col("copies") * fin) / F.sum("copies")).alias("resampled"), F.round(1 / F.sum(w * w), 4).alias("effective"), F.sum("copies").alias("copies"))
 
 
 @query()
@@ -144,9 +214,10 @@ def fm17_regime_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fm18_entropy_pooling(spark: SparkSession, d: str) -> DataFrame:
-    ends = V.paths(spark, d).groupBy("path_id").agg(F.max_by("level", "step").alias("fin"))
-    w = M.overlay_weights(ends, 101.0)
-    return ends.join(w, "path_id").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("weight")).alias("mass"), r6(F.sum(F.col("weight") * F.col("fin"))).alias("mean"), r6(F.min("weight")).alias("least"))
+    """Paths weighted such that two views hold: the mean end, and how many end above 100."""
+    ends = V.paths(spark, d).groupBy("path_id").agg(F.max_by("level", "step").alias("fin")).withColumn("up", (F.col("fin") > 100).cast("double"))
+    w = M.entropy_pooled(ends, ["fin", "up"], [101.0, 0.55], keep=["path_id", "fin", "up"])
+    return w.agg(F.count(F.lit(1)).alias("n"), r6(F.sum("weight")).alias("mass"), F.round(F.sum(F.col("weight") * F.col("fin")), 4).alias("mean"), F.round(F.sum(F.col("weight") * F.col("up")), 4).alias("up"), (F.min("weight") > 0).alias("positive"))
 
 
 @query()
@@ -207,6 +278,13 @@ def al09_critical_times(spark: SparkSession, d: str) -> DataFrame:
     return M.fit_each(m, "series", "month", "close", lambda k, v: K.lppl(np.log(v), K.seeded("al09", k), rounds=20), names).select("series", *(r6(F.col(c)).alias(c) for c in names))
 
 
+@query()
+def al09_walk_forward(spark: SparkSession, d: str) -> DataFrame:
+    """Critical times fitted at each of the last months, and how long the estimate has been stable."""
+    names = ["fits", "median", "last", "stable"]
+    return M.fit_each(_months(spark, d), "series", "month", "close", lambda k, v: K.critical_walk(np.log(v), max(24, len(v) - 5), lambda end: K.seeded("al09", k, end), rounds=10), names).select("series", *(r6(F.col(c)).alias(c) for c in names))
+
+
 @query()
 def al19_clusters(spark: SparkSession, d: str) -> DataFrame:
     f = _months(spark, d).select("series", "month", MS.change(close(), 1).alias("f0"), MS.change(close(), 3).alias("f1"), MS.drawdown(close()).alias("f2")).dropna()
@@ -235,3 +313,16 @@ def so06_local_shock(spark: SparkSession, d: str) -> DataFrame:
     mean = F.avg("r").over(w)
     shocked = F.when(inside, mean + 2 * (F.col("r") - mean) + F.when(F.col("branch") == 1, 0.001).otherwise(-0.001)).otherwise(F.col("r"))
     return p.withColumn("s", shocked).groupBy("branch", inside.cast("int").alias("inside")).agg(r6(F.stddev_pop("s") / F.stddev_pop("r")).alias("spread"), r6(F.avg("s") - F.avg("r")).alias("shift"))
+
+
+@query()
+def ev07_refitted(spark: SparkSession, d: str) -> DataFrame:
+    """Weekly origins at which lag and penalty are selected and the autoregression fitted anew, scored against the baselines by horizon."""
+    r = V.prices(spark, d).select("series", "date", S.log_change(close()).alias("r"))
+    last = F.col("date") == F.max("date").over(Window.partitionBy("series", F.trunc("date", "week")))
+    # the last session of each week, told from the whole series
+    weekly = r.withColumn("last", last).where("last").select(F.col("series").alias("_s"), F.col("date").alias("_d"))
+    scores = B.walk_forward(r, "series", "date", "r", F.col("no") >= 320)
+    s = scores.join(weekly, (F.col("series") == F.col("_s")) & (F.col("date") == F.col("_d")), "left_semi")
+    inside = F.abs(F.col("actual") - F.col("mean")) <= 1.2815515655446004 * F.col("sd")
+    return s.groupBy("series", "horizon").agg(F.count(F.lit(1)).alias("origins"), *(r6(F.avg(c)).alias(c) for c in ("crps", "crps_walk", "crps_drift", "crps_normal", "crps_ar1")), r6(F.avg(inside.cast("int"))).alias("coverage"))

@@ -95,7 +95,7 @@ def ag20_shadow_brier(spark: SparkSession, d: str) -> DataFrame:
     return V.resolutions(spark, d).agg(F.count(F.lit(1)).alias("n"), r6(scoring.brier(s, F.col("outcome"))).alias("shadow"), r6(F.avg("brier")).alias("official"))
 
 
-@query()
+@query(V.three_factor_ridge("SELECT max(value) FILTER (series_id = 'AO') AS x1, max(value) FILTER (series_id = 'NF') AS x2, max(value) FILTER (series_id = 'RF') AS x3, max(value) FILTER (series_id = 'AF') AS y FROM v_macro GROUP BY date", ("AO", "NF", "RF"), 0))
 def ag25_multifactor_ols(spark: SparkSession, d: str) -> DataFrame:
     """Coefficients of one series on three others and a constant, by the Gram matrix of one aggregation."""
     from tidemark.operators.models import ridge
@@ -122,7 +122,7 @@ def tk02_latest_row(spark: SparkSession, d: str) -> DataFrame:
     return V.macro(spark, d).where("series_id = 'AF'").orderBy(F.col("date").desc()).limit(1).select("date", "value")
 
 
-@query()
+@query("WITH near AS (SELECT m.series, m.month, round(abs(m.close - l.here), 6) AS distance FROM " + _MONTHS + " m JOIN (SELECT series, arg_max(close, month) AS here, max(month) AS origin FROM " + _MONTHS + " GROUP BY 1) l ON l.series = m.series WHERE month < origin), c AS (SELECT series, list((distance, month) ORDER BY distance, month) AS xs FROM near GROUP BY 1), g AS (SELECT series, xs, 1 AS pos, []::STRUCT(distance DOUBLE, month DATE)[] AS got FROM c UNION ALL SELECT series, xs, pos + 1, CASE WHEN len(got) < 5 AND len(list_filter(got, lambda y: abs(y.month - xs[pos][2]) < 90)) = 0 THEN list_append(got, {'distance': xs[pos][1], 'month': xs[pos][2]}) ELSE got END FROM g WHERE pos <= len(xs)) SELECT series, unnest(range(1, len(got) + 1))::int AS rank, unnest(list_transform(got, lambda y: y.month)) AS month, unnest(list_transform(got, lambda y: y.distance)) AS distance FROM g WHERE pos = len(xs) + 1")
 def tk05_greedy_gap(spark: SparkSession, d: str) -> DataFrame:
     """The five months per series nearest to its last one, at least 90 days apart."""
     from tidemark.operators.series import greedy_gap
@@ -200,11 +200,20 @@ def al12_band_with_cap(spark: SparkSession, d: str) -> DataFrame:
     return near.withColumn("k", F.row_number().over(Window.partitionBy("series").orderBy("gap", "month")).cast("long")).where("k <= 4").select("series", "month", "k")
 
 
-@query("SELECT series, year, round(b / a - 1, 6) AS ret FROM (SELECT series, year(date)::int AS year, arg_max(close, date) FILTER (date <= make_date(year(date), 3, 31)) AS a, arg_max(close, date) FILTER (date <= make_date(year(date), 10, 31)) AS b FROM v_price GROUP BY ALL) WHERE a IS NOT NULL")
+@query("""WITH e AS (SELECT series, y, make_date(y, 11, 5) AS e FROM (SELECT DISTINCT series, year(date)::int AS y FROM v_price)), w AS (SELECT series, year(date)::int AS y, min(dd) AS dd FROM (SELECT series, date, close / max(close) OVER (PARTITION BY series, year(date) ORDER BY date) - 1 AS dd FROM v_price WHERE date BETWEEN make_date(year(date), 8, 1) AND make_date(year(date), 11, 5)) GROUP BY ALL),
+    c AS (SELECT e.series, e.y, (SELECT arg_max(close, date) FROM v_price p WHERE p.series = e.series AND p.date <= e.e) AS a, (SELECT arg_max(close, date) FROM v_price p WHERE p.series = e.series AND p.date <= make_date(e.y, 12, 31)) AS b, (SELECT arg_max(close, date) FROM v_price p WHERE p.series = e.series AND p.date <= e.e + 365) AS c, (SELECT max(date) FROM v_price p WHERE p.series = e.series) AS last, e.e FROM e)
+    SELECT series, y AS year, round(dd, 6) AS pre_window_dd, round(b / a - 1, 6) AS to_year_end, round(c / a - 1, 6) AS plus_12m FROM c JOIN w USING (series, y) WHERE e + 370 <= last""")
 def al13_seasonality(spark: SparkSession, d: str) -> DataFrame:
-    y = F.year("date")
-    upto = lambda m: F.max(F.when(F.col("date") <= F.make_date(y, F.lit(m), F.lit(31)), F.struct("date", "close")))["close"]
-    return V.prices(spark, d).groupBy("series", y.alias("year")).agg(upto(3).alias("a"), upto(10).alias("b")).where("a IS NOT NULL").select("series", "year", r6(F.col("b") / F.col("a") - 1).alias("ret"))
+    """Around 5 November of each year: the deepest fall since August, then the change to the year's end and in twelve months, by closes as of each day."""
+    p = V.prices(spark, d).withColumn("year", F.year("date"))
+    event = F.make_date("year", F.lit(11), F.lit(5))
+    pre = p.where(F.col("date").between(F.make_date("year", F.lit(8), F.lit(1)), event)).withColumn("dd", Series(["series", "year"], "date").drawdown(close())).groupBy("series", "year").agg(F.min("dd").alias("dd"))
+    last = p.groupBy("series").agg(F.max("date").alias("last"))
+    x = pre.join(last, "series").withColumn("e", event).where(F.date_add("e", 370) <= F.col("last"))
+    for name, at in (("a", F.col("e")), ("b", F.make_date("year", F.lit(12), F.lit(31))), ("c", F.date_add("e", 365))):
+        known = p.select("series", "date", F.col("close").alias(name))
+        x = asof_join(x.withColumn("_at", at), known, by=["series"], left_time="_at", right_time="date", values=[name]).drop("_at")
+    return x.select("series", "year", r6(F.col("dd")).alias("pre_window_dd"), r6(F.col("b") / F.col("a") - 1).alias("to_year_end"), r6(F.col("c") / F.col("a") - 1).alias("plus_12m"))
 
 
 @query("SELECT era, series, first, last, round(b / a - 1, 6) AS ret FROM (SELECT era, series, min(date) AS first, max(date) AS last, arg_min(close, date) AS a, arg_max(close, date) AS b FROM v_price JOIN (VALUES ('one', DATE '1996-03-01', DATE '1996-09-30'), ('two', DATE '1998-08-01', DATE '1998-12-31'), ('none', DATE '1980-01-01', DATE '1980-12-31')) e(era, s, t) ON date BETWEEN e.s AND e.t GROUP BY ALL HAVING min(date) <= min(e.s) + 14)")
@@ -214,17 +223,31 @@ def al14_event_study(spark: SparkSession, d: str) -> DataFrame:
     return x.where(F.col("first") <= F.date_add("s", 14)).select("era", "series", "first", "last", r6(F.col("b") / F.col("a") - 1).alias("ret"))
 
 
-@query("""SELECT origin, entry, round(total, 6) AS total, worst FROM (SELECT o.month AS origin, o.entry, e.total, e.worst FROM (SELECT a.month, (SELECT min(date) FROM v_price p WHERE p.series = '1-URGENT' AND p.date >= a.month + INTERVAL 1 MONTH) AS entry FROM (SELECT month FROM """ + _MONTHS + """ WHERE series = '1-URGENT') a) o
-    JOIN LATERAL (SELECT arg_max(close, date) / arg_min(close, date) * 0.999 - 1 AS total, count(*) AS worst FROM v_price p WHERE p.series = '1-URGENT' AND p.date >= o.entry AND p.date < o.entry + 180) e ON o.entry IS NOT NULL)""")
+@query("""WITH o AS (SELECT series, date_trunc('month', date)::date AS origin FROM v_price GROUP BY ALL), e AS (SELECT series, origin, (SELECT min(date) FROM v_price p WHERE p.series = o.series AND p.date >= o.origin + INTERVAL 1 MONTH) AS entry FROM o),
+    x AS (SELECT *, (SELECT min(date) FROM v_price p WHERE p.series = e.series AND p.date >= e.entry + INTERVAL 6 MONTH) AS out FROM e WHERE date_trunc('month', entry) = origin + INTERVAL 1 MONTH), v AS (SELECT series, min(date) AS ex FROM v_price WHERE month(date) IN (3, 6, 9, 12) GROUP BY series, date_trunc('month', date)),
+    h AS (SELECT x.series, x.origin, x.entry, p.date, p.close, p.close * exp(sum(CASE WHEN v.ex > x.entry THEN ln(1 + 500 / p.close) ELSE 0 END) OVER (PARTITION BY x.series, x.origin ORDER BY p.date)) AS total FROM x JOIN v_price p ON p.series = x.series AND p.date BETWEEN x.entry AND x.out LEFT JOIN v ON v.series = p.series AND v.ex = p.date),
+    k AS (SELECT *, max(total) OVER (PARTITION BY series, origin ORDER BY date) AS peak FROM h), m AS (SELECT series, origin, entry, arg_min(close, date) AS c0, arg_max(close, date) AS c1, arg_min(total, date) AS t0, arg_max(total, date) AS t1, min(round(total / peak - 1, 12)) AS dd, arg_min(date, (round(total / peak - 1, 12), date)) AS trough, arg_min(peak, (round(total / peak - 1, 12), date)) AS top FROM k GROUP BY ALL)
+    SELECT series, origin, entry, round(c1 * 0.9995 / (c0 * 1.0005) - 1, 6) AS price_return, round(t1 * 0.9995 / (t0 * 1.0005) - 1, 6) AS total_return, round(dd, 6) AS max_drawdown, CASE WHEN dd = 0 THEN 0 ELSE (SELECT min(date) FROM h WHERE h.series = m.series AND h.origin = m.origin AND h.date > m.trough AND h.total >= m.top) - trough END::int AS recovery_days FROM m""")
 def al16_entry_cohort(spark: SparkSession, d: str) -> DataFrame:
-    """Entry at the first session of the next month, held 180 days, with 10 bp of costs."""
-    p = V.prices(spark, d).where("series = '1-URGENT'")
-    origins = p.select(F.trunc("date", "month").alias("origin")).distinct().withColumn("from", F.add_months("origin", 1))
-    entry = asof_join(origins.withColumn("k", F.lit(1)), p.select(F.lit(1).alias("k"), "date", F.col("date").alias("entry")), by=["k"], left_time="from", right_time="date", values=["entry"], forward=True).where("entry IS NOT NULL")
-    # the calendar bounds both sides: each day meets the few origins whose entry is within the 180 days before
-    day = p.select("date", "close", F.explode(F.sequence(F.lit(-7), F.lit(0))).alias("back")).withColumn("origin", F.trunc(F.add_months("date", F.col("back")), "month"))
-    held = day.join(entry, "origin").where((F.col("date") >= F.col("entry")) & (F.col("date") < F.date_add("entry", 180)))
-    return held.groupBy("origin", "entry").agg(r6(F.max_by("close", "date") / F.min_by("close", "date") * 0.999 - 1).alias("total"), F.count(F.lit(1)).alias("worst"))
+    """Entry at the first session after each month, held six months to the next session, 5 + 5 bp of costs; dividends of 500
+    at the first session of each quarter's last month buy further shares at that close. Incomplete holdings have no row."""
+    p = V.prices(spark, d)
+    ex = p.where(F.month("date").isin(3, 6, 9, 12)).groupBy("series", F.trunc("date", "month").alias("m")).agg(F.min("date").alias("date")).select("series", "date", F.lit(True).alias("ex"))
+    days = p.join(ex, ["series", "date"], "left")
+    origins = p.select("series", F.trunc("date", "month").alias("origin")).distinct().withColumn("from", F.add_months("origin", 1))
+    first = lambda left, at, name: asof_join(left, p.select("series", "date", F.col("date").alias(name)), by=["series"], left_time=at, right_time="date", values=[name], forward=True).where(F.col(name).isNotNull())
+    entry = first(origins, "from", "entry").where(F.trunc("entry", "month") == F.col("from")).withColumn("to", F.add_months("entry", 6))
+    held = first(entry, "to", "out").select("series", "origin", "entry", "out")
+    # the calendar bounds both sides: a day can only belong to the origins of the eight months before it, and of a gap before that one's end
+    per = held.withColumn("m", F.explode(F.sequence(F.trunc("entry", "month"), F.trunc("out", "month"), F.expr("INTERVAL 1 MONTH"))))
+    both = days.withColumn("m", F.trunc("date", "month")).join(per, ["series", "m"]).where(F.col("date").between(F.col("entry"), F.col("out")))
+    s = Series(["series", "origin"], "date")
+    grown = F.sum(F.when(F.col("ex") & (F.col("date") > F.col("entry")), F.log1p(500 / F.col("close"))).otherwise(0.0)).over(s.so_far)
+    t = both.withColumn("total", F.col("close") * F.exp(grown)).withColumn("peak", F.max("total").over(s.so_far)).withColumn("dd", F.round(F.col("total") / F.col("peak") - 1, 12))
+    m = t.groupBy("series", "origin", "entry").agg(F.min_by("close", "date").alias("c0"), F.max_by("close", "date").alias("c1"), F.min_by("total", "date").alias("t0"), F.max_by("total", "date").alias("t1"), F.min(F.struct("dd", "date", "peak")).alias("w"))
+    back = t.join(m.select("series", "origin", F.col("w.date").alias("trough"), F.col("w.peak").alias("top")), ["series", "origin"]).where("date > trough AND total >= top").groupBy("series", "origin").agg(F.min("date").alias("back"))
+    earned = lambda a, b: r6(F.col(b) * 0.9995 / (F.col(a) * 1.0005) - 1)
+    return m.join(back, ["series", "origin"], "left").select("series", "origin", "entry", earned("c0", "c1").alias("price_return"), earned("t0", "t1").alias("total_return"), r6(F.col("w.dd")).alias("max_drawdown"), F.when(F.col("w.dd") == 0, 0).otherwise(F.datediff("back", "w.date")).alias("recovery_days"))
 
 
 @query("SELECT f.d AS friday, a.value - b.value - c.value / 1000 AS net FROM (SELECT unnest(range(DATE '1996-01-05'::timestamp, DATE '2001-06-29'::timestamp, INTERVAL 7 DAY))::date AS d) f JOIN LATERAL (SELECT value FROM v_macro WHERE series_id = 'AF' AND date <= f.d ORDER BY date DESC LIMIT 1) a ON true JOIN LATERAL (SELECT value FROM v_macro WHERE series_id = 'NO' AND date <= f.d ORDER BY date DESC LIMIT 1) b ON true JOIN LATERAL (SELECT value FROM v_macro WHERE series_id = 'RF' AND date <= f.d ORDER BY date DESC LIMIT 1) c ON true")
@@ -385,7 +408,7 @@ def so17_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return V.facts(spark, d).where(pit.knowable(ntz("2024-01-20 00:00:00"))).select("fact_id", "value")
 
 
-@query()
+@query("SELECT source_id, count(*) AS n, sha256(sum(h)::varchar) AS hash FROM (SELECT source_id, ('0x' || substr(sha256('observation_date=1' || observation_date || chr(31) || 'series_id=1' || series_id || chr(31) || 'source_id=1' || source_id || chr(31) || 'value=1' || value), 1, 15))::hugeint AS h FROM v_facts WHERE vintage_start <= TIMESTAMP '2024-01-15') GROUP BY 1")
 def so18_source_hash(spark: SparkSession, d: str) -> DataFrame:
     """A hash per source of all facts known at T, from the hashes of its rows: any order gives the same."""
     known = V.facts(spark, d).where(F.col("vintage_start") <= ntz("2024-01-15 00:00:00"))
