@@ -126,11 +126,14 @@ def pack(sizes: DataFrame, *, id: str, size: str, capacity: int = 2048, slices:
     histogram = histogram_of(pieces)
     plan = fill_plan(histogram, capacity)
     spark = sizes.sparkSession
-    rules = spark.createDataFrame([tuple(map(int, r)) for r in plan], "length long, from_rank long, to_rank long, container long, times long, offset long")
+    ranges: dict[int, list[tuple[int, ...]]] = {}
+    for n, *one in plan:
+        ranges.setdefault(int(n), []).append(tuple(map(int, one)))
+    rules = spark.createDataFrame(list(ranges.items()), "length long, ranges array<struct<from_rank:long,to_rank:long,container:long,times:long,offset:long>>")
     ranked = _ranked(pieces.where("length > 0"), [id, "part"], _slices(histogram, slices))
-    # the plan has a few rows per length, whatever the number of items
-    placed = ranked.join(F.broadcast(rules), "length").where("rank >= from_rank AND rank < to_rank")
-    done = placed.select(id, "part", F.expr("container + (rank - from_rank) div times").alias("container"), F.expr("offset + ((rank - from_rank) % times) * length").alias("place"), "length")
+    # one row per length with its few ranges, so that an item meets one row
+    placed = ranked.join(F.broadcast(rules), "length").withColumn("r", F.expr("filter(ranges, x -> rank >= x.from_rank AND rank < x.to_rank)[0]"))
+    done = placed.select(id, "part", F.expr("r.container + (rank - r.from_rank) div r.times").alias("container"), F.expr("r.offset + ((rank - r.from_rank) % r.times) * length").alias("place"), "length")
     empty = pieces.where("length <= 0").select(id, "part", F.lit(0).cast("long").alias("container"), F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("length"))
     return done.unionByName(empty)
 
