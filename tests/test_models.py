@@ -185,3 +185,15 @@ def test_critical_walk_counts_the_stable_suffix():
     got = K.critical_walk(y, 56, lambda end: K.seeded("t", end), rounds=15, tolerance=1000.0)
     assert got["fits"] == 5 and got["stable"] == 5 and got["last"] > 60
     assert K.critical_walk(y[:10], 20, lambda end: K.seeded("t", end))["fits"] == 0
+
+
+def test_paths_of_each_key_come_from_its_own_history(spark):
+    data = [("a", t, float(t)) for t in range(30)] + [("b", t, -1.0 - t % 2) for t in range(30)] + [("one", 0, 1.0), ("none", 0, None)]
+    df = spark.createDataFrame(data, "k string, t int, v double")
+    run = lambda d, chunk: sorted(tuple(r) for r in M.paths_each(d, "k", "t", "v", M.block_draw(5, 3.0), paths=7, horizon=5, seed=1, chunk=chunk).collect())
+    got = run(df, 3)
+    assert got == run(df.repartition(5), 100) and {r[0] for r in got} == {"a", "b"} and len(got) == 2 * 7 * 5
+    assert {r[3] for r in got if r[0] == "b"} == {-1.0, -2.0} and all(0 <= r[3] < 30 for r in got if r[0] == "a")
+    draw = M.regime_draw(lambda h: (h > 14).astype(int), [1, 1, 0, 2], 2.0)
+    r = draw(np.random.default_rng(2), np.arange(30.0))
+    assert r[0] > 14 and r[1] > 14 and r[2] <= 14

@@ -84,41 +84,45 @@ def block_paths(spark: SparkSession, returns: Sequence[float], *, paths: int, ho
     return _simulated(spark, paths, horizon, seed, lambda g: history[K.stationary_indices(g, len(history), horizon, mean_block)])
 
 
-def regime_paths(spark: SparkSession, returns: Sequence[float], regimes: Sequence[int], order: Sequence[int], *, paths: int, seed: object = 0, mean_block: float = 10.0) -> DataFrame:
-    """Paths whose stretches come from the history's regimes in a given order, ``order`` naming each step's regime."""
-    history, labels, steps = np.asarray(returns, float), np.asarray(regimes), np.asarray(order)
-    pools = {int(k): history[labels == k] for k in np.unique(steps)}
-    if any(len(p) == 0 for p in pools.values()):
-        raise ValueError("a regime without history")
-
-    def draw(g: np.random.Generator) -> np.ndarray:
-        out = np.empty(len(steps))
-        for k, pool in pools.items():
-            at = np.flatnonzero(steps == k)
-            out[at] = pool[K.stationary_indices(g, len(pool), len(at), mean_block)]
-        return out
+def paths_each(df: DataFrame, key: str, order: str, value: str, draw: Callable[[np.random.Generator, np.ndarray], np.ndarray], *, paths: int, horizon: int, seed: object = 0, chunk: int = 250) -> DataFrame:
+    """(key, path_id, step, r): simulated paths of each key from its own ordered history, ``draw(generator, history)`` giving one.
+
+    A key's history (a series of at most a value a day) goes to as many tasks as its paths
+    have chunks. One generator per key and path, so any partitioning gives the same paths;
+    keys with fewer than two values have none.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    ordered = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))["v"].alias("v")).where(F.size("v") > 1)
+    work = ordered.withColumn("begin", F.explode(F.array(*(F.lit(b) for b in range(0, paths, chunk)))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, v, begin in zip(batch[key], batch["v"], batch["begin"], strict=True):
+                ids, history = np.arange(begin, min(begin + chunk, paths)), np.asarray(v, float)
+                r = np.stack([draw(K.seeded(seed, k, int(i)), history) for i in ids])
+                yield pd.DataFrame({key: k, "path_id": np.repeat(ids, horizon), "step": np.tile(np.arange(horizon, dtype=np.int32), len(ids)), "r": r.ravel()})
 
-    return _simulated(spark, paths, len(steps), seed, draw)
+    return work.mapInPandas(run, f"`{key}` {kind}, path_id long, step int, r double")
 
 
-def gbm_paths(spark: SparkSession, mean: float, sd: float, *, paths: int, horizon: int, seed: object = 0) -> DataFrame:
-    """Normal log returns."""
-    return _simulated(spark, paths, horizon, seed, lambda g: g.normal(mean, sd, horizon))
+def block_draw(horizon: int, mean_block: float = 10.0) -> Callable[[np.random.Generator, np.ndarray], np.ndarray]:
+    """Stationary bootstrap of the history."""
+    return lambda g, h: h[K.stationary_indices(g, len(h), horizon, mean_block)]
 
 
-def bridge_paths(spark: SparkSession, ends: Sequence[float], noise: Sequence[float], *, horizon: int, seed: object = 0, mean_block: float = 10.0) -> DataFrame:
-    """Paths that end at the given log returns, with steps like the history's."""
-    history = np.asarray(noise, float)
-    targets = np.asarray(ends, float)
+def regime_draw(label: Callable[[np.ndarray], np.ndarray], order: Sequence[int], mean_block: float = 10.0) -> Callable[[np.random.Generator, np.ndarray], np.ndarray]:
+    """Stretches from the history's regimes in a given order, ``label`` telling each of its values' regime; of a regime without history all of it."""
+    steps = np.asarray(order)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i in batch["id"]:
-                g = K.seeded(seed, int(i))
-                level = K.bridge(targets[i], history[K.stationary_indices(g, len(history), horizon, mean_block)])
-                yield pd.DataFrame({"path_id": int(i), "step": np.arange(horizon, dtype=np.int32), "r": np.diff(level, prepend=0.0)})
+    def draw(g: np.random.Generator, h: np.ndarray) -> np.ndarray:
+        of, out = label(h), np.empty(len(steps))
+        for k in np.unique(steps):
+            at, pool = np.flatnonzero(steps == k), h[of == k]
+            pool = pool if len(pool) else h
+            out[at] = pool[K.stationary_indices(g, len(pool), len(at), mean_block)]
+        return out
 
-    return spark.range(len(targets)).mapInPandas(run, "path_id long, step int, r double")
+    return draw
 
 
 def autoregressive_paths(spark: SparkSession, coefficients: np.ndarray, const: np.ndarray, start: np.ndarray, residuals: np.ndarray, *, paths: int, horizon: int, seed: object = 0, mean_block: float = 5.0) -> DataFrame:

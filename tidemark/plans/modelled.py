@@ -20,10 +20,9 @@ MS = Series(["series"], "month")
 r6 = lambda c: F.round(c, 6)
 
 
-def _returns(spark: SparkSession, d: str, series: str = "1-URGENT") -> np.ndarray:
-    """The log returns of one series: one number per day of the calendar."""
-    r = V.prices(spark, d).where(F.col("series") == series).select("series", "date", S.log_change(close()).alias("r")).where("r IS NOT NULL").orderBy("date")
-    return np.array([x["r"] for x in r.select("r").collect()])
+def _returns(spark: SparkSession, d: str) -> DataFrame:
+    """(series, date, r): daily log returns."""
+    return V.prices(spark, d).select("series", "date", S.log_change(close()).alias("r")).where("r IS NOT NULL")
 
 
 def _months(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +49,8 @@ def fm04_purged_selection(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fm06_block_bootstrap_paths(spark: SparkSession, d: str) -> DataFrame:
-    return M.block_paths(spark, _returns(spark, d), paths=2000, horizon=21, seed="fm06").groupBy("step").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("r")).alias("mean"), r6(F.stddev_samp("r")).alias("sd"))
+    p = M.paths_each(_returns(spark, d), "series", "date", "r", M.block_draw(21), paths=2000, horizon=21, seed="fm06")
+    return p.groupBy("series", "step").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("r")).alias("mean"), r6(F.stddev_samp("r")).alias("sd"))
 
 
 @query()
@@ -68,16 +68,17 @@ def fm07_correlated_paths(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fm08_gbm_touch(spark: SparkSession, d: str) -> DataFrame:
-    """Normal paths: share that touches -10 %, at the steps and between them by the bridge correction."""
+    """Normal paths per series: share that touches -10 %, at the steps and between them by the bridge correction."""
     r = _returns(spark, d)
-    sd = float(r.std(ddof=1)) / 10
-    w = Window.partitionBy("path_id").orderBy("step")
-    p = M.gbm_paths(spark, 0.0, sd, paths=2000, horizon=63, seed="fm08").withColumn("x", F.sum("r").over(w)).withColumn("x0", F.coalesce(F.lag("x").over(w), F.lit(0.0)))
+    sd = r.groupBy("series").agg((F.stddev_samp("r") / 10).alias("sd"))
+    w = Window.partitionBy("series", "path_id").orderBy("step")
+    p = M.paths_each(r, "series", "date", "r", lambda g, h: g.normal(0.0, h.std(ddof=1) / 10, 63), paths=1000, horizon=63, seed="fm08").join(sd, "series")
+    p = p.withColumn("x", F.sum("r").over(w)).withColumn("x0", F.coalesce(F.lag("x").over(w), F.lit(0.0)))
     barrier = float(np.log(0.9))
     below = (F.col("x") <= barrier) | (F.col("x0") <= barrier)
-    between = F.when(below, 1.0).otherwise(F.exp(-2 * (F.col("x") - barrier) * (F.col("x0") - barrier) / (sd * sd)))
-    per = p.groupBy("path_id").agg(F.max((F.col("x") <= barrier).cast("int")).alias("hit"), (1 - F.exp(F.sum(F.log(F.greatest(1 - between, F.lit(1e-300)))))).alias("p"))
-    return per.agg(F.count(F.lit(1)).alias("n"), r6(F.avg("hit")).alias("touched"), r6(F.avg("p")).alias("with_bridge"))
+    between = F.when(below, 1.0).otherwise(F.exp(-2 * (F.col("x") - barrier) * (F.col("x0") - barrier) / (F.col("sd") * F.col("sd"))))
+    per = p.groupBy("series", "path_id").agg(F.max((F.col("x") <= barrier).cast("int")).alias("hit"), (1 - F.exp(F.sum(F.log(F.greatest(1 - between, F.lit(1e-300)))))).alias("p"))
+    return per.groupBy("series").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("hit")).alias("touched"), r6(F.avg("p")).alias("with_bridge"))
 
 
 @query()
@@ -154,13 +155,28 @@ def fm13_direct_horizon(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fm15_copula_and_bridges(spark: SparkSession, d: str) -> DataFrame:
-    """Joint ends at two horizons with their marginals kept, then paths through the later one."""
-    r = _returns(spark, d)
-    ends = np.column_stack([np.convolve(r, np.ones(h), "valid")[: len(r) - 62] for h in (21, 63)])
-    joint = K.gaussian_copula(ends, np.array([[1.0, 0.6], [0.6, 1.0]]), 500, K.seeded("fm15"))
-    p = M.bridge_paths(spark, joint[:, 1], r, horizon=63, seed="fm15").groupBy("path_id").agg(F.sum("r").alias("x"))
-    want = spark.createDataFrame([(i, float(v)) for i, v in enumerate(joint[:, 1])], "path_id long, want double")
-    return p.join(want, "path_id").agg(F.count(F.lit(1)).alias("n"), r6(F.max(F.abs(F.col("x") - F.col("want")))).alias("worst_gap"))
+    """Per series: joint ends at two horizons with their marginals kept, then paths through the later one, steps like the history's."""
+    count = 500
+    drawn: dict[bytes, np.ndarray] = {}
+
+    def joint(h: np.ndarray) -> np.ndarray:
+        """The same draws for all paths of a series, kept for the last one."""
+        key = h.tobytes()
+        if key not in drawn:
+            drawn.clear()
+            ends = np.column_stack([np.convolve(h, np.ones(n), "valid")[: len(h) - 62] for n in (21, 63)])
+            drawn[key] = K.gaussian_copula(ends, np.array([[1.0, 0.6], [0.6, 1.0]]), count, K.seeded("fm15", len(h)))
+        return drawn[key]
+
+    def draw(g: np.random.Generator, h: np.ndarray) -> np.ndarray:
+        # the path's end is one of its series' joint draws; its last number tells which gap is left
+        end = joint(h)[int(g.integers(count)), 1]
+        level = K.bridge(end, h[K.stationary_indices(g, len(h), 63, 10.0)])
+        return np.append(np.diff(level, prepend=0.0), end)
+
+    p = M.paths_each(_returns(spark, d), "series", "date", "r", draw, paths=200, horizon=64, seed="fm15")
+    per = p.groupBy("series", "path_id").agg(F.sum(F.when(F.col("step") < 63, F.col("r"))).alias("x"), F.max(F.when(F.col("step") == 63, F.col("r"))).alias("want"))
+    return per.groupBy("series").agg(F.count(F.lit(1)).alias("n"), r6(F.max(F.abs(F.col("x") - F.col("want")))).alias("worst_gap"), r6(F.avg("want")).alias("mean_end"))
 
 
 _FACTS = """WITH f AS (SELECT event_id, any_value(event_type) AS event_type, any_value(scheduled_at::timestamptz) AS s, any_value(revision_seq) AS seq, any_value(consensus) AS consensus, any_value(model_nowcast) AS nowcast, any_value(outcome_return_5d) AS y FROM event_fact GROUP BY event_id),
@@ -206,10 +222,9 @@ def fm17_garch(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fm17_regime_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    r = _returns(spark, d)
-    calm = (np.abs(r) > np.median(np.abs(r))).astype(int)
-    p = M.regime_paths(spark, r, calm, [0] * 10 + [1] * 11, paths=1000, seed="fm17")
-    return p.groupBy((F.col("step") >= 10).cast("int").alias("regime")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.abs("r"))).alias("mean_abs"))
+    draw = M.regime_draw(lambda h: (np.abs(h) > np.median(np.abs(h))).astype(int), [0] * 10 + [1] * 11)
+    p = M.paths_each(_returns(spark, d), "series", "date", "r", draw, paths=1000, horizon=21, seed="fm17")
+    return p.groupBy("series", (F.col("step") >= 10).cast("int").alias("regime")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.abs("r"))).alias("mean_abs"))
 
 
 @query()
@@ -229,7 +244,7 @@ def fm26_bootstrap_beta(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "at long, x double, y double")
     n = len(xy)
     drawn = M.block_paths(spark, np.arange(n, dtype=float), paths=500, horizon=n, mean_block=6, seed="fm26").select("path_id", F.col("r").cast("long").alias("at"))
-    beta = drawn.join(F.broadcast(rows), "at").groupBy("path_id").agg((F.covar_pop("x", "y") / F.var_pop("x")).alias("b"))  # a row per month
+    beta = drawn.join(rows, "at").groupBy("path_id").agg((F.covar_pop("x", "y") / F.var_pop("x")).alias("b"))
     return beta.agg(F.count(F.lit(1)).alias("n"), r6(F.expr("percentile(b, 0.05)")).alias("lo"), r6(F.expr("percentile(b, 0.5)")).alias("mid"), r6(F.expr("percentile(b, 0.95)")).alias("hi"))
 
 
@@ -293,14 +308,16 @@ def al19_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def so25_phase_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Paths through calm, falling and rising stretches in a fixed order, with what each is made of."""
-    r = _returns(spark, d)
-    ten = np.convolve(r, np.ones(10) / 10, "same")
-    lo, hi = np.quantile(ten, [0.3, 0.7])
-    phase = np.where(ten <= lo, 1, np.where(ten >= hi, 2, 0))
+    """Paths of each series through calm, falling and rising stretches in a fixed order, with what each is made of."""
     order = [0] * 10 + [1] * 20 + [2] * 20
-    p = M.regime_paths(spark, r, phase, order, paths=500, seed="so25")
-    return p.groupBy(F.element_at(F.array(*(F.lit(x) for x in order)), F.col("step") + 1).alias("phase")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("r")).alias("mean"), F.count_distinct("r").alias("distinct_returns"))
+
+    def phases(h: np.ndarray) -> np.ndarray:
+        ten = np.convolve(h, np.ones(10) / 10, "same")
+        lo, hi = np.quantile(ten, [0.3, 0.7])
+        return np.where(ten <= lo, 1, np.where(ten >= hi, 2, 0))
+
+    p = M.paths_each(_returns(spark, d), "series", "date", "r", M.regime_draw(phases, order), paths=500, horizon=len(order), seed="so25")
+    return p.groupBy("series", F.element_at(F.array(*(F.lit(x) for x in order)), F.col("step") + 1).alias("phase")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("r")).alias("mean"), F.count_distinct("r").alias("distinct_returns"))
 
 
 @query()

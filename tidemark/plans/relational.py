@@ -379,9 +379,10 @@ def ag21_time_weighted(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT a.series_id AS x, b.series_id AS y, count(*) AS n, CASE WHEN count(*) >= 12 THEN round(corr(a.value, b.value), 3) END AS r, CASE WHEN count(*) >= 12 THEN round(covar_pop(a.value, b.value) / nullif(var_pop(b.value), 0), 3) END AS beta FROM v_macro a JOIN v_macro b ON a.date = b.date AND a.series_id < b.series_id GROUP BY ALL")
 def ag22_correlation(spark: SparkSession, d: str) -> DataFrame:
     m = V.macro(spark, d)
-    a, b = m.select("date", F.col("series_id").alias("x"), F.col("value").alias("u")), m.select("date", F.col("series_id").alias("y"), F.col("value").alias("v"))
+    a, b = m.select(F.col("date").alias("ad"), F.col("series_id").alias("x"), F.col("value").alias("u")), m.select(F.col("date").alias("bd"), F.col("series_id").alias("y"), F.col("value").alias("v"))
     enough = lambda c: F.round(F.when(F.count(F.lit(1)) >= 12, c), 3)
-    return a.join(b, "date").where("x < y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), enough(F.corr("u", "v")).alias("r"), enough(F.covar_pop("u", "v") / F.nullif(F.var_pop("v"), F.lit(0.0))).alias("beta"))
+    # half of the pairs by the join itself; which pairs are wanted is the caller's to say where there are many series
+    return a.join(b, (F.col("ad") == F.col("bd")) & (F.col("x") < F.col("y"))).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), enough(F.corr("u", "v")).alias("r"), enough(F.covar_pop("u", "v") / F.nullif(F.var_pop("v"), F.lit(0.0))).alias("beta"))
 
 
 @query("""SELECT round(corr(a, b), 6) AS rho, count(*) AS n FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS b
@@ -433,8 +434,9 @@ def ag28_cohorts(spark: SparkSession, d: str) -> DataFrame:
     JOIN (SELECT series, date, close - lag(close) OVER (PARTITION BY series ORDER BY date) AS r FROM v_price) b ON a.date = b.date AND a.series < b.series WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY ALL""")
 def ag29_direction_agreement(spark: SparkSession, d: str) -> DataFrame:
     r = V.prices(spark, d).select("series", "date", (F.col("close") - F.lag("close").over(Window.partitionBy("series").orderBy("date"))).alias("r")).where("r IS NOT NULL")
-    a, b = r.select("date", F.col("series").alias("x"), F.col("r").alias("u")), r.select("date", F.col("series").alias("y"), F.col("r").alias("v"))
-    return a.join(b, "date").where("x < y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(((F.col("u") >= 0) == (F.col("v") >= 0)).cast("int")), 6).alias("agree"))
+    a, b = r.select(F.col("date").alias("ad"), F.col("series").alias("x"), F.col("r").alias("u")), r.select(F.col("date").alias("bd"), F.col("series").alias("y"), F.col("r").alias("v"))
+    # half of the pairs by the join itself; which pairs are wanted is the caller's to say where there are many series
+    return a.join(b, (F.col("ad") == F.col("bd")) & (F.col("x") < F.col("y"))).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(((F.col("u") >= 0) == (F.col("v") >= 0)).cast("int")), 6).alias("agree"))
 
 
 @query("SELECT o_orderstatus AS part, (round_even(share, 0) + CASE WHEN row_number() OVER (ORDER BY share DESC, o_orderstatus) = 1 THEN 100 - sum(round_even(share, 0)) OVER () ELSE 0 END)::bigint AS pct FROM (SELECT o_orderstatus, 100 * count(*) / sum(count(*)) OVER () AS share FROM orders GROUP BY 1)")
