@@ -197,3 +197,27 @@ def test_paths_of_each_key_come_from_its_own_history(spark):
     draw = M.regime_draw(lambda h: (h > 14).astype(int), [1, 1, 0, 2], 2.0)
     r = draw(np.random.default_rng(2), np.arange(30.0))
     assert r[0] > 14 and r[1] > 14 and r[2] <= 14
+
+
+def test_density_over_strikes_like_the_kernel(spark):
+    from tidemark.operators.scoring import call_density
+
+    k = np.array([80.0, 85, 92, 100, 105, 111, 120])
+    c = np.maximum(104 - k, 0) + 3 * np.exp(-np.abs(k - 104) / 8)
+    df = spark.createDataFrame([("a", float(x), float(y)) for x, y in zip(k, c, strict=True)] + [("few", 1.0, 1.0), ("few", 2.0, 0.5)] + [("flat", float(x), 0.0) for x in k], "g string, k double, c double")
+    got = {}
+    for r in call_density(df, ["g"], "k", "c", rate=0.03, years=0.5).orderBy("k").collect():
+        got.setdefault(r["g"], []).append(r["density"])
+    assert np.allclose(got["a"], K.call_density(k, c, 0.03, 0.5)) and set(got) == {"a", "flat"} and got["flat"] == [None] * 5
+
+
+def test_factors_are_aligned():
+    g = np.random.default_rng(8)
+    f, load = g.normal(size=60), np.array([-1.0, 0.5, -0.8])
+    s, new, sign = K.aligned(f, load, [0, 2], slice(0, 40))
+    assert sign == -1 and abs(s[:40].mean()) < 1e-12 and abs(s[:40].std(ddof=1) - 1) < 1e-12 and np.allclose(np.outer(s, new) + (-f[:40]).mean() * -load, np.outer(f, load))
+    assert K.aligned(f, load, [0, 2], slice(0, 40), before=-new)[2] == 1
+    with pytest.raises(ValueError):
+        K.aligned(f, load, [0], slice(0, 3))
+    with pytest.raises(ValueError):
+        K.aligned(f, load, [0], slice(0, 40), before=np.array([1.0, 0.0, -1.2]), least=0.99)

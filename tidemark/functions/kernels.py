@@ -261,6 +261,27 @@ def one_factor(panel: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndar
     return f, load
 
 
+def aligned(states: np.ndarray, loadings: np.ndarray, reference: list[int], period: slice, before: np.ndarray | None = None, least: float = 0.5) -> tuple[np.ndarray, np.ndarray, int]:
+    """A factor's states and loadings with a fixed sign and scale, and the sign.
+
+    The sign makes the mean loading of the reference series positive, then that of the correlation with
+    the loadings ``before``, if given, which must reach ``least``; states have mean zero and unit spread
+    over the ``period``. Raises if that can't be.
+    """
+    s, load = np.asarray(states, float), np.asarray(loadings, float)
+    sign = 1 if load[reference].mean() >= 0 else -1
+    if before is not None:
+        r = np.corrcoef(load * sign, before)[0, 1]
+        sign, r = (-sign, -r) if r < 0 else (sign, r)
+        if not r >= least:
+            raise ValueError("the loadings are not those of the factor before")
+    seen = (s * sign)[period]
+    seen = seen[np.isfinite(seen)]
+    if len(seen) < 5 or not seen.std(ddof=1) > 1e-12:
+        raise ValueError("the period is too short or flat")
+    return (s * sign - seen.mean()) / seen.std(ddof=1), load * sign * seen.std(ddof=1), sign
+
+
 def call_density(strikes: np.ndarray, calls: np.ndarray, rate: float, years: float) -> np.ndarray:
     """Risk-neutral density at the inner strikes: the second difference of call prices, negative parts cut, mass one."""
     k, c = np.asarray(strikes, float), np.asarray(calls, float)

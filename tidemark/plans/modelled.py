@@ -89,6 +89,26 @@ def fm10_one_factor(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(c, round(float(x), 6), round(float(f[-1]), 6)) for c, x in zip(w.columns[1:], load, strict=True)], "series_id string, loading double, latest double")
 
 
+@query()
+def fm10_factor_by_cutoff(spark: SparkSession, d: str) -> DataFrame:
+    """The common factor as each year's end knew it: a fit per cut-off over the months known then, its sign by two reference series and its scale by the first three years."""
+    import pandas as pd
+
+    ids = ["AF", "AO", "NF", "NO", "RF", "RO"]
+    w = V.macro(spark, d).groupBy("date").pivot("series_id", ids).agg(F.max("value"))
+    ends = F.array(*(F.lit(f"{y}-12-31").cast("date") for y in range(1998, 2002)))
+    known = w.withColumn("cutoff", F.explode(F.filter(ends, lambda c: c >= F.col("date"))))
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("date")
+        f, load = K.one_factor(part[ids].to_numpy(float))
+        states, load, sign = K.aligned(f, load, [0, 4], slice(0, 36))
+        return pd.DataFrame({"cutoff": part["cutoff"].iloc[0], "months": len(part), "sign": sign, "latest": states[-1], "series_id": ids, "loading": load})
+
+    got = known.groupBy("cutoff").applyInPandas(fit, "cutoff date, months long, sign int, latest double, series_id string, loading double")
+    return got.select("cutoff", "months", "series_id", r6(F.col("loading")).alias("loading"), r6(F.col("latest")).alias("latest"))
+
+
 @query()
 def fm12_baselines(spark: SparkSession, d: str) -> DataFrame:
     """Mean and spread of 21-day sums by random walk, drift, autoregression, normal draws, history and blocks, per series."""
@@ -144,7 +164,7 @@ def fm13_horizon_scale(spark: SparkSession, d: str) -> DataFrame:
     return M.horizon_scale(x, "series", ["trend", "vol", "dd"], "y", "anchor").groupBy("series").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("ratio")).alias("mean"), r6(F.min("ratio")).alias("low"), r6(F.max("ratio")).alias("high"))
 
 
-@query()
+@query(V.three_factor_ridge("SELECT p.series, r AS x1, CASE WHEN count(r) OVER f = 20 THEN stddev_samp(r) OVER f END AS x2, close / max(close) OVER w - 1 AS x3, ln(lead(close, 21) OVER w) - ln(close) AS y FROM v_price p JOIN (SELECT series, date, ln(close) - lag(ln(close)) OVER (PARTITION BY series ORDER BY date) AS r FROM v_price) q USING (series, date) WINDOW w AS (PARTITION BY p.series ORDER BY date), f AS (PARTITION BY p.series ORDER BY date ROWS 19 PRECEDING)", ("r", "vol", "dd"), 1.0, "series"))
 def fm13_direct_horizon(spark: SparkSession, d: str) -> DataFrame:
     """Ridge of the sum of the next 21 returns on return, volatility and drawdown today, per series."""
     p = V.prices(spark, d).withColumn("r", S.log_change(close()))
@@ -254,7 +274,9 @@ def ev10_bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
     return M.bootstrap_mean(p, "series", "date", "r", replicates=300, seed="ev10").select("series", "n", *(r6(F.col(c)).alias(c) for c in ("mean", "lo", "hi")))
 
 
-@query()
+@query("""WITH p AS (SELECT series, date, ln(close) - lag(ln(close), 21) OVER w AS past, ln(lead(close, 21) OVER w) - ln(close) AS y, date = max(date) OVER (PARTITION BY series, date_trunc('week', date)) AS last FROM v_price WINDOW w AS (PARTITION BY series ORDER BY date)),
+    h AS (SELECT *, list_sort(list_filter(list(past) OVER (PARTITION BY series ORDER BY date), lambda x: x IS NOT NULL)) AS h FROM p), q AS (SELECT series, y, h[floor(len(h) * 0.1)::int + 1] AS lo, h[floor(len(h) * 0.5)::int + 1] AS mid, h[floor(len(h) * 0.9)::int + 1] AS hi FROM h WHERE last AND len(h) >= 100 AND y IS NOT NULL)
+    SELECT series, count(*) AS origins, round(avg((greatest(0.1 * (y - lo), -0.9 * (y - lo)) + greatest(0.5 * (y - mid), -0.5 * (y - mid)) + greatest(0.9 * (y - hi), -0.1 * (y - hi))) / 3), 6) AS loss, round(avg((y BETWEEN lo AND hi)::int), 6) AS coverage FROM q GROUP BY series""")
 def ev07_walk_forward(spark: SparkSession, d: str) -> DataFrame:
     """Weekly origins, each forecast by the quantiles of all 21-day changes that ended by it, scored by pinball loss.
 
@@ -320,16 +342,16 @@ def so25_phase_paths(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("series", F.element_at(F.array(*(F.lit(x) for x in order)), F.col("step") + 1).alias("phase")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("r")).alias("mean"), F.count_distinct("r").alias("distinct_returns"))
 
 
-@query()
+@query("""WITH m AS (SELECT path_id % 2 AS branch, step, avg(r) AS m FROM v_paths GROUP BY ALL), x AS (SELECT p.path_id % 2 AS branch, p.step, r, CASE WHEN p.step BETWEEN 20 AND 29 THEN m + 2 * (r - m) + CASE WHEN p.path_id % 2 = 1 THEN 0.001 ELSE -0.001 END ELSE r END AS s FROM v_paths p JOIN m ON m.branch = p.path_id % 2 AND m.step = p.step)
+    SELECT branch::int AS branch, (step BETWEEN 20 AND 29)::int AS inside, round(stddev_pop(s) / stddev_pop(r), 6) AS spread, round(avg(s) - avg(r), 6) AS shift FROM x GROUP BY ALL""")
 def so06_local_shock(spark: SparkSession, d: str) -> DataFrame:
-    """From step 20 for 10 steps: returns recentred, their spread doubled and shifted, per branch."""
-    branch = F.pmod(F.xxhash64("path_id"), F.lit(2)).cast("int")
-    p = V.paths(spark, d).withColumn("branch", branch)
-    w = Window.partitionBy("branch", "step")
+    """From step 20 for 10 steps: returns recentred, their spread doubled and shifted, per branch; the means are a row per branch and step."""
+    p = V.paths(spark, d).withColumn("branch", F.pmod("path_id", F.lit(2)).cast("int"))
     inside = F.col("step").between(20, 29)
-    mean = F.avg("r").over(w)
+    mean = F.col("m")
     shocked = F.when(inside, mean + 2 * (F.col("r") - mean) + F.when(F.col("branch") == 1, 0.001).otherwise(-0.001)).otherwise(F.col("r"))
-    return p.withColumn("s", shocked).groupBy("branch", inside.cast("int").alias("inside")).agg(r6(F.stddev_pop("s") / F.stddev_pop("r")).alias("spread"), r6(F.avg("s") - F.avg("r")).alias("shift"))
+    both = p.join(p.groupBy("branch", "step").agg(F.avg("r").alias("m")), ["branch", "step"])
+    return both.withColumn("s", shocked).groupBy("branch", inside.cast("int").alias("inside")).agg(r6(F.stddev_pop("s") / F.stddev_pop("r")).alias("spread"), r6(F.avg("s") - F.avg("r")).alias("shift"))
 
 
 @query()

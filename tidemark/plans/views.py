@@ -25,7 +25,7 @@ def query(sql: str | None = None):
     return register
 
 
-def three_factor_ridge(rows: str, names: tuple[str, str, str], alpha: float) -> str:
+def three_factor_ridge(rows: str, names: tuple[str, str, str], alpha: float, by: str | None = None) -> str:
     """SQL of the coefficients on x1, x2, x3 and a constant that isn't penalised, by Cramer's rule on the centred sums; rows with nulls are left out."""
     pairs = {(i, j): f"covar_pop(x{i}, x{j}) * count(*){f' + {alpha}' if i == j else ''}" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j}
     sums = ", ".join(f"{e} AS s{i}{j}" for (i, j), e in pairs.items()) + ", " + ", ".join(f"covar_pop(x{i}, y) * count(*) AS t{i}, avg(x{i}) AS m{i}" for i in (1, 2, 3)) + ", avg(y) AS my"
@@ -35,9 +35,10 @@ def three_factor_ridge(rows: str, names: tuple[str, str, str], alpha: float) ->
         m = [[f"t{i}" if j == column else at(i, j) for j in (1, 2, 3)] for i in (1, 2, 3)]
         return " + ".join(f"{m[0][a]} * ({m[1][b]} * {m[2][c]} - {m[1][c]} * {m[2][b]})" for a, b, c in ((0, 1, 2), (1, 2, 0), (2, 0, 1)))
 
-    solved = f"SELECT *, {', '.join(f'({det(j)}) / ({det(None)}) AS b{j}' for j in (1, 2, 3))} FROM (SELECT {sums} FROM ({rows}) WHERE x1 + x2 + x3 + y IS NOT NULL)"
+    key, group = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
+    solved = f"SELECT *, {', '.join(f'({det(j)}) / ({det(None)}) AS b{j}' for j in (1, 2, 3))} FROM (SELECT {key}{sums} FROM ({rows}) WHERE x1 + x2 + x3 + y IS NOT NULL{group})"
     labels = ", ".join(f"'{n}'" for n in (*names, "const"))
-    return f"SELECT unnest([{labels}]) AS term, round(unnest([b1, b2, b3, my - b1 * m1 - b2 * m2 - b3 * m3]), 6) AS coefficient FROM ({solved})"
+    return f"SELECT {key}unnest([{labels}]) AS term, round(unnest([b1, b2, b3, my - b1 * m1 - b2 * m2 - b3 * m3]), 6) AS coefficient FROM ({solved})"
 
 
 def close() -> Column:
