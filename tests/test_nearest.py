@@ -34,3 +34,20 @@ def test_ties_nulls_repeats_and_tolerance(spark):
 
 def test_empty(spark):
     assert run(spark, [], [("A", 1, 1, 0)]) == [] and run(spark, [("A", 1, "x", 0, 0)], []) == []
+
+
+def test_dense_buckets_are_cut_down_to_the_tolerance(spark):
+    rng = random.Random(11)
+    left = [("hot", rng.randrange(-40_000, 40_000), n) for n in range(700)] + [("cold", 5, 9_000)]
+    right = [("hot", rng.randrange(-40_000, 40_000), n) for n in range(300)] + [("cold", 6, 9_001), ("hot", -10_000, 9_002), ("hot", 10_000, 9_003)]
+    a, b = spark.createDataFrame(left, "k string, t long, id long"), spark.createDataFrame(right, "k string, t long, id long")
+    run = lambda **how: rows(nearest_in_time(a.withColumnRenamed("id", "l"), b.withColumnRenamed("id", "r"), key="k", time="t", left_id="l", right_id="r", tolerance_us=90, **how))
+    want = []
+    for k, t, n in left:
+        near = sorted((abs(u - t), u, m) for j, u, m in right if j == k and abs(u - t) <= 90)
+        if near:
+            want.append((n, near[0][2], near[0][1] - t))
+    got = run(bucket_us=10_000, bucket_rows=10**9)
+    assert sorted(got) == sorted(want) and len(want) > 200
+    for size in (1, 30, 400):
+        assert run(bucket_us=10_000, bucket_rows=size) == got
