@@ -33,13 +33,17 @@ RANGES = (
 )
 
 _END = re.compile(r"[.!?…؟।۔]+[\"'”’»)\]]*(?=\s|$)|[。！？]+[」』”’)]*")
+_END_ASCII = re.compile(r"[.!?]+[\"')\]]*(?=\s|$)")
 _NUMBERED = re.compile(r"(?:^|\W)\d{1,2}$")
 _STOP_SIGNS = tuple(".!?…؟।۔。！？")
 _AFTER_STOP = " \t\"'”’»)]」』"
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_WORD_ASCII = re.compile(r"[a-z]+(?:'[a-z]+)*")
 _LINK = r"(?:h(?:tt|xx)ps?://|www[.\[])[^\s<>\"]+"
 _TAGGED = re.compile(_LINK + r"|\$[A-Z]{2,6}\b|#[^\s#]+|\b[A-Z]{1,4}-\d{2,6}\b", re.IGNORECASE)
 _SIGN = re.compile(r"[$#]|://|www|[A-Za-z]-\d", re.IGNORECASE)
+# any letter of a script without blanks between words
+_UNSPACED = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b, script, per in RANGES if per and script != 1) + "]")
 _INVISIBLE = re.compile("[\u200b-\u200f\u2060\ufeff]")
 # what fields of data look like in any language: dates, times, decimals, pairs, quoted keys, mixed identifiers; and plain numbers
 _MARK = re.compile(r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}|\d{1,2}:\d\d|\b\d+\.\d+|\w+=[^\s\"']|\"\w+\":|\b(?=[a-z]*\d)(?=\d*[a-z])[0-9a-z]{8,}\b")
@@ -77,9 +81,12 @@ def _bare(text: str) -> str:
 
 def words_of(text: str) -> tuple[float, list[str]]:
     """How many words the text has, and its units in lower case: words, or pairs of letters where words are not written apart."""
-    found = _WORD.findall(text.lower())
     if text.isascii():
+        found = _WORD_ASCII.findall(text.lower())
         return len(found), found
+    found = _WORD.findall(text.lower())
+    if not _UNSPACED.search(text):
+        return len(found) + sum([len(w) / 2.5 - 1 for w in found if len(w) > 2 and "가" <= w[0] <= "힣"]), found
     count, units = 0.0, []
     for w in found:
         script, per = _place(w[0])
@@ -97,11 +104,11 @@ def words_of(text: str) -> tuple[float, list[str]]:
     return count, units
 
 
-def is_sentence(piece: str) -> bool:
-    """Ends with a stop after as many words as sentences have, most of them different; links and tags are no words."""
+def is_sentence(piece: str, plain: bool = False) -> bool:
+    """Ends with a stop after as many words as sentences have, most of them different; links and tags are no words (``plain``: there are none)."""
     if piece.rstrip(_AFTER_STOP)[-1:] not in _STOP_SIGNS:
         return False
-    count, units = words_of(_bare(piece))
+    count, units = words_of(piece if plain else _bare(piece))
     return SHORTEST <= count <= LONGEST and len(set(units)) >= 0.55 * len(units)
 
 
@@ -147,7 +154,7 @@ def _listed(line: str, before: int) -> int:
 def _cut(line: str) -> list[str]:
     """The line's pieces, each up to its stop."""
     at, out = 0, []
-    for end in _END.finditer(line):
+    for end in (_END_ASCII if line.isascii() else _END).finditer(line):
         # "1." before an item is no stop
         if end.start() - at < 4 and _NUMBERED.search(line, at, end.start()):
             continue
@@ -160,20 +167,22 @@ def _cut(line: str) -> list[str]:
 
 def _segments(text: str) -> Iterator[tuple[int, str]]:
     """The text's lines by kind; a line of sentences and others gives both."""
-    text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
+    if not text.isascii():
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     ruled = "|" in text and _RULE.search(text) is not None
     lines = [line for line in text.splitlines() if line.strip()]
     keys = Counter(m[1] for line in lines if ": " in line and (m := _KEY.match(line)) and m[1])
     before = SENTENCES
     for line in lines:
         pieces = _cut(line)
-        kinds = [is_sentence(p) for p in pieces]
+        plain = _SIGN.search(line) is None
+        kinds = [is_sentence(p, plain) for p in pieces]
         if not any(kinds):
             before = RECORDS if is_record(line, keys, ruled) else _listed(line, before)
             yield before, line
             continue
         before = SENTENCES
-        if len(pieces) > 3 and words_of(line)[0] < (SHORTEST + 0.5) * len(pieces):
+        if len(pieces) > 3 and (len(line.split()) if line.isascii() else words_of(line)[0]) < (SHORTEST + 0.5) * len(pieces):
             yield FRAGMENTS, line
             continue
         short: list[str] = []
