@@ -24,9 +24,9 @@ def test_asof_like_brute_force_over_shards(spark):
             ok = [(u, v) for rk, u, v in right if k and rk == k and t is not None and u is not None and ((u > t if strict else u >= t) if forward else (u < t if strict else u <= t))]
             best = (min(ok, key=lambda x: (x[0], -x[1])) if forward else max(ok)) if ok else None
             want.append((i, best and best[1]))
-        for shard in (7, 10_000):
-            got = asof_join(dl, dr, by=["k"], left_time="t", right_time="u", values=["v"], strict=strict, forward=forward, shard=shard)
-            assert sorted(tuple(r) for r in got.select("l", "v").collect()) == sorted(want), (strict, forward, shard)
+        for shard, most in ((7, 1_000_000), (10_000, 1_000_000), (10_000, 9), (300, 20)):
+            got = asof_join(dl, dr, by=["k"], left_time="t", right_time="u", values=["v"], strict=strict, forward=forward, shard=shard, shard_rows=most)
+            assert sorted(tuple(r) for r in got.select("l", "v").collect()) == sorted(want), (strict, forward, shard, most)
     assert asof_join(dl.limit(0), dr, by=["k"], left_time="t", right_time="u", values=["v"]).count() == 0
     assert asof_join(dl, dr.limit(0), by=["k"], left_time="t", right_time="u", values=["v"]).where("v IS NULL").count() == len(left)
 
