@@ -155,3 +155,23 @@ def test_average_ranks_over_ranges(spark):
     got = scoring.average_ranks(spark.createDataFrame([(x,) for x in v], "v double"), "v", "r", cells=17)
     assert {r["v"]: r["r"] for r in got.collect()} == want and got.count() == 1000
     assert scoring.average_ranks(spark.createDataFrame([], "v double"), "v", "r").count() == 0
+
+
+def test_linear_recursions_over_stretches_like_the_plain_loop(spark):
+    from tidemark.operators.series import decayed, ewma_variance
+
+    rng = random.Random(12)
+    data = [("a", t, rng.choice([0.0, rng.gauss(0, 1), None]) if t % 700 > 300 else 0.0) for t in range(2500)] + [("b", 1, 2.0), (None, 1, 3.0), (None, 2, 1.0)]
+    df = spark.createDataFrame(data, "k string, t int, x double")
+    for decay in (0.5, 0.94):
+        got = {(r["k"], r["t"]): r["y"] for r in decayed(df, ["k"], "t", F.col("x"), decay, "y").collect()}
+        y = 0.0
+        for _, t, x in data[:2500]:
+            y = decay * y + (x or 0.0)
+            assert abs(got["a", t] - y) < 1e-9 * max(1.0, abs(y))
+        assert got["b", 1] == 2.0 and abs(got[None, 2] - (1 + 3 * decay)) < 1e-12
+    v = {(r["k"], r["t"]): r["variance"] for r in ewma_variance(df, ["k"], "t", "x", 0.5).collect()}
+    level = None
+    for _, t, x in data[:2500]:
+        level = None if x is None else x * x if level is None else 0.5 * level + 0.5 * x * x
+        assert (v["a", t] is None) == (level is None) and (level is None or abs(v["a", t] - level) < 1e-9)

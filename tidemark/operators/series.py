@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -50,36 +51,54 @@ class Series:
         return F.row_number().over(self.w)
 
 
-def recursion(df: DataFrame, keys: list[str], order: str, inputs: Column, start: str, step: str, out: str) -> DataFrame:
-    """A recursive state along a series: ``aggregate`` over the ordered values of a key.
+def decayed(df: DataFrame, keys: list[str], order: str, amount: Column, decay: float, out: str, *, stretch: int | None = None) -> DataFrame:
+    """The rows with y = decay * y before + amount (null: none) along each key's order, y beginning at 0.
 
-    ``start`` is the SQL of the first state, a struct with an ``out`` array; ``step`` that of
-    the next one from (s, x). For series with at most a value per day or so: a key's
-    values are one array, bounded by the calendar and not by the number of sources.
+    A linear recursion has a closed form: within a stretch of rows y is decay^j times the running
+    sum of amount / decay^j, and a stretch passes its last y on to the next. Stretches are so long
+    that decay over one is 1e-100, so what lies before the one before is beyond a double's
+    digits (give ``stretch`` only as a multiple of that, or a decay that vanishes over it).
+    Running sums only: no array is kept, a key's rows may spill.
     """
-    ordered = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("t"), inputs.alias("x")))).alias("xs"))
-    states = F.expr(f"aggregate(xs, {start}, (s, e) -> {step}, s -> s.out)")
-    return ordered.select(*keys, F.explode(F.arrays_zip(F.col("xs.t").alias("t"), states.alias("v"))).alias("z")).select(*keys, F.col("z.t").alias(order), F.col("z.v").alias(out))
+    m = stretch or max(1, int(230 / -math.log(decay)))
+    w = Window.partitionBy(*keys).orderBy(order)
+    no = df.withColumn("_no", F.row_number().over(w) - 1).withColumn("_s", F.expr(f"_no div {m}")).withColumn("_j", F.pmod("_no", F.lit(m)))
+    inside = Window.partitionBy(*keys, "_s").orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
+    power = lambda e: F.pow(F.lit(float(decay)), e)
+    local = no.withColumn("_y", power(F.col("_j")) * F.sum(F.coalesce(amount, F.lit(0.0)) * power(-F.col("_j"))).over(inside))
+    ends = local.where(F.col("_j") == m - 1).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), (F.col("_s") + 1).alias("_next"), F.col("_y").alias("_end"))
+    on = F.col("_s") == F.col("_next")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return local.join(ends, on, "left").select(*df.columns, (F.col("_y") + power(F.col("_j") + 1) * F.coalesce("_end", F.lit(0.0))).alias(out))
 
 
 def rsi(df: DataFrame, keys: list[str], order: str, close: str, n: int = 14) -> DataFrame:
-    """Wilder's RSI: seeded by the mean of the first ``n`` changes, first value one row later, 100 without falls."""
-    x = "(e.x - s.last)"
-    state = "named_struct('i', {i}, 'last', {last}, 'g', {g}, 'l', {l}, 'out', {out})"
-    start = state.format(i="-1", last="cast(null as double)", g="0D", l="0D", out="cast(array() as array<double>)")
-    gain, loss = f"greatest({x}, 0D)", f"greatest(-{x}, 0D)"
-    g = f"CASE WHEN s.i < 0 THEN 0D WHEN s.i < {n} THEN s.g + {gain} / {n} ELSE (s.g * {n - 1} + {gain}) / {n} END"
-    lo = f"CASE WHEN s.i < 0 THEN 0D WHEN s.i < {n} THEN s.l + {loss} / {n} ELSE (s.l * {n - 1} + {loss}) / {n} END"
-    value = f"CASE WHEN s.i < {n} THEN cast(null as double) WHEN ({lo}) = 0 THEN 100D ELSE 100D - 100D / (1D + ({g}) / ({lo})) END"
-    step = state.format(i="s.i + 1", last="e.x", g=g, l=lo, out=f"array_append(s.out, {value})")
-    return recursion(df, keys, order, F.col(close), start, step, "rsi")
+    """Wilder's RSI: seeded by the mean of the first ``n`` changes, first value one row later, 100 without falls.
+
+    A change from or to a missing close is none.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    change = F.coalesce(F.col("_c") - F.lag("_c").over(w), F.lit(0.0))
+    rows = df.select(*keys, order, F.col(close).alias("_c")).withColumn("_at", F.row_number().over(w) - 1).withColumn("_d", change)
+    first = F.col("_at").between(1, n)
+    for name, part in (("_g", F.greatest(F.col("_d"), F.lit(0.0))), ("_l", F.greatest(-F.col("_d"), F.lit(0.0)))):
+        seed = F.sum(F.when(first, part / n)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn(f"{name}in", F.when(F.col("_at") == n, seed).when(F.col("_at") > n, part / n))
+        rows = decayed(rows, keys, order, F.col(f"{name}in"), (n - 1) / n, name)
+    value = F.when(F.col("_at") > n, F.when(F.col("_l") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_g") / F.col("_l"))))
+    return rows.select(*keys, order, value.alias("rsi"))
 
 
 def ewma_variance(df: DataFrame, keys: list[str], order: str, returns: str, decay: float = 0.94) -> DataFrame:
-    """Exponentially weighted variance: the first square, then decay * v + (1 - decay) * r^2."""
-    v = f"CASE WHEN s.v IS NULL THEN e.x * e.x ELSE {decay}D * s.v + {1 - decay!r}D * e.x * e.x END"
-    start = "named_struct('v', cast(null as double), 'out', cast(array() as array<double>))"
-    return recursion(df, keys, order, F.col(returns), start, f"named_struct('v', {v}, 'out', array_append(s.out, {v}))", "variance")
+    """Exponentially weighted variance: the first square, then decay * v + (1 - decay) * r^2; a missing return has none and begins anew."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    rows = df.select(*keys, order, F.col(returns).alias("_r"))
+    rows = rows.withColumn("_gap", F.sum(F.col("_r").isNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_null", F.col("_r").isNull())
+    square = F.col("_r") * F.col("_r")
+    opening = F.lag("_null", 1, True).over(w)
+    got = decayed(rows.withColumn("_in", F.when(opening, square).otherwise((1 - decay) * square)), [*keys, "_gap"], order, F.col("_in"), decay, "_v")
+    return got.select(*keys, order, F.when(~F.col("_null"), F.col("_v")).alias("variance"))
 
 
 def correction_episodes(month_ends: DataFrame, keys: list[str], order: str, close: str, threshold: float = -0.05) -> DataFrame:
