@@ -29,7 +29,7 @@ SCRIPTS = ("latin", "hangul", "han", "kana", "cyrillic", "greek", "arabic", "heb
 # First and last code points of the scripts, and how many of their letters stand for one word where words are not single units of writing.
 RANGES = (
     (0x0041, 0x024F, 0, 0), (0x0370, 0x03FF, 5, 0), (0x0400, 0x052F, 4, 0), (0x0590, 0x05FF, 7, 0), (0x0600, 0x077F, 6, 0), (0x0900, 0x0DFF, 8, 0), (0x0E00, 0x0EFF, 9, 4),
-    (0x1000, 0x109F, 9, 4), (0x1780, 0x17FF, 9, 4), (0x1E00, 0x1EFF, 0, 0), (0x3040, 0x30FF, 3, 2), (0x3400, 0x9FFF, 2, 2), (0xAC00, 0xD7A3, 1, 2.5), (0x20000, 0x3FFFF, 2, 2),
+    (0x1000, 0x109F, 9, 4), (0x1780, 0x17FF, 9, 4), (0x1E00, 0x1EFF, 0, 0), (0x3040, 0x30FF, 3, 2), (0x3400, 0x9FFF, 2, 2), (0xAC00, 0xD7A3, 1, 2.2), (0x20000, 0x3FFFF, 2, 2),
 )
 
 _END = re.compile(r"[.!?…؟।۔]+[\"'”’»)\]]*(?=\s|$)|[。！？]+[」』”’)]*")
@@ -86,7 +86,7 @@ def words_of(text: str) -> tuple[float, list[str]]:
         return len(found), found
     found = _WORD.findall(text.lower())
     if not _UNSPACED.search(text):
-        return len(found) + sum([len(w) / 2.5 - 1 for w in found if len(w) > 2 and "가" <= w[0] <= "힣"]), found
+        return len(found) + sum([len(w) / 2.2 - 1 for w in found if len(w) > 2 and "가" <= w[0] <= "힣"]), found
     count, units = 0.0, []
     for w in found:
         script, per = _place(w[0])
@@ -234,7 +234,7 @@ def measure(text: str) -> list[dict]:
     """What each block of the text measures; only what its kind needs."""
     found = []
     for kind, block in blocks(text):
-        raw = block.encode("utf-8", "replace")
+        raw = block.lower().encode("utf-8", "replace")
         size = max(1, len(raw))
         words, skeleton, distinct = 0.0, 1.0, 1.0
         if kind in (REST, TAGS):
@@ -297,7 +297,7 @@ def expected(features: DataFrame, weight: int = 20, least: int = 200) -> dict[tu
     return means
 
 
-def stuffed_pages(documents: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str | None = None, share: float = 0.7, extreme: float = 0.35, redundant: float = 0.6, listed: float = 0.7, shapeless: float = 0.35, least_bin: int = 7, least_chars: int = 50) -> DataFrame:  # noqa: A002
+def stuffed_pages(documents: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str | None = None, share: float = 0.7, extreme: float = 0.35, redundant: float = 0.65, listed: float = 0.75, shapeless: float = 0.35, least_bin: int = 7, least_chars: int = 50) -> DataFrame:  # noqa: A002
     """Documents that are mostly repeated keywords, links or tags: (id, stuffed_share).
 
     Texts are cut into blocks of sentences, of fragments with stops, of data, of links and
@@ -315,7 +315,7 @@ def stuffed_pages(documents: DataFrame, *, id: str = "doc_id", text: str = "text
     - a block of sentences at most ``extreme`` of the usual, hardly any of them different.
 
     Blocks under 2**``least_bin`` bytes compress too little to tell and go by their items, those
-    under twice that also by their repeated words. Lines of data (:func:`is_record`) are never stuffed; the form alone does
+    under four times that also by their repeated words. Lines of data (:func:`is_record`) are never stuffed; the form alone does
     not make one. A page counts with a stuffed share of its characters of at least ``share``
     and at least ``least_chars`` stuffed characters (less is a short note). One pass over the
     texts; its measures (some numbers per block) are checkpointed, and a small table of means
@@ -335,7 +335,7 @@ def stuffed_pages(documents: DataFrame, *, id: str = "doc_id", text: str = "text
     def stuffed(b: Column) -> Column:
         raw, bare = b["raw"] / usual(b), b["skeleton"] <= shapeless * usual(b)
         short = b["bin"] < least_bin
-        keywords = ((b["bin"] <= least_bin) & (b["distinct"] <= 0.5)) | F.when(short, b["words"] <= 4.5).otherwise((raw <= listed) | (bare & ((b["words"] <= 4.5) | ((b["words"] <= 6.5) & (raw <= 0.9)))))
+        keywords = ((b["bin"] <= least_bin + 1) & (b["distinct"] <= 0.5)) | F.when(short, b["words"] <= 4.5).otherwise((raw <= listed) | (bare & ((b["words"] <= 4.5) | ((b["words"] <= 6.5) & (raw <= 0.95)))))
         return (
             F.when(b["kind"] == REST, keywords).when(b["kind"] == TAGS, short | bare)
             .when(b["kind"] == FRAGMENTS, ~short & (raw <= redundant)).when(b["kind"] == SENTENCES, ~short & (raw <= extreme) & (b["distinct"] <= 0.25)).otherwise(False)
