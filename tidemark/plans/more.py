@@ -391,7 +391,7 @@ def so12_analog_shape(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("k").agg(r6(F.expr("percentile(ratio, 0.5)")).alias("shape"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("WITH r AS (SELECT series, month, coalesce(ln(close) - lag(ln(close)) OVER (PARTITION BY series ORDER BY month), 0) AS r FROM " + _MONTHS + "), a AS (SELECT series, list_prepend({'l': 0.0::double, 'p': 0.0::double, 'd': 0.0::double}, list({'l': r, 'p': 0.0::double, 'd': 0.0::double} ORDER BY month)) AS xs FROM r GROUP BY 1), b AS (SELECT series, xs, 0.0::double AS lo, 1.0::double AS hi, 1 AS i FROM a UNION ALL SELECT series, xs, CASE WHEN exp(list_reduce(xs, lambda s, x: {'l': s.l + ((lo + hi) / 2) * x.l, 'p': greatest(s.p, s.l + ((lo + hi) / 2) * x.l), 'd': least(s.d, s.l + ((lo + hi) / 2) * x.l - greatest(s.p, s.l + ((lo + hi) / 2) * x.l))}).d) - 1 > -0.3 THEN ((lo + hi) / 2) ELSE lo END, CASE WHEN exp(list_reduce(xs, lambda s, x: {'l': s.l + ((lo + hi) / 2) * x.l, 'p': greatest(s.p, s.l + ((lo + hi) / 2) * x.l), 'd': least(s.d, s.l + ((lo + hi) / 2) * x.l - greatest(s.p, s.l + ((lo + hi) / 2) * x.l))}).d) - 1 > -0.3 THEN hi ELSE ((lo + hi) / 2) END, i + 1 FROM b WHERE i <= 40) SELECT series, round((lo + hi) / 2, 6) AS strength, CASE WHEN exp(list_reduce(xs, lambda s, x: {'l': s.l + 1 * x.l, 'p': greatest(s.p, s.l + 1 * x.l), 'd': least(s.d, s.l + 1 * x.l - greatest(s.p, s.l + 1 * x.l))}).d) - 1 > -0.3 THEN 'outside' ELSE 'found' END AS status FROM b WHERE i = 41")
 def so13_strength_by_bisection(spark: SparkSession, d: str) -> DataFrame:
     """How much the residuals of each series must be damped for a worst fall of 30 %, by 40 halvings at once for all."""
     s = Series(["series"], "month")

@@ -223,7 +223,11 @@ def al03_overlay(spark: SparkSession, d: str) -> DataFrame:
     return pair.agg(r6(F.corr("a", "b")).alias("r"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""WITH f AS (SELECT series, month, close / lag(close, 1) OVER w - 1 AS f0, close / lag(close, 3) OVER w - 1 AS f1, close / lag(close, 12) OVER w - 1 AS f2, close / max(close) OVER w - 1 AS f3, CASE WHEN count(close) OVER (PARTITION BY series ORDER BY month ROWS 5 PRECEDING) = 6 THEN stddev_samp(close) OVER (PARTITION BY series ORDER BY month ROWS 5 PRECEDING) END AS f4, lead(close, 3) OVER w / close - 1 AS f3m FROM {_MONTHS} WINDOW w AS (PARTITION BY series ORDER BY month)),
+    x AS (SELECT *, max(month) OVER (PARTITION BY series) AS origin FROM f WHERE f0 + f1 + f2 + f3 + f4 IS NOT NULL), s AS (SELECT series, {', '.join(f"coalesce(nullif(stddev_samp(f{i}), 0), 1) AS s{i}" for i in range(5))} FROM x WHERE month < origin GROUP BY 1), h AS (SELECT series, {', '.join(f"f{i} AS q{i}" for i in range(5))} FROM x WHERE month = origin),
+    near AS (SELECT x.series, month, round(sqrt({' + '.join(f"((f{i} - q{i}) / s{i}) ** 2" for i in range(5))}), 6) AS distance FROM x JOIN s ON s.series = x.series JOIN h ON h.series = x.series WHERE month < origin), c AS (SELECT series, list((distance, month) ORDER BY distance, month) AS xs FROM near GROUP BY 1),
+    g AS (SELECT series, xs, 1 AS pos, []::STRUCT(distance DOUBLE, month DATE)[] AS got FROM c UNION ALL SELECT series, xs, pos + 1, CASE WHEN len(got) < 5 AND len(list_filter(got, lambda y: abs(y.month - xs[pos][2]) < 90)) = 0 THEN list_append(got, {{'distance': xs[pos][1], 'month': xs[pos][2]}}) ELSE got END FROM g WHERE pos <= len(xs)),
+    p AS (SELECT series, unnest(range(1, len(got) + 1))::int AS rank, unnest(list_transform(got, lambda y: y.month)) AS month, unnest(list_transform(got, lambda y: y.distance)) AS distance FROM g WHERE pos = len(xs) + 1) SELECT p.series, rank, p.month, distance, round(f3m, 6) AS f3m FROM p JOIN f ON f.series = p.series AND f.month = p.month""")
 def al04_analogs(spark: SparkSession, d: str) -> DataFrame:
     """Months most like each series' last one by five standardised features, at least 90 days apart, with what followed."""
     s = Series(["series"], "month")
