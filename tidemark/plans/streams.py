@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from tidemark.functions.scalars import DAY_US, instant, instant_us
 from tidemark.plans.landing import scratch
 from tidemark.plans.tables import table
 from tidemark.plans.views import query
+from tidemark.sources import store
 from tidemark.streaming import ledgers as S
 
 
@@ -18,10 +22,25 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _drained(stream: DataFrame) -> DataFrame:
-    """All that the stream gives for what is there now."""
+@contextmanager
+def _state_stores(spark: SparkSession, source: str, store_bytes: int = 4 << 20) -> Iterator[None]:
+    """As many state stores as the input's size asks for, up to the session's shuffle partitions: a stream keeps the number it begins with."""
+    fs, at = store._fs(spark, source)
+    found = fs.globStatus(at(source)) or []
+    size = sum(fs.getContentSummary(f.getPath()).getLength() for f in found)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(before), max(4, -(-size // store_bytes)))))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def _drained(stream: DataFrame, source: str) -> DataFrame:
+    """All that the stream gives for what is there now; ``source`` is what it reads."""
     spark, root = stream.sparkSession, scratch(stream.sparkSession)
-    stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    with _state_stores(spark, source):
+        stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
@@ -29,7 +48,7 @@ def _drained(stream: DataFrame) -> DataFrame:
 def sm01_unique_stream(spark: SparkSession, d: str) -> DataFrame:
     """Every event comes twice and goes out once."""
     e = _events(spark, d)
-    return _drained(S.unique(e.unionByName(_events(spark, d)), "event_id", "ts", "60 days").select("event_id", "user_id", "event_type"))
+    return _drained(S.unique(e.unionByName(_events(spark, d)), "event_id", "ts", "60 days").select("event_id", "user_id", "event_type"), f"{d}/events.parquet*")
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
@@ -37,7 +56,7 @@ def sm02_overlapping_refetch(spark: SparkSession, d: str) -> DataFrame:
     """A refetch that overlaps the first one adds nothing but what is new."""
     e = _events(spark, d)
     early, late = e.where("ts < '2024-01-20'"), e.where("ts >= '2024-01-10'")
-    got = _drained(S.unique(early.unionByName(late), "event_id", "ts", "60 days").select("event_id", "event_type", "value"))
+    got = _drained(S.unique(early.unionByName(late), "event_id", "ts", "60 days").select("event_id", "event_type", "value"), f"{d}/events.parquet*")
     return got.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
@@ -58,7 +77,7 @@ def sm03_revision_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, (ny + INTERVAL 1 DAY * (ny - date_trunc('day', ny) > INTERVAL 16 HOUR)::int)::date AS session FROM (SELECT event_id, timezone('America/New_York', timezone('UTC', ts)) AS ny FROM events)")
 def sm04_visible_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return _drained(S.visible_from(_events(spark, d), "ts").select("event_id", "session"))
+    return _drained(S.visible_from(_events(spark, d), "ts").select("event_id", "session"), f"{d}/events.parquet*")
 
 
 @query("SELECT e.event_id, e.user_id FROM events e WHERE e.event_type = 'signup' AND e.ts >= TIMESTAMP '2024-01-15' AND NOT EXISTS (SELECT 1 FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'error' AND p.value > 60)")
@@ -66,13 +85,13 @@ def sm06_matured_stream(spark: SparkSession, d: str) -> DataFrame:
     """Signups as observations of users whose forecast is due on 15 January, but for those resolved before."""
     users = table(spark, d, "events").select("user_id").distinct().withColumn("target", F.lit("2024-01-15 00:00:00").cast("timestamp"))
     done = table(spark, d, "events").where("event_type = 'error' AND value > 60").select("user_id").distinct()
-    return _drained(S.matured(_events(spark, d).where("event_type = 'signup'"), users, done, ["user_id"], "target", "ts").select("event_id", "user_id"))
+    return _drained(S.matured(_events(spark, d).where("event_type = 'signup'"), users, done, ["user_id"], "target", "ts").select("event_id", "user_id"), f"{d}/events.parquet*")
 
 
 @query("SELECT event_type AS key, round(list_reduce(list(value / 20 ORDER BY event_id), lambda a, x: 0.15 * x + 0.85 * a), 6) AS ratio FROM events GROUP BY 1")
 def sm08_monitor_stream(spark: SparkSession, d: str) -> DataFrame:
     """The monitored ratio of each kind of event after the last one."""
-    got = _drained(S.monitor(_events(spark, d).withColumn("ratio", F.col("value") / 20), "event_type", "event_id", "ratio"))
+    got = _drained(S.monitor(_events(spark, d).withColumn("ratio", F.col("value") / 20), "event_type", "event_id", "ratio"), f"{d}/events.parquet*")
     return got.groupBy("key").agg(F.round(F.max_by("ratio", "order_no"), 6).alias("ratio"))
 
 
@@ -98,7 +117,8 @@ def _deliveries(spark: SparkSession, d: str, root: str, parts: int = 5) -> DataF
 
 
 def _slack(spark: SparkSession, d: str) -> DataFrame:
-    return _drained(S.slack_aggregates(_deliveries(spark, d, scratch(spark)), id="event_id", category="event_type", event_time="scheduled", arrival="arrival", value="actual", slack_us=10 * DAY_US, disorder="12 days", slices=4))
+    root = scratch(spark)
+    return _drained(S.slack_aggregates(_deliveries(spark, d, root), id="event_id", category="event_type", event_time="scheduled", arrival="arrival", value="actual", slack_us=10 * DAY_US, disorder="12 days", slices=4), f"{root}/in")
 
 
 @query(_CLOSED.strip() + " SELECT event_type, strftime(day, '%Y-%m-%d') AS day, count(*) AS n, count(actual) AS n_actual, round(avg(actual), 9) AS mean_actual FROM placed WHERE a < ends + INTERVAL 240 HOUR AND mark >= ends + INTERVAL 240 HOUR GROUP BY ALL")
