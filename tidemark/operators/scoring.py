@@ -65,11 +65,17 @@ def spearman(pairs: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def crps(samples: DataFrame, keys: list[str], sample: str, actual: str) -> DataFrame:
-    """Empirical CRPS per key in O(n log n): mean |x - y| less the mean pairwise distance from ranks."""
-    w = Window.partitionBy(*keys).orderBy(sample)
-    ranked = samples.withColumn("_k", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    spread = F.sum((2 * F.col("_k") - F.col("_n") - 1) * F.col(sample)) / (F.max("_n") * F.max("_n"))
-    return ranked.groupBy(*keys).agg((F.avg(F.abs(F.col(sample) - F.col(actual))) - spread).alias("crps"), F.max("_n").alias("n"))
+    """Empirical CRPS per key in O(n log n): mean |x - y| less the mean pairwise distance from running totals; a key may have any number of samples.
+
+    Samples or keys that are null are left out.
+    """
+    known = samples.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, sample)))
+    t = running_totals(known, keys, sample, {"_c": F.lit(1)})
+    # of c equal samples with b before them the ranks add up to c * (2 b + c - n) in the sum of (2 k - n - 1)
+    ranks = F.col("_c") * (2 * F.col("_c_before") + F.col("_c") - F.col("_c_all"))
+    spread = t.groupBy(*keys).agg((F.sum(ranks * F.col(sample)) / (F.max("_c_all") * F.max("_c_all"))).alias("_s"))
+    near = known.groupBy(*keys).agg(F.avg(F.abs(F.col(sample) - F.col(actual))).alias("_d"), F.count(F.lit(1)).alias("n"))
+    return near.join(spread, keys).select(*keys, (F.col("_d") - F.col("_s")).alias("crps"), "n")
 
 
 def wilson(successes: Column, total: Column, z: float = 1.6448536269514722) -> tuple[Column, Column]:
